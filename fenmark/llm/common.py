@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: A word: a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-NULL_ID = np.iinfo(np.int64).max  # a missing doc_id sorts after every real one
+NULL_ID = 2**63 - 1  # a missing doc_id sorts after every real one
 _U = np.uint64
 
 
@@ -109,11 +109,20 @@ class Words:
             self.hash = self._hash(data)
 
     def _hash(self, data: np.ndarray) -> np.ndarray:
-        up, down = _pow(_P, len(data) + 1)
-        run = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up[: len(data)], out=run[1:])
-        h = (run[self.end] - run[self.start]) * down[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64) * _U(_Q))
+        """A tabulated polynomial of each word's bytes, taken over pieces of the buffer to bound memory."""
+        out = np.empty(self.n, np.uint64)
+        at = 0
+        while at < self.n:
+            base = self.start[at]
+            to = max(at + 1, int(np.searchsorted(self.end, base + (1 << 20), side="right")))
+            piece = data[base : self.end[to - 1]]
+            up, down = _pow(_P, len(piece) + 1)
+            run = np.zeros(len(piece) + 1, np.uint64)
+            np.cumsum(_BYTE[piece] * up[: len(piece)], out=run[1:])
+            s, e = self.start[at:to] - base, self.end[at:to] - base
+            out[at:to] = mix((run[e] - run[s]) * down[s] + (e - s).astype(np.uint64) * _U(_Q))
+            at = to
+        return out
 
     def text_of(self) -> np.ndarray:
         """For each word, its text's number."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, token_counts, url_filters
+from . import mixing, substring_dedup, token_counts, url_filters
 from .common import fresh_path
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -23,6 +23,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over documents, with a cache that is empty at first: each distinct text is encoded once."""
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), fresh_path(spark, "token-cache"))
@@ -39,6 +44,7 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_substring_dedup": op2_substring_dedup,
         "op4_token_counts": op4_token_counts,
         "op7_source_mixing": op7_source_mixing,
         "op8_url_filters": op8_url_filters,
@@ -59,5 +65,21 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u L
 """
 
 
+_OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+w AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS lo FROM w) WHERE lo < doc_id),
+g AS (SELECT doc_id, list(DISTINCT i + j) AS gone FROM r, range(0, 13) t(j) GROUP BY doc_id),
+f AS (
+  SELECT d.doc_id, len(ws) AS n, coalesce(len(gone), 0) AS m,
+    CASE WHEN gone IS NULL THEN ws ELSE list_transform(list_filter(range(1, len(ws) + 1), lambda i: NOT list_contains(gone, i)), lambda i: ws[i]) END AS kept
+  FROM d LEFT JOIN g ON d.doc_id = g.doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(m AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filters": _OP8_SQL}
+    return {"op2_substring_dedup": _OP2_SQL, "op8_url_filters": _OP8_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, substring_dedup, token_counts, url_filters
+from . import language_id, mixing, quality_rules, substring_dedup, token_counts, url_filters
 from .common import fresh_path
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -23,11 +23,21 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = language_id.fit(docs.filter(language_id.fold() != 1))
+    return language_id.identify(docs, model)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).drop("rule")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over documents, with a cache that is empty at first: each distinct text is encoded once."""
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), fresh_path(spark, "token-cache"))
@@ -44,7 +54,9 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op2_substring_dedup": op2_substring_dedup,
+        "op3_quality_rules": op3_quality_rules,
         "op4_token_counts": op4_token_counts,
         "op7_source_mixing": op7_source_mixing,
         "op8_url_filters": op8_url_filters,

@@ -151,3 +151,25 @@ def batches(sizes: list[int], most: int) -> list[tuple[int, int]]:
     if at < len(sizes):
         out.append((at, len(sizes)))
     return out
+
+
+# ---------------------------------------------------------------- connected groups
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, label) for every node of links (a, b): label is the least node that can be reached.
+
+    Each round takes the least label among neighbours and then the label's own label, so chains shorten by half; every
+    round is a table in the shared folder. A node with very many links costs a partial minimum per task.
+    """
+    both = written(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct(), "links")
+    now = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels")
+    while True:
+        near = both.join(now, both["b"] == now["node"]).groupBy("a").agg(F.min("label").alias("near"))
+        old = now.select(F.col("node"), F.col("label").alias("old"))
+        step = written(old.join(near, old["node"] == near["a"]).select("node", "old", F.least("old", "near").alias("label")), "labels")
+        jump = step.select(F.col("node").alias("via"), F.col("label").alias("far"))
+        now = written(step.join(jump, step["label"] == jump["via"]).select("node", "old", F.least("label", "far").alias("label")), "labels")
+        if not now.filter("old <> label").head(1):
+            return now.select("node", "label")
+        now = now.select("node", "label")

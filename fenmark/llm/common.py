@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -153,6 +155,31 @@ def batches(sizes: list[int], most: int) -> list[tuple[int, int]]:
     return out
 
 
+class Memo:
+    """Answers for short strings that a worker has met twice in a batch; it starts anew when full."""
+
+    def __init__(self, size: int, chars: int):
+        self.size, self.chars, self.known = size, chars, {}
+
+    def answers(self, split: list[list[str]], fresh: Callable[[list[str]], list]) -> dict:
+        """What is known or, through `fresh`, found out about every string of a batch."""
+        seen: Counter = Counter()
+        for parts in split:
+            seen.update(parts)
+        known = self.known
+        new = [s for s in seen if s not in known]
+        if not new:
+            return known
+        got = dict(zip(new, fresh(new)))
+        out = {s: known[s] if s in known else got[s] for s in seen}
+        again = {s: v for s, v in got.items() if seen[s] > 1 and len(s) <= self.chars}
+        if len(known) + len(again) > self.size:
+            known.clear()
+        if len(again) <= self.size:
+            known.update(again)
+        return out
+
+
 # ---------------------------------------------------------------- connected groups
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, minhash, mixing, quality_rules, sentencepiece_codec, substring_dedup, token_counts, url_filters
+from . import language_id, line_dedup, minhash, mixing, quality_rules, sentencepiece_codec, substring_dedup, token_counts, url_filters
 from .common import fresh_path
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -59,6 +59,10 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(pages, url_filters.rules_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(_read(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_sentencepiece": op6_sentencepiece,
         "op7_source_mixing": op7_source_mixing,
         "op8_url_filters": op8_url_filters,
+        "op9_line_dedup": op9_line_dedup,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
 

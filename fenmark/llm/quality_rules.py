@@ -215,3 +215,32 @@ def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     stats = written(measure(df, id_col, text), "quality-stats")
     rules = fit(stats, labels, id_col) if rules is None else rules
     return stats.select(id_col, *COUNTS, base_failed().alias("base_failed"), expression(rules).alias("rule")).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+
+
+def _measure_all(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with the statistics of their column q_text put behind their other columns."""
+    for b in it:
+        rows = list(zip(*map(statistics, b.column("q_text").to_pylist()))) or [()] * (len(COUNTS) + len(RATIOS))
+        kept = [n for n in b.schema.names if n != "q_text"]
+        yield pa.record_batch([b.column(n) for n in kept] + [pa.array(v, pa.int64() if i < len(COUNTS) else pa.float64()) for i, v in enumerate(rows)], names=kept + COUNTS + RATIOS)
+
+
+def fit_documents(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", max_train: int = MAX_TRAIN) -> list[list[Test]]:
+    """As fit, measuring only the documents of max_train labels, chosen by a hash of their id."""
+    some = labels.select(F.col(id_col).cast("long").alias(id_col), F.col(label)).filter(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(id_col).agg(F.min(label).alias(label)).orderBy(F.xxhash64(id_col), id_col).limit(max_train)
+    own = df.select(F.col(id_col).cast("long").alias(id_col), F.col(text).alias("text"))
+    # The sample has max_train rows of two numbers at most.
+    return fit(measure(own.join(F.broadcast(some.select(id_col)), id_col), id_col, "text"), some, id_col, label, max_train)
+
+
+def kept_documents(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """df's rows and columns without the rows that fail the base rules or that a rule rejects, in one pass.
+
+    Rows are judged by their own text alone: equal rows share a verdict, a null text fails, a null id doesn't matter.
+    """
+    rules = fit_documents(df, labels, id_col, text)
+    names = [f"c{i}" for i in range(len(df.columns))]
+    rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)], F.col(text).alias("q_text"))
+    kinds = [f"{n} {f.dataType.simpleString()}" for n, f in zip(names, df.schema.fields)] + [f"{k} long" for k in COUNTS] + [f"{k} double" for k in RATIOS]
+    judged = rows.mapInArrow(_measure_all, ", ".join(kinds)).filter(~base_failed() & expression(rules).isNull())
+    return judged.select(*[F.col(n).alias(c) for c, n in zip(df.columns, names)])

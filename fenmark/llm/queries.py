@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, minhash, mixing, quality_rules, sentencepiece_codec, substring_dedup, token_counts, url_filters
+from . import language_id, line_dedup, minhash, mixing, quality_rules, sentencepiece_codec, substring_dedup, token_counts, url_filters, vamana
 from .common import fresh_path
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -43,6 +43,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), fresh_path(spark, "token-cache"))
 
 
+def op5_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: every row whose id is divisible by 20; index: all rows."""
+    rows = _read(spark, sf_dir, "embeddings")
+    return vamana.nearest(rows, rows.filter("vec_id % 20 = 0"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every whole text, and a digest of the text that they decode to."""
     model = tokenizer_path("piece_bpe_32k.model")
@@ -73,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substring_dedup": op2_substring_dedup,
         "op3_quality_rules": op3_quality_rules,
         "op4_token_counts": op4_token_counts,
+        "op5_graph_neighbours": op5_graph_neighbours,
         "op6_sentencepiece": op6_sentencepiece,
         "op7_source_mixing": op7_source_mixing,
         "op8_url_filters": op8_url_filters,

@@ -5,9 +5,11 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,6 +157,13 @@ def batches(sizes: list[int], most: int) -> list[tuple[int, int]]:
     return out
 
 
+def pieces(column: pa.Array, most: int) -> Iterator[tuple[int, list]]:
+    """Consecutive parts of a text or binary column of about so many bytes: where each begins, and its values."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for lo, hi in batches(sizes, most):
+        yield lo, column.slice(lo, hi - lo).to_pylist()
+
+
 class Memo:
     """Answers for short strings that a worker has met twice in a batch; it starts anew when full."""
 

@@ -51,9 +51,8 @@ def op5_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every whole text, and a digest of the text that they decode to."""
-    model = tokenizer_path("piece_bpe_32k.model")
-    out = sentencepiece_codec.decode(sentencepiece_codec.encode(_read(spark, sf_dir, "documents"), model), model)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = sentencepiece_codec.encode(_read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), back=True)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "decoded_sha256")
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

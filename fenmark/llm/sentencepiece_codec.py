@@ -10,6 +10,7 @@ models the best sum of scores wins. Characters that no piece covers fall back to
 from __future__ import annotations
 
 import functools
+import hashlib
 import heapq
 import re
 import struct
@@ -20,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, batches
+from .common import Memo, batches, pieces
 
 MARK = "▁"
-BATCH_BYTES = 6 << 20  # of text whose new stretches are indexed together
+BATCH_BYTES = 4 << 20  # of text whose new stretches are indexed together
+INDEX_CHARS = 1 << 17  # characters of new stretches in one index
 MEMO, MEMO_CHARS = 300_000, 40  # stretches that a worker remembers, and the longest of them
 LONG = 64  # longer stretches are relaxed with a heap
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -188,7 +190,7 @@ class Encoder:
         """The ids of each text, as 32-bit numbers."""
 
         def fresh(new: list[str]) -> list[bytes]:
-            return [v for lo, hi in batches([len(s) + 1 for s in new], 1 << 19) for v in self.relaxed(new[lo:hi])]
+            return [v for lo, hi in batches([len(s) + 1 for s in new], INDEX_CHARS) for v in self.relaxed(new[lo:hi])]
 
         split = [self.m.stretches(t) for t in texts]
         own = self.memo.answers(split, fresh)
@@ -327,16 +329,17 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _encode(path: str):
+def _encode(path: str, back: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(path)
         for b in it:
-            texts = [t or "" for t in b.column("sp_text").to_pylist()]
-            for lo, hi in batches(list(map(len, texts)), BATCH_BYTES):
-                got = e.encode(texts[lo:hi])
+            for lo, texts in pieces(b.column("sp_text"), BATCH_BYTES):
+                got = e.encode([t or "" for t in texts])
                 offsets = np.concatenate([[0], np.cumsum([len(g) // 4 for g in got])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(got), "<i4")))
-                yield pa.record_batch({"sp_id": b.column("sp_id").slice(lo, hi - lo), "ids": ids})
+                out = {"sp_id": b.column("sp_id").slice(lo, len(texts)), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(got), "<i4")))}
+                if back:
+                    out["decoded_sha256"] = pa.array([hashlib.sha256(decoded(e.m, np.frombuffer(g, "<i4").tolist())).hexdigest() for g in got], pa.string())
+                yield pa.record_batch(out)
 
     return run
 
@@ -354,14 +357,16 @@ def _decode(path: str):
     return run
 
 
-def encode(df: DataFrame, model: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(df: DataFrame, model: str, id_col: str = "doc_id", text: str = "text", back: bool = False) -> DataFrame:
     """id_col and ids (array<int>), as the model's library gives them without begin or end, for each row of df.
 
-    A null text is encoded as an empty one, to an empty array. Equal rows are encoded alike and as often as they occur; an
-    empty table gives no rows; other columns of df play no part.
+    back: also decoded_sha256, the digest of the bytes that the ids decode to. A null text is encoded as an empty
+    one, to an empty array. Equal rows are encoded alike and as often as they occur; an empty table gives no rows;
+    other columns of df play no part.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("sp_id"), F.col(text).alias("sp_text")).mapInArrow(_encode(model), f"sp_id {kind}, ids array<int>").withColumnRenamed("sp_id", id_col)
+    rows = df.select(F.col(id_col).alias("sp_id"), F.col(text).alias("sp_text"))
+    return rows.mapInArrow(_encode(model, back), f"sp_id {kind}, ids array<int>" + ", decoded_sha256 string" * back).withColumnRenamed("sp_id", id_col)
 
 
 def decode(df: DataFrame, model: str) -> DataFrame:

@@ -128,6 +128,11 @@ def fractional_year(year: Column, position: Column, periods: int) -> Column:
 # ------------------------------------------------------------------ numbers
 
 
+def clipped(c: Column, low: float, high: float) -> Column:
+    """c within two bounds; null stays null (greatest and least would pass over it)."""
+    return F.when(c.isNotNull(), F.greatest(F.least(c.cast("double"), F.lit(float(high))), F.lit(float(low))))
+
+
 def round2(c: Column) -> Column:
     """Two decimals, half to even; null stays null."""
     return F.bround(c, 2)
@@ -135,7 +140,7 @@ def round2(c: Column) -> Column:
 
 def to_int16(c: Column) -> Column:
     """Clamped to the 16-bit range, then cut to a whole number."""
-    return F.greatest(F.least(c.cast("double"), F.lit(32767.0)), F.lit(-32768.0)).cast("short")
+    return clipped(c, -32768, 32767).cast("short")
 
 
 def row_col(x: Column, y: Column, transform: tuple[float, float, float, float, float, float]) -> tuple[Column, Column]:
@@ -158,7 +163,7 @@ def hex_rgb(c: Column) -> Column:
 
 def rgb_hex(*parts: Column) -> Column:
     """# and two hexadecimal digits for each part in 0 to 1."""
-    digits = [F.lpad(F.lower(F.hex(F.bround(F.greatest(F.least(p, F.lit(1.0)), F.lit(0.0)) * 255, 0).cast("long"))), 2, "0") for p in parts]
+    digits = [F.lpad(F.lower(F.hex(F.bround(clipped(p, 0, 1) * 255, 0).cast("long"))), 2, "0") for p in parts]
     return F.concat(F.lit("#"), *digits)
 
 
@@ -189,4 +194,4 @@ def pair_number(a: Column, b: Column, size: int) -> Column:
 def unit_scaled(parts: list[Column]) -> list[Column]:
     """Divided by 255 if any part is above 1, then clipped to 0 to 1."""
     large = reduce(lambda x, y: x | y, [p > 1 for p in parts])
-    return [F.greatest(F.least(F.when(large, p / 255).otherwise(p), F.lit(1.0)), F.lit(0.0)) for p in parts]
+    return [clipped(F.when(large, p / 255).otherwise(p), 0, 1) for p in parts]

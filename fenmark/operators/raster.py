@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import clipped
+
 TINY = 1e-10
 
 
@@ -161,4 +163,4 @@ def stretch(cells: DataFrame, value: str, low: float = 0.02, high: float = 0.98)
     p = cells.agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("p"))
     span = F.try_divide(F.col(value) - F.col("p")[0], F.col("p")[1] - F.col("p")[0])
     # One row is joined to all.
-    return cells.join(F.broadcast(p), F.lit(True)).withColumn("unit", F.greatest(F.least(span, F.lit(1.0)), F.lit(0.0))).drop("p")
+    return cells.join(F.broadcast(p), F.lit(True)).withColumn("unit", clipped(span, 0, 1)).drop("p")

@@ -8,6 +8,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LEAST_MONTHS = 30  # values of a calendar month that a fit needs
 CLIP = 1e-6
@@ -71,7 +72,7 @@ def logistic_cdf(x: Column, loc: Column, scale: Column, shape: Column) -> Column
     return 1 / (1 + F.exp(-y))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_quantile(p: pd.Series) -> pd.Series:
     inv = NormalDist().inv_cdf
     return p.map(lambda v: None if v is None or v != v else inv(min(max(v, CLIP), 1 - CLIP)))
@@ -87,7 +88,7 @@ def drought_index(months: DataFrame, station: str = "station", month: str = "mon
     fits = generalised_logistic(out, [station, "k", "m"], "total")
     joined = out.join(fits, [station, "k", "m"], "left")
     cdf = logistic_cdf(F.col("total"), F.col("loc"), F.col("scale"), F.col("shape"))
-    return joined.withColumn("cdf", F.greatest(F.least(cdf, F.lit(1 - CLIP)), F.lit(CLIP))).withColumn("spei", normal_quantile("cdf")).select(station, month, "k", "total", "spei")
+    return joined.withColumn("cdf", F.when(F.col("total").isNotNull() & F.col("scale").isNotNull(), F.greatest(F.least(cdf, F.lit(1 - CLIP)), F.lit(CLIP)))).withColumn("spei", normal_quantile("cdf")).select(station, month, "k", "total", "spei")
 
 
 def drought_class(spei: Column) -> Column:

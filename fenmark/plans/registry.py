@@ -86,7 +86,7 @@ def unstable_pairs(spark, sf):
     return stability.unstable_pairs(_daily_profile(spark, sf), ["pixel_id", "day"]).drop("palette")
 
 
-@query(_DAYS + "SELECT pixel_id, day, modal_class, CASE WHEN modal_class = 'click' THEN '#ff0000' ELSE '#000000' END AS color, CASE WHEN decision_category = 2 THEN 0.5 ELSE 1.0 END AS alpha FROM d WHERE decision_category IN (1, 2)")
+@query(_DAYS + "SELECT pixel_id, day, modal_class, CASE WHEN modal_class = 'click' THEN '#ff0000' ELSE '#000000' END AS color, CAST(CASE WHEN decision_category = 2 THEN 0.5 ELSE 1.0 END AS DOUBLE) AS alpha FROM d WHERE decision_category IN (1, 2)")
 def stable_cells(spark, sf):
     colours = spark.createDataFrame([("click", "#ff0000")], "class string, color string")
     return stability.stable_cells(_daily_profile(spark, sf), colours, ["pixel_id", "day"], [1, 2], {2: 0.5})
@@ -500,7 +500,7 @@ def first_of_january(spark, sf):
 
 @query("SELECT p_partkey, y AS year FROM part, (VALUES (2018), (2019), (2020)) v(y) WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, 2021 FROM part WHERE p_partkey % 3 = 0")
 def ellipsis_years(spark, sf):
-    return table(spark, sf, "part").filter("p_partkey % 3 = 0").select("p_partkey", F.explode(S.expand_years(F.lit("2018, ..., 2020, 2021"))).cast("int").alias("year"))
+    return table(spark, sf, "part").filter("p_partkey % 3 = 0").select("p_partkey", F.explode(S.expand_years(F.lit("2018, ..., 2020, 2021"))).alias("year")).withColumn("year", F.col("year").cast("int"))
 
 
 @query("""WITH c AS (SELECT p_partkey, p_partkey % 256 / 255.0 AS r, p_partkey // 3 % 256 / 255.0 AS g, p_size / 50.0 AS b FROM part)

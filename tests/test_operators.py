@@ -90,8 +90,8 @@ def test_raster_algebra(spark):
     one = spark.createDataFrame([(1000, 3000, 1e-11)], "red int, nir int, vh double")
     r = one.select(raster.ndvi(F.col("red"), F.col("nir")), raster.ratio(F.lit(1.0), F.col("vh"))).first()
     assert r[0] == pytest.approx(0.5, abs=1e-9) and r[1] is None
-    v = spark.createDataFrame([(40000.0,), (-40000.0,), (1.9,)], "v double").select(S.to_int16(F.col("v"))).collect()
-    assert [x[0] for x in v] == [32767, -32768, 1]
+    v = spark.createDataFrame([(40000.0,), (-40000.0,), (1.9,), (None,)], "v double").select(S.to_int16(F.col("v"))).collect()
+    assert [x[0] for x in v] == [32767, -32768, 1, None]
     std = raster.period_stats(spark.createDataFrame([(1, 1.0), (1, 2.0), (1, 4.0), (2, 5.0)], "k int, v double"), ["k"], "v")
     assert {r.k: r["std"] for r in std.collect()} == {1: pytest.approx(1.527525, abs=1e-6), 2: None}
 

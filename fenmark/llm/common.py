@@ -195,17 +195,25 @@ class Memo:
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of links (a, b): label is the least node that can be reached.
 
-    Each round takes the least label among neighbours and then the label's own label, so chains shorten by half; every
-    round is a table in the shared folder. A node with very many links costs a partial minimum per task.
+    Each round every node takes the least of itself and its neighbours, then that one's own choice, and links are contracted to the
+    nodes chosen, so at least half of the nodes go. Every round is a table in the shared folder. A node with very many
+    links costs a partial minimum per task.
     """
-    both = written(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct(), "links")
-    now = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels")
+    edges = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "links")
+    now = None
     while True:
-        near = both.join(now, both["b"] == now["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        old = now.select(F.col("node"), F.col("label").alias("old"))
-        step = written(old.join(near, old["node"] == near["a"]).select("node", "old", F.least("old", "near").alias("label")), "labels")
-        jump = step.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        now = written(step.join(jump, step["label"] == jump["via"]).select("node", "old", F.least("label", "far").alias("label")), "labels")
-        if not now.filter("old <> label").head(1):
-            return now.select("node", "label")
-        now = now.select("node", "label")
+        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        to = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels")
+        if now is not None and not to.head(1):
+            return now
+        for _ in range(2):
+            via = to.select(F.col("node").alias("via"), F.col("label").alias("far"))
+            to = to.join(via, F.col("label") == F.col("via")).select("node", F.col("far").alias("label"))
+        to = written(to, "labels")
+        if now is None:
+            now = to
+        else:
+            old = now.select(F.col("node").alias("n0"), F.col("label").alias("l0"))
+            now = written(old.join(to, F.col("l0") == F.col("node"), "left").select(F.col("n0").alias("node"), F.coalesce("label", "l0").alias("label")), "labels")
+        a, b = to.select(F.col("node").alias("a"), F.col("label").alias("la")), to.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+        edges = written(edges.join(a, "a").join(b, "b").filter("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "links")

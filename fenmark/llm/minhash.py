@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Words, batches, components, mix, window_hash, written
+from .common import Words, batches, components, mix, pieces, window_hash, written
 
 BASE, RATE = 1.001, 20.0
 BANDS, ROWS = 32, 5  # at a similarity of 0.8 a pair shares no band with probability (1 - 0.8**5)**32 = 3e-6
@@ -102,16 +102,17 @@ def shingle_set(clean: bytes, k: int) -> frozenset[bytes]:
 def _sketch(k: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            clean, sets = shingle_hashes([t or b"" for t in b.column("mh_body").to_pylist()], k)
-            keys = [band_keys(registers(s))[0].view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
-            yield pa.record_batch(
-                {
-                    "mh_id": b.column("mh_id"),
-                    "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                    "mh_digest": pa.array([hashlib.blake2b(c, digest_size=16).digest() if c else None for c in clean], pa.binary()),
-                    "mh_keys": pa.array(keys, pa.list_(pa.int64())),
-                }
-            )
+            for lo, bodies in pieces(b.column("mh_body"), 2 << 20):
+                clean, sets = shingle_hashes([t or b"" for t in bodies], k)
+                keys = [band_keys(registers(s))[0].view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
+                yield pa.record_batch(
+                    {
+                        "mh_id": b.column("mh_id").slice(lo, len(bodies)),
+                        "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
+                        "mh_digest": pa.array([hashlib.blake2b(c, digest_size=16).digest() if c else None for c in clean], pa.binary()),
+                        "mh_keys": pa.array(keys, pa.list_(pa.int64())),
+                    }
+                )
 
     return run
 

@@ -1,13 +1,15 @@
 """Fuzzy line dedup: SimHash of normalised lines, joins on pigeonhole blocks, edit similarity, connected groups.
 
 A line's normal form is its lower-cased words joined by one space. Lines of equal form are one node. Two nodes are
-linked if their 64-bit SimHashes (of distinct neighbouring word pairs) differ in at most three bits and their word sequences have an edit similarity of at least
-`similarity_pct` percent. Of five blocks of bits, two agree whenever three bits at most differ, so each pair of blocks
-is a join key. In a key's bucket of at most SMALL nodes all pairs are compared; a larger one is compared with its most
-frequent line first, and then only nodes that are not yet in the group of that line are compared with the others.
+linked if their 63-bit SimHashes (of words of WORD characters or more) differ in at most three bits and their word
+sequences have an edit similarity of at least `similarity_pct` percent. Of five blocks of bits, two agree whenever three bits
+at most differ, so each pair of blocks is a join key. A key's bucket of two nodes is a pair. In a larger one all nodes
+are compared with its most frequent line; then, for ROUNDS rounds, with one node that is still outside that line's group; then what
+is still apart, pair by pair. So no link is lost, and the pairs of a connected crowd are not listed.
 The first line of each connected group (by document id, then line number) is kept.
 
-Only DataFrame functions are used. Word sequences are compared as strings of one 16-bit code a word.
+Only DataFrame functions are used. SimHash counters are sums of numbers that hold seven nine-bit counters each; word
+sequences are compared as strings of one 16-bit code a word.
 """
 
 from __future__ import annotations
@@ -19,43 +21,61 @@ from pyspark.sql import functions as F
 
 from .common import components, written
 
-BITS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]  # first bit and width of each block
+BITS = [(0, 13), (13, 13), (26, 13), (39, 12), (51, 12)]  # first bit and width of each block
 FAR = 3  # bits that may differ
-SMALL = 48
-CHUNK = 16_383  # words whose bits are counted in 16-bit lanes
+ROUNDS = 4
+WORD = 4  # characters of a word that counts, where a line has one
+CHUNK = 256  # words whose bits are counted together
 SPACE = r"[\x20\x09-\x0D]+"
-_LANES, _ONES = 16, 0x0001000100010001
+_SUMS = 9
+_LANES = sum(1 << 9 * i for i in range(7))
 
 
-def _lanes(hashes: str) -> str:
-    """SQL for 16 numbers of four 16-bit counters each: how many hashes have each bit."""
-    zero = ", ".join(f"'l{k}', 0L" for k in range(_LANES))
-    step = ", ".join(f"'l{k}', a.l{k} + (shiftrightunsigned(h, {k}) & {_ONES}L)" for k in range(_LANES))
-    return f"aggregate({hashes}, named_struct({zero}), (a, h) -> named_struct({step}))"
+def normal_form(line: Column) -> Column:
+    """Lower-cased words joined by one space; empty for a line without words."""
+    usual = F.lower(F.trim(line))
+    odd = F.regexp_replace(F.regexp_replace(F.lower(line), SPACE, " "), "^ | $", "")
+    return F.when(line.rlike(r"[\x09-\x0D]|\x20\x20"), odd).otherwise(usual)
 
 
-def features(words: str) -> Column:
-    """Hashes of the distinct neighbouring word pairs of a column of words, of the last word, and of all where that makes their number odd."""
-    pairs = f"array_distinct(transform({words}, (x, i) -> xxhash64(x, get({words}, i + 1))))"
-    # An odd number of them, so that no bit is tied.
-    return F.expr(f"transform(array({pairs}), p -> if(size(p) % 2 = 1, p, array_append(p, xxhash64(array_join({words}, ' '), 1))))[0]")
+def _counts(rows: DataFrame, keys: list[str], words: str) -> DataFrame:
+    """keys, part, m and l0 to l8: for each CHUNK words the number of words that count and how many have each bit."""
+    hashes = rows.select(*keys, F.posexplode(words).alias("at", "x")).select(*keys, F.floor(F.col("at") / CHUNK).cast("int").alias("part"), F.when(F.length("x") >= WORD, F.xxhash64("x")).otherwise(F.lit(0).cast("long")).alias("h"), "at")
+    # The first word of a part stays, so that each part has a row.
+    hashes = hashes.filter(f"h <> 0 or at % {CHUNK} = 0")
+    bits = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_LANES))).alias(f"l{k}") for k in range(_SUMS)]
+    return hashes.groupBy(*keys, "part").agg(F.count(F.when(F.col("h") != 0, 1)).alias("m"), *bits)
 
 
-def simhash(hashes: str, chunk: int = CHUNK) -> Column:
-    """The SimHash of a column of hashes: bit i is set if more than half of them have it."""
-    half = f"(({chunk} - size({hashes}) div 2) * {_ONES}L)"
-    top = (chunk + 1) * _ONES
-    shift = (chunk + 1).bit_length() - 1
-    few = " | ".join(f"shiftleft(shiftright((s.l{k} + {half}) & {top}L, {shift}), {k})" for k in range(_LANES))
-    parts = f"transform(sequence(0, (size({hashes}) - 1) div {chunk}), c -> {_lanes(f'slice({hashes}, c * {chunk} + 1, {chunk})')})"
-    lane = ", ".join(f"s.l{k}" for k in range(_LANES))
-    count = f"aggregate(transform(p, s -> shiftrightunsigned(array({lane})[b % 16], cast(16 * (b div 16) as int)) & 65535), 0L, (t, x) -> t + x)"
-    many = f"aggregate(sequence(0, 63), 0L, (o, b) -> o | if(2 * {count} > size({hashes}), shiftleft(1L, b), 0L))"
-    return F.expr(f"if(size({hashes}) <= {chunk}, transform(array({_lanes(hashes)}), s -> {few})[0], transform(array({parts}), p -> {many})[0])")
+def _majority(node: str = "node") -> Column:
+    """The SimHash of a line of one part; where words could tie, or none counts, the node's own bits count as one more."""
+    tie = F.col("m") % 2 == 0
+    half = (F.lit(255) - F.floor((F.col("m") + F.when(tie, 1).otherwise(0)) / 2)) * F.lit(_LANES)
+    out = F.lit(0).cast("long")
+    for k in range(_SUMS):
+        own = F.when(tie, F.shiftrightunsigned(node, k).bitwiseAND(F.lit(_LANES))).otherwise(F.lit(0).cast("long"))
+        more = F.shiftright((F.col(f"l{k}") + own + half).bitwiseAND(F.lit(256 * _LANES)), 8)
+        out = out.bitwiseOR(F.shiftleft(more, k))
+    return out
 
 
-def _words(line: str) -> Column:
-    return F.filter(F.split(F.lower(F.col(line)), SPACE), lambda x: x != "")
+def _majority_of_parts(counts: DataFrame, keys: list[str], node: str = "node") -> DataFrame:
+    """keys and sim of lines of several parts: their counters are added up bit by bit."""
+    each = F.explode(F.array(*[F.struct(F.lit(9 * j + k).alias("bit"), F.shiftrightunsigned(f"l{k}", 9 * j).bitwiseAND(F.lit(511)).alias("c")) for k in range(_SUMS) for j in range(7)]))
+    total = counts.select(*keys, "m", each.alias("e")).groupBy(*keys, "e.bit").agg(F.sum("e.c").alias("c"), F.sum("m").alias("m"))
+    tie = F.when(F.col("m") % 2 == 0, 1).otherwise(0)
+    own = F.expr(f"shiftrightunsigned({node}, bit)").bitwiseAND(F.lit(1).cast("long")) * tie
+    set_ = 2 * (F.col("c") + own) > F.col("m") + tie
+    return total.groupBy(*keys).agg(F.bit_or(F.when(set_, F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("long"))).alias("sim"))
+
+
+def simhashes(rows: DataFrame, keys: list[str], words: str = "w", node: str = "node") -> DataFrame:
+    """keys and sim for each row; keys (node among them) tell rows with different words apart."""
+    counts = _counts(rows, keys, words)
+    single = counts.filter("part = 0")
+    several = counts.filter("part > 0").select(*keys).distinct()
+    long_ = counts.join(several, keys, "left_semi")
+    return single.join(several, keys, "left_anti").select(*keys, _majority(node).alias("sim")).union(_majority_of_parts(long_, keys, node))
 
 
 def _codes(words: str) -> Column:
@@ -63,11 +83,6 @@ def _codes(words: str) -> Column:
     return F.expr(f"decode(unhex(array_join(transform({words}, w -> lpad(hex(256 + pmod(xxhash64(w), 49152)), 4, '0')), '')), 'UTF-16BE')")
 
 
-def _lines(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    row = F.xxhash64(F.col(id_col), F.col(text))
-    return df.select(F.col(id_col).cast("long").alias("ld_id"), row.alias("ld_row"), F.posexplode(F.split(F.col(text), "\n")).alias("ln", "line"))
-
-
 def _keys(sim: str) -> Column:
     """A key for each two blocks of a SimHash."""
     block = [f"(shiftrightunsigned({sim}, {at}) & {(1 << width) - 1}L)" for at, width in BITS]
@@ -83,72 +98,113 @@ def _alike(pairs: DataFrame, texts: DataFrame, pct: int) -> DataFrame:
     return both.filter(F.expr(f"levenshtein(a_codes, b_codes, {most}) >= 0")).select("a", "b")
 
 
-def duplicate_lines(df: DataFrame, similarity_pct: int = 90, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """ld_id, ld_row (a hash of id and text) and removed (line numbers from 0, ascending) of each row that loses lines.
-
-    Lines without a word are never removed, nor are null texts. Null ids come after all others. Rows with equal ids are one document: their
-    lines at one place don't remove each other. An empty table gives no rows; other columns play no part.
-    """
-    docs = df.select(F.col(id_col).alias("ld_doc"), F.col(text).alias("ld_text"))
-    split = _lines(docs, "ld_doc", "ld_text").withColumn("w", _words("line")).filter("size(w) > 0").withColumn("f", features("w"))
-    form = F.array_join("w", " ")
-    lines = written(split.select("ld_id", "ld_row", "ln", F.xxhash64(form).alias("node"), F.xxhash64(F.lit(1), form).alias("check"), simhash("f").alias("sim"), F.size("w").alias("n")), "lines")
-    first = F.min(F.struct(F.col("ld_id").isNull().alias("none"), "ld_id", "ln", "ld_row")).alias("first")
-    nodes = written(lines.groupBy("node", "check").agg(first, F.count(F.lit(1)).alias("times"), F.first("sim").alias("sim"), F.first("n").alias("n")), "nodes")
-
+def _line_table(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(lines, nodes). lines: ld_id, ld_row (a hash of id and text), ln, node, check for each line with a word and for
+    each row's first line (node is null if that has no word). nodes: node, check, n, times, sim of each normal form."""
+    row = F.xxhash64(F.col(id_col), F.col(text))
+    split = df.select(F.col(id_col).cast("long").alias("ld_id"), row.alias("ld_row"), F.posexplode_outer(F.split(F.col(text), "\n")).alias("ln", "line"))
+    form = split.select("ld_id", "ld_row", F.coalesce("ln", F.lit(0)).alias("ln"), F.coalesce(normal_form(F.col("line")), F.lit("")).alias("f")).filter("f <> '' or ln = 0")
+    word = F.col("f") != ""
+    hashed = form.select("ld_id", "ld_row", "ln", F.when(word, F.xxhash64("f")).alias("node"), F.when(word, F.xxhash64(F.lit(1), "f")).alias("check"), F.split("f", " ").alias("w")).withColumn("n", F.size("w"))
+    keys = ["ld_id", "ld_row", "ln", "node", "check", "n"]
+    counts = written(_counts(hashed, keys, "w"), "line-counts")
+    lines = counts.filter("part = 0").select("ld_id", "ld_row", "ln", "node", "check")
+    # Equal lines have equal counters: any of them stands for all.
+    sums = ["m", *[f"l{k}" for k in range(_SUMS)]]
+    one = [F.first(c).alias(c) for c in sums]
+    nodes = counts.filter("part = 0 and node is not null").groupBy("node", "check", "n").agg(F.count(F.lit(1)).alias("times"), *one)
+    short = nodes.filter(F.col("n") <= CHUNK).withColumn("sim", _majority())
+    long_ = counts.filter(F.col("n") > CHUNK).groupBy("node", "check", "n", "part").agg(*one)
+    far = nodes.filter(F.col("n") > CHUNK).drop(*sums).join(_majority_of_parts(long_, ["node", "check", "n"]), ["node", "check", "n"])
+    columns = ["node", "check", "n", "times", "sim"]
+    return lines, written(short.select(*columns).union(far.select(*columns)), "line-nodes")
+
+
+def _groups_of_lines(df: DataFrame, lines: DataFrame, nodes: DataFrame, pct: int, id_col: str, text: str) -> DataFrame:
+    """(node, label) of the nodes that are linked with others."""
     # In shorter lines than these no edit is allowed, so that only equal ones are alike.
-    bands = nodes.filter(F.col("n") + 1 >= 100 // max(1, 100 - similarity_pct)).select("node", "sim", F.explode(_keys("sim")).alias("key"))
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = written(bands.join(shared, "key"), "members")
-    near = F.bit_count(F.col("a_sim").bitwiseXOR(F.col("b_sim"))) <= FAR
+    bands = nodes.filter(F.col("n") + 1 >= 100 // max(1, 100 - pct)).select("node", "sim", F.explode(_keys("sim")).alias("key"))
+    # Two nodes' SimHashes differ in the bits of their exclusive or.
+    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor("sim").alias("x")).filter("size > 1").filter((F.col("size") > 2) | (F.bit_count("x") <= FAR)).select("key", "size")
+    members = written(bands.join(buckets.hint("shuffle_hash"), "key").join(nodes.select("node", "times"), "node"), "members")
+    couples = members.filter("size = 2").groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).select("a", "b")
+    large = members.filter("size > 2")
+    apart = F.bit_count(F.col("a_sim").bitwiseXOR(F.col("b_sim")))
+    near = apart <= FAR
     side = lambda d, s, *more: d.select("key", F.col("node").alias(s), F.col("sim").alias(f"{s}_sim"), *more)
-    small, large = members.filter(F.col("size") <= SMALL), members.filter(F.col("size") > SMALL)
-    pairs = side(small, "a").join(side(small, "b"), "key").filter(F.col("a") < F.col("b")).filter(near).select("a", "b").distinct()
-    often = large.join(nodes.select("node", "times"), "node").groupBy("key").agg(F.max(F.struct("times", "node", "sim")).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.sim").alias("a_sim"))
-    star = side(large, "b").join(often, "key").filter("a <> b").filter(near).select("a", "b").distinct()
-    pairs, large = written(pairs.union(star), "line-pairs"), written(large, "large")
+    chosen = lambda d: d.groupBy("key").agg(F.max(F.struct("times", "node", "sim")).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.sim").alias("a_sim"))
+    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    often = written(chosen(large), "pivots")
+    star = side(large, "b").join(often, "key").filter("a <> b").filter(near).select(*ordered)
+    pairs = written(couples.union(star).distinct(), "line-pairs")
 
     # The texts of all lines that may be compared, fetched once.
-    wanted = pairs.select("a").union(pairs.select("b")).union(large.select("node")).distinct().withColumnRenamed("a", "node")
-    places = nodes.join(wanted, "node", "left_semi").select("node", F.col("first.ld_row").alias("ld_row"), F.col("first.ld_id").alias("ld_id"), F.col("first.ln").alias("ln"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
+    places = lines.join(wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", "ld_row", "ld_id", "ln")
     by_row = places.groupBy("ld_id", "ld_row").agg(F.collect_list(F.struct("node", "ln")).alias("at"))  # a document's own lines
-    own = docs.select(F.col("ld_doc").cast("long").alias("d_id"), F.xxhash64("ld_doc", "ld_text").alias("d_row"), "ld_text")
+    own = df.select(F.col(id_col).cast("long").alias("d_id"), F.xxhash64(F.col(id_col), F.col(text)).alias("d_row"), F.col(text).alias("d_text"))
     found = own.join(by_row, F.col("d_id").eqNullSafe(F.col("ld_id")) & (F.col("d_row") == F.col("ld_row")))
-    found = found.withColumn("parts", F.split("ld_text", "\n")).select("parts", F.explode("at").alias("x")).select(F.col("x.node").alias("node"), F.expr("parts[x.ln]").alias("line"))
-    texts = written(found.withColumn("w", _words("line")).select("node", _codes("w").alias("codes"), F.size("w").alias("n")).dropDuplicates(["node"]), "line-texts")
+    found = found.select(F.split("d_text", "\n").alias("parts"), F.explode("at").alias("x")).select("x.node", F.split(normal_form(F.expr("parts[x.ln]")), " ").alias("w"))
+    texts = written(found.select("node", _codes("w").alias("codes"), F.size("w").alias("n")).dropDuplicates(["node"]), "line-texts")
 
-    links = written(_alike(pairs, texts, similarity_pct), "line-links")
+    links = written(_alike(pairs, texts, pct), "line-links")
     groups = components(links)
-    # What large buckets leave open: nodes outside the group of their bucket's most frequent line, against all others.
-    label = F.coalesce("label", "node_").alias("group")
-    labelled = large.withColumnRenamed("node", "node_").join(groups, F.col("node_") == F.col("node"), "left").select("key", F.col("node_").alias("node"), "sim", label)
-    main = labelled.join(often.select("key", F.col("a").alias("node")), ["key", "node"]).select("key", F.col("group").alias("main"))
-    open_ = labelled.join(main, "key").filter(F.col("group") != F.col("main"))
-    rest = side(open_, "a", F.col("group").alias("a_group")).join(side(labelled, "b", F.col("group").alias("b_group")), "key").filter(F.col("a_group") != F.col("b_group")).filter(near)
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _alike(rest, texts, similarity_pct)
-    groups = components(links.union(more)) if large.head(1) else groups
-
-    known = nodes.join(groups, "node", "left").filter("times > 1 or label is not null").withColumn("group", F.coalesce("label", "node"))
-    kept = known.groupBy("group").agg(F.min("first").alias("keep"))
-    doomed = known.select("node", "check", "group").join(kept, "group").select("node", "check", F.col("keep.ld_id").alias("k_id"), F.col("keep.ln").alias("k_ln"))
-    gone = lines.join(doomed, ["node", "check"]).filter(~(F.col("ld_id").eqNullSafe(F.col("k_id")) & (F.col("ln") == F.col("k_ln"))))
+    if not large.head(1):
+        return groups
+    for turn in range(ROUNDS + 1):
+        named = groups.select(F.col("node").alias("g_node"), "label")
+        labelled = large.join(named, F.col("node") == F.col("g_node"), "left").select("key", "node", "sim", "times", F.coalesce("label", "node").alias("group"))
+        main = labelled.join(often.select("key", F.col("a").alias("node")), ["key", "node"]).select("key", F.col("group").alias("main"))
+        labelled = written(labelled.join(main, "key"), "labelled")
+        open_ = labelled.filter("group <> main")
+        b = side(labelled, "b", F.col("group").alias("b_group"))
+        if turn < ROUNDS:  # another open node of each bucket in each turn
+            mixed = open_.withColumn("times", F.xxhash64(F.lit(turn), "group"))
+            a = mixed.groupBy("key").agg(F.max(F.struct("times", "node", "sim", "group")).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.sim").alias("a_sim"), F.col("p.group").alias("a_group"))
+        else:
+            a = side(open_, "a", F.col("group").alias("a_group"))
+        rest = a.join(b, "key").filter(F.col("a_group") != F.col("b_group")).filter(near).select(*ordered).distinct()
+        more = written(_alike(rest, texts, pct), "line-links")
+        if more.head(1):
+            links = written(links.union(more), "line-links")
+            groups = components(links)
+    return groups
+
+
+def duplicate_lines(df: DataFrame, similarity_pct: int = 90, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(gone, lines). gone: ld_id, ld_row, ln of every line to remove; lines: as _line_table gives them.
+
+    Lines without a word are never removed, nor are null texts. Null ids come after all others. Rows with equal ids are
+    one document: their lines at one place don't remove each other. An empty table gives no rows; other columns play
+    no part.
+    """
+    lines, nodes = _line_table(df, id_col, text)
+    groups = _groups_of_lines(df, lines, nodes, similarity_pct, id_col, text)
+    known = nodes.join(groups, "node", "left").filter("times > 1 or label is not null").select("node", "check", F.coalesce("label", "node").alias("group"))
+    found = written(lines.join(known, ["node", "check"]).select("ld_id", "ld_row", "ln", "group"), "line-places")
+    kept = found.groupBy("group").agg(F.min(F.struct(F.col("ld_id").isNull().alias("none"), "ld_id", "ln")).alias("keep"))
+    gone = found.join(kept, "group").filter(~(F.col("ld_id").eqNullSafe(F.col("keep.ld_id")) & (F.col("ln") == F.col("keep.ln"))))
+    return gone.select("ld_id", "ld_row", "ln"), lines
+
+
+def _by_row(gone: DataFrame) -> DataFrame:
     return gone.groupBy("ld_id", "ld_row").agg(F.sort_array(F.collect_set("ln")).alias("removed"))  # a document's own lines
 
 
 def line_report(df: DataFrame, similarity_pct: int = 90, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id_col, n_lines (with a word), n_removed and removed (line numbers from 0) for each row of df."""
-    gone = duplicate_lines(df, similarity_pct, id_col, text)
-    n = F.expr(r"size(filter(split(lr_text, '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]'))")
-    rows = df.select(F.col(id_col).alias("lr_doc"), F.col(text).alias("lr_text")).select("lr_doc", F.xxhash64("lr_doc", "lr_text").alias("lr_row"), F.when(F.col("lr_text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"))
-    joined = rows.join(gone, F.col("lr_doc").cast("long").eqNullSafe(F.col("ld_id")) & (F.col("lr_row") == F.col("ld_row")), "left")
+    gone, lines = duplicate_lines(df, similarity_pct, id_col, text)
+    rows = lines.groupBy("ld_id", "ld_row").agg(F.count("node").alias("all"), F.count(F.when(F.col("ln") == 0, 1)).alias("times"))
+    g = _by_row(gone).select(F.col("ld_id").alias("g_id"), F.col("ld_row").alias("g_row"), "removed")
+    joined = rows.join(g, F.col("ld_id").eqNullSafe(F.col("g_id")) & (F.col("ld_row") == F.col("g_row")), "left")
     removed = F.coalesce("removed", F.expr("cast(array() as array<int>)"))
-    return joined.select(F.col("lr_doc").alias(id_col), "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    out = joined.select(F.col("ld_id").alias(id_col), F.expr("all div times").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
+    return out.drop("copy")
 
 
 def without_duplicate_lines(df: DataFrame, similarity_pct: int = 90, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """df's rows and columns, each text without its removed lines; a text that loses all its lines becomes empty."""
-    gone = duplicate_lines(df, similarity_pct, id_col, text)
+    gone = _by_row(duplicate_lines(df, similarity_pct, id_col, text)[0])
     mine = df.withColumn("wd_row", F.xxhash64(F.col(id_col), F.col(text)))
     joined = mine.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("ld_id")) & (F.col("wd_row") == F.col("ld_row")), "left")
     left = F.expr(f"array_join(filter(split(`{text}`, '\\n'), (x, i) -> not array_contains(removed, i)), '\\n')")

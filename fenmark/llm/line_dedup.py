@@ -99,16 +99,17 @@ def _alike(pairs: DataFrame, texts: DataFrame, pct: int) -> DataFrame:
 
 
 def _line_table(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(lines, nodes). lines: ld_id, ld_row (a hash of id and text), ln, node, check for each line with a word and for
-    each row's first line (node is null if that has no word). nodes: node, check, n, times, sim of each normal form."""
-    row = F.xxhash64(F.col(id_col), F.col(text))
-    split = df.select(F.col(id_col).cast("long").alias("ld_id"), row.alias("ld_row"), F.posexplode_outer(F.split(F.col(text), "\n")).alias("ln", "line"))
-    form = split.select("ld_id", "ld_row", F.coalesce("ln", F.lit(0)).alias("ln"), F.coalesce(normal_form(F.col("line")), F.lit("")).alias("f")).filter("f <> '' or ln = 0")
+    """(lines, nodes). lines: ld_at (a number of the row), ld_id, ld_row (a hash of id and text), ln, node, check for each line with a
+    word and for each row's first line (node is null if that has no word). nodes: node, check, n, times, sim of each normal form."""
+    # Rows are numbered before they are split, so that equal rows aren't counted together.
+    rows = df.select(F.monotonically_increasing_id().alias("ld_at"), F.col(id_col).cast("long").alias("ld_id"), F.xxhash64(F.col(id_col), F.col(text)).alias("ld_row"), F.col(text).alias("ld_text"))
+    split = rows.select("ld_at", "ld_id", "ld_row", F.posexplode_outer(F.split("ld_text", "\n")).alias("ln", "line"))
+    form = split.select("ld_at", "ld_id", "ld_row", F.coalesce("ln", F.lit(0)).alias("ln"), F.coalesce(normal_form(F.col("line")), F.lit("")).alias("f")).filter("f <> '' or ln = 0")
     word = F.col("f") != ""
-    hashed = form.select("ld_id", "ld_row", "ln", F.when(word, F.xxhash64("f")).alias("node"), F.when(word, F.xxhash64(F.lit(1), "f")).alias("check"), F.split("f", " ").alias("w")).withColumn("n", F.size("w"))
-    keys = ["ld_id", "ld_row", "ln", "node", "check", "n"]
+    hashed = form.select("ld_at", "ld_id", "ld_row", "ln", F.when(word, F.xxhash64("f")).alias("node"), F.when(word, F.xxhash64(F.lit(1), "f")).alias("check"), F.split("f", " ").alias("w")).withColumn("n", F.size("w"))
+    keys = ["ld_at", "ld_id", "ld_row", "ln", "node", "check", "n"]
     counts = written(_counts(hashed, keys, "w"), "line-counts")
-    lines = counts.filter("part = 0").select("ld_id", "ld_row", "ln", "node", "check")
+    lines = counts.filter("part = 0").select("ld_at", "ld_id", "ld_row", "ln", "node", "check")
     # Equal lines have equal counters: any of them stands for all.
     sums = ["m", *[f"l{k}" for k in range(_SUMS)]]
     one = [F.first(c).alias(c) for c in sums]
@@ -194,12 +195,11 @@ def _by_row(gone: DataFrame) -> DataFrame:
 def line_report(df: DataFrame, similarity_pct: int = 90, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id_col, n_lines (with a word), n_removed and removed (line numbers from 0) for each row of df."""
     gone, lines = duplicate_lines(df, similarity_pct, id_col, text)
-    rows = lines.groupBy("ld_id", "ld_row").agg(F.count("node").alias("all"), F.count(F.when(F.col("ln") == 0, 1)).alias("times"))
+    rows = lines.groupBy("ld_at", "ld_id", "ld_row").agg(F.count("node").alias("n_lines"))
     g = _by_row(gone).select(F.col("ld_id").alias("g_id"), F.col("ld_row").alias("g_row"), "removed")
     joined = rows.join(g, F.col("ld_id").eqNullSafe(F.col("g_id")) & (F.col("ld_row") == F.col("g_row")), "left")
     removed = F.coalesce("removed", F.expr("cast(array() as array<int>)"))
-    out = joined.select(F.col("ld_id").alias(id_col), F.expr("all div times").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
-    return out.drop("copy")
+    return joined.select(F.col("ld_id").alias(id_col), "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
 def without_duplicate_lines(df: DataFrame, similarity_pct: int = 90, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -300,3 +300,168 @@ def pixel_squares(cells: DataFrame, x0: float, y0: float, res: float) -> DataFra
         return pd.Series([dump_wkb(box_polygon(x0 + c * res, y0 - (r + 1) * res, x0 + (c + 1) * res, y0 - r * res)) for r, c in zip(row, col)], dtype=object)
 
     return cells.withColumn("geometry", F.pandas_udf(square, "binary")("row", "col"))
+
+
+# ------------------------------------------------------------------ overlay
+
+
+def overlay(layers: list[list[Polygon]], keep) -> list[Polygon]:
+    """The parts of the plane where keep(which layers cover it) holds, as trapezoids between horizontal lines.
+
+    The lines run through all corners and crossings, so that between two of them no edges cross; going from left to right, each edge
+    enters or leaves its polygon. Polygons of a layer may overlap; rings of a polygon are counted even-odd.
+    """
+    edges, owner, layer_of = [], [], []
+    for k, polygons in enumerate(layers):
+        for p in polygons:
+            for r in p:
+                for a, b in zip(r[:-1], r[1:]):
+                    if a[1] != b[1]:
+                        edges.append((*a, *b) if a[1] < b[1] else (*b, *a))
+                        owner.append(len(layer_of))
+            layer_of.append(k)
+    if not edges:
+        return []
+    e = np.array(edges)
+    x0, y0, x1, y1 = e.T
+    slope = (x1 - x0) / (y1 - y0)
+    base = x0 - slope * y0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cross = (base[None, :] - base[:, None]) / (slope[:, None] - slope[None, :])
+    inside = np.isfinite(cross) & (cross > np.maximum(y0[:, None], y0[None, :])) & (cross < np.minimum(y1[:, None], y1[None, :]))
+    ys = np.unique(np.concatenate([y0, y1, cross[inside]]))
+    out: list[Polygon] = []
+    for lo, hi in zip(ys[:-1], ys[1:]):
+        at = np.flatnonzero((y0 <= lo) & (y1 >= hi))
+        mid = (lo + hi) / 2
+        at = at[np.argsort(base[at] + slope[at] * mid, kind="stable")]
+        state, covers, left = np.zeros(len(layer_of), bool), [0] * len(layers), None
+        for i in at:
+            p = owner[i]
+            state[p] ^= True
+            covers[layer_of[p]] += 1 if state[p] else -1
+            on = bool(keep([c > 0 for c in covers]))
+            if on and left is None:
+                left = i
+            elif not on and left is not None:
+                xs = [base[left] + slope[left] * lo, base[i] + slope[i] * lo, base[i] + slope[i] * hi, base[left] + slope[left] * hi]
+                if xs[1] > xs[0] or xs[2] > xs[3]:
+                    out.append([np.array([[xs[0], lo], [xs[1], lo], [xs[2], hi], [xs[3], hi], [xs[0], lo]])])
+                left = None
+    return out
+
+
+def intersection(a: list[Polygon], b: list[Polygon]) -> list[Polygon]:
+    return overlay([a, b], all)
+
+
+def difference(a: list[Polygon], b: list[Polygon]) -> list[Polygon]:
+    return overlay([a, b], lambda c: c[0] and not c[1])
+
+
+def dissolved(polygons: list[Polygon]) -> list[Polygon]:
+    return overlay([polygons], any)
+
+
+def dissolve(features: DataFrame, keys: list[str], geometry: str = "geometry") -> DataFrame:
+    """keys and the union of each group's geometries. A group is one geometry in the end, so it is gathered."""
+
+    def union(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = dissolved([p for raw in pdf[geometry] if raw is not None for p in load_wkb(bytes(raw))])
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, geometry: dump_wkb(parts) if parts else None}])
+
+    kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in features.schema.fields if f.name in keys] + [f"`{geometry}` binary"])
+    return features.select(*keys, geometry).groupBy(*keys).applyInPandas(union, kinds)
+
+
+def subtract(features: DataFrame, others: DataFrame, id_col: str, geometry: str = "geometry", size: float = 1000.0) -> DataFrame:
+    """features without what any of the others covers; those that vanish go. Both meet in grid cells first.
+
+    id_col tells features apart. A feature and what touches its bounds is one group.
+    """
+    left = cells_of(features.select(id_col, geometry), geometry, size).select(id_col, "cell_x", "cell_y", F.col("bounds").alias("l_bounds"))
+    right = cells_of(others.select(F.col(geometry).alias("o_geometry")), "o_geometry", size)
+    l, r = F.col("l_bounds"), F.col("bounds")  # noqa: E741
+    meet = (l[0] < r[2]) & (l[2] > r[0]) & (l[1] < r[3]) & (l[3] > r[1])
+    near = left.join(right, ["cell_x", "cell_y"]).filter(meet).select(id_col, "o_geometry").distinct().groupBy(id_col).agg(F.collect_list("o_geometry").alias("near"))
+
+    def cut(g: pd.Series, near: pd.Series) -> pd.Series:
+        out = []
+        for raw, found in zip(g, near):
+            part = [] if raw is None else difference(load_wkb(bytes(raw)), [p for o in found for p in load_wkb(bytes(o))])
+            out.append(dump_wkb(part) if part else None)
+        return pd.Series(out, dtype=object)
+
+    joined = features.join(near, id_col, "left")
+    changed = F.when(F.col("near").isNotNull() & F.col(geometry).isNotNull(), F.pandas_udf(cut, "binary")(geometry, F.coalesce("near", F.expr("cast(array() as array<binary>)")))).otherwise(F.col(geometry))
+    return joined.withColumn(geometry, changed).drop("near").filter(F.col(geometry).isNotNull())
+
+
+def common_to_all(features: DataFrame, layer: str, layers: list[str], geometry: str = "geometry", keys: list[str] | None = None) -> DataFrame:
+    """keys, the geometry that all layers share, and their names joined by commas. A key's features are one group."""
+    keys = keys or []
+    names = sorted(layers)
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        by = {k: [p for raw in g[geometry] if raw is not None for p in load_wkb(bytes(raw))] for k, g in pdf.groupby(layer)}
+        parts = overlay([by[n] for n in names], all) if all(n in by for n in names) else []
+        rows = [{**{k: pdf[k].iloc[0] for k in keys}, geometry: dump_wkb(parts), "layers": ",".join(names)}] if parts else []
+        return pd.DataFrame(rows, columns=[*keys, geometry, "layers"])
+
+    kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in features.schema.fields if f.name in keys] + [f"`{geometry}` binary", "layers string"])
+    rows = features.filter(F.col(layer).isin(names)).select(*keys, layer, geometry)
+    return (rows.groupBy(*keys) if keys else rows.groupBy(F.lit(0))).applyInPandas(meet, kinds)
+
+
+def outline(cells: set[tuple[int, int]], x0: float = 0.0, y0: float = 0.0, res: float = 1.0) -> list[Polygon]:
+    """The rings around a set of (row, col) cells: edges between two cells of the set cancel, the others are followed."""
+    edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for r, c in cells:
+        for (a, b), other in ((((r, c), (r, c + 1)), (r - 1, c)), (((r, c + 1), (r + 1, c + 1)), (r, c + 1)), (((r + 1, c + 1), (r + 1, c)), (r + 1, c)), (((r + 1, c), (r, c)), (r, c - 1))):
+            if other not in cells:
+                edges.setdefault(a, []).append(b)
+    rings = []
+    while edges:
+        start = min(edges)
+        ring, at, way = [start], start, None
+        while True:
+            found = edges[at]
+            # Where two rings touch, turn right, so that each stays on its own cell.
+            nxt = found[0] if len(found) == 1 or way is None else max(found, key=lambda b: (b[0] - at[0]) * way[1] - (b[1] - at[1]) * way[0])
+            found.remove(nxt)
+            if not found:
+                del edges[at]
+            way = (nxt[0] - at[0], nxt[1] - at[1])
+            at = nxt
+            ring.append(at)
+            if at == start:
+                break
+        corners = [p for i, p in enumerate(ring[:-1]) if (p[0] - ring[i - 1 if i else -2][0], p[1] - ring[i - 1 if i else -2][1]) != (ring[i + 1][0] - p[0], ring[i + 1][1] - p[1])]
+        rings.append(np.array([(x0 + c * res, y0 - r * res) for r, c in [*corners, corners[0]]], float))
+    shells = [[r] for r in rings if _ring_area(r) < 0]
+    for hole in (r for r in rings if _ring_area(r) > 0):
+        # A point just inside the hole's first corner tells which shell holds it.
+        q = hole[:-1].mean(axis=0) if len(hole) == 5 else hole[0]
+        home = [s for s in shells if holds([[s[0]]], np.array([q[0]]), np.array([q[1]]))[0]]
+        (min(home, key=lambda s: abs(_ring_area(s[0]))) if home else shells[0]).append(hole)
+    return shells
+
+
+def region_polygons(cells: DataFrame, keys: list[str], x0: float = 0.0, y0: float = 0.0, res: float = 1.0) -> DataFrame:
+    """keys, n and geometry: the outline of each key's cells. A key's cells become one geometry, so they are gathered."""
+
+    def trace(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = set(zip(pdf["row"].astype(int), pdf["col"].astype(int)))
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "n": len(own), "geometry": dump_wkb(outline(own, x0, y0, res))}])
+
+    kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields if f.name in keys] + ["n long", "geometry binary"])
+    return cells.select(*keys, "row", "col").groupBy(*keys).applyInPandas(trace, kinds)
+
+
+def intersecting(features: DataFrame, geometry: str, box: tuple[float, float, float, float]) -> DataFrame:
+    """Whole features that share some area with a rectangle."""
+
+    def touch(g: pd.Series) -> pd.Series:
+        return pd.Series([raw is not None and bool(clip_box(load_wkb(bytes(raw)), box)) for raw in g])
+
+    return features.filter(F.pandas_udf(touch, "boolean")(geometry))

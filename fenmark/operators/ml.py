@@ -46,3 +46,15 @@ def predict(model: PipelineModel, cells: DataFrame, bands: list[str]) -> DataFra
         bad = bad | v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
     rest = cells.filter(F.coalesce(bad, F.lit(True))).select(*keys, F.lit(None).cast("string").alias("pred"), F.lit(None).cast("double").alias("probability"))
     return done.unionByName(rest)
+
+
+def forest_scores(train: DataFrame, cells: DataFrame, bands: list[str], label: str, period: str, year: str, **options) -> DataFrame:
+    """year, timeframe, n, acc, macro_f1, weighted_f1: one forest a timeframe, all years' labelled cells predicted and scored."""
+    from .metrics import accuracy
+
+    out = None
+    for (t,) in train.select(period).distinct().orderBy(period).collect():  # a few timeframes of a year
+        model = train_forest(train.filter(F.col(period) == t), bands, label, **options)
+        scored = accuracy(predict(model, cells.filter(F.col(period) == t), bands), [year, period], label, "pred")
+        out = scored if out is None else out.unionByName(scored)
+    return out

@@ -164,3 +164,24 @@ def stretch(cells: DataFrame, value: str, low: float = 0.02, high: float = 0.98)
     span = F.try_divide(F.col(value) - F.col("p")[0], F.col("p")[1] - F.col("p")[0])
     # One row is joined to all.
     return cells.join(F.broadcast(p), F.lit(True)).withColumn("unit", clipped(span, 0, 1)).drop("p")
+
+
+def window(cells: DataFrame, rows: tuple[int, int], cols: tuple[int, int]) -> DataFrame:
+    """Cells of a half-open range of rows and columns; the range reaches the scan."""
+    return cells.filter((F.col("row") >= rows[0]) & (F.col("row") < rows[1]) & (F.col("col") >= cols[0]) & (F.col("col") < cols[1]))
+
+
+def world_window(transform: tuple[float, float, float], box: tuple[float, float, float, float]) -> tuple[tuple[int, int], tuple[int, int]]:
+    """The range of rows and columns whose cells touch a rectangle; transform: x0, y0, cell size."""
+    import math
+
+    x0, y0, res = transform
+    return (math.floor((y0 - box[3]) / res), math.ceil((y0 - box[1]) / res)), (math.floor((box[0] - x0) / res), math.ceil((box[2] - x0) / res))
+
+
+def valid_stack(wide: DataFrame, bands: list[str], mask: str = "VALID_MASK") -> DataFrame:
+    """wide with one mask: 1 where all bands have a value."""
+    ok = F.lit(True)
+    for b in bands:
+        ok = ok & F.col(b).isNotNull()
+    return wide.withColumn(mask, ok.cast("byte"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import expand_years, has_year
+from ..functions.scalars import bare_name, expand_years, has_year
 
 
 def standardised(rows: DataFrame, ts: str, names: dict[str, str] | None = None, hours: int = 0) -> DataFrame:
@@ -95,3 +95,21 @@ def year_sets(mapping: DataFrame, key: str = "raster", year: str = "year") -> Da
     per = mapping.groupBy(year).agg(F.count_distinct(key).alias("n"))
     # One row is joined to all.
     return per.join(F.broadcast(total), F.lit(True)).select(year, "n", (F.col("n") == F.col("total")).alias("in_all"))
+
+
+def first_by_name(reference: DataFrame, name: str, value: str, order: str) -> DataFrame:
+    """key and value: for each bare name (lower-cased, without spaces and underscores) the first value by order."""
+    rows = reference.filter(F.col(name).isNotNull()).select(bare_name(F.col(name)).alias("key"), F.col(value).alias("value"), F.col(order).alias("o"))
+    return rows.groupBy("key").agg(F.min_by("value", "o").alias("value"))
+
+
+def with_class_map(meta: DataFrame, classes: dict[int, str], column: str = "tags") -> DataFrame:
+    """meta whose tags hold a class map, unless they have one."""
+    text = F.to_json(F.create_map(*[F.lit(str(x)) for kv in classes.items() for x in kv]))
+    have = F.map_contains_key(column, "CLASS-MAP") | F.map_contains_key(column, "CLASS_MAP")
+    return meta.withColumn(column, F.when(have, F.col(column)).otherwise(F.map_concat(column, F.create_map(F.lit("CLASS-MAP"), text))))
+
+
+def legend(meta: DataFrame, column: str = "tags") -> DataFrame:
+    """raster, class and color of the JSON legend in a raster's tags."""
+    return meta.select("raster", F.explode(F.from_json(F.col(column)["LEGEND"], "map<string,string>")).alias("class", "color"))

@@ -184,3 +184,25 @@ def test_survey(spark):
     a = spark.createDataFrame([("2020-01-01",), ("2020-01-01",)], "date string").withColumn("date", F.to_date("date"))
     b = spark.createDataFrame([("2020-01-02",)], "date string").withColumn("date", F.to_date("date"))
     assert sorted(tuple(r)[1:] for r in survey.per_day_of({"a": a, "b": b}).collect()) == [(0, 1), (2, 0)]
+
+
+def test_tags_and_names(spark):
+    meta = spark.createDataFrame([("a", {"CLASS-MAP": '{"1": "bog"}'}), ("b", {"LEGEND": '{"bog": "#00f"}'})], "raster string, tags map<string,string>")
+    assert sorted(map(tuple, survey.class_map(survey.with_class_map(meta, {2: "fen"})).collect())) == [("a", 1, "bog"), ("b", 2, "fen")]
+    assert [tuple(r) for r in survey.legend(meta).collect()] == [("b", "bog", "#00f")]
+    names = spark.createDataFrame([(2, "Dry_Heath"), (1, "dry heath"), (3, None)], "o int, n string")
+    assert [tuple(r) for r in survey.first_by_name(names, "n", "n", "o").collect()] == [("dryheath", "dry heath")]
+
+
+def test_windows():
+    assert raster.world_window((100.0, 200.0, 10.0), (105.0, 155.0, 125.0, 195.0)) == ((0, 5), (0, 3))
+
+
+def test_forest_by_timeframe(spark):
+    from fenmark.operators import ml
+
+    rng = np.random.default_rng(7)
+    rows = [(t, 2020 + i % 2, float(v), float(w), "a" if v > 0.5 else "b") for t in ("Q1", "Q2") for i, (v, w) in enumerate(rng.random((120, 2)))]
+    df = spark.createDataFrame([*rows, ("Q1", 2020, None, 0.5, "a")], "timeframe string, year int, b1 double, b2 double, type string")
+    scores = ml.forest_scores(df, df, ["b1", "b2"], "type", "timeframe", "year", trees=5, depth=3).collect()
+    assert len(scores) == 4 and all(r.acc > 0.9 for r in scores) and sum(r.n for r in scores) == 240

@@ -127,3 +127,60 @@ def test_spatial_join_and_cut(spark):
     assert G.clip_features(polygons, "geometry", (0, 0, 1, 1)).select(G.st_area(F.col("geometry"))).first()[0] == 1
     squares = G.pixel_squares(spark.createDataFrame([(0, 1)], "row int, col int"), 10.0, 20.0, 2.0)
     assert squares.select(G.st_bounds(F.col("geometry"))).first()[0] == [12.0, 18.0, 14.0, 20.0]
+
+
+def star(cx, cy, k, r, seed):
+    rng = np.random.default_rng(seed)
+    a = (np.arange(k) + 0.8 * rng.random(k)) / k * 2 * math.pi
+    p = np.column_stack([cx + np.cos(a) * r * (0.4 + rng.random(k)), cy + np.sin(a) * r * (0.4 + rng.random(k))])
+    return [[np.concatenate([p, p[:1]])]]
+
+
+def test_overlay_by_sampling():
+    """Areas add up, and points fall where they should."""
+    a, b = star(0, 0, 14, 5, 1), star(2, 1, 11, 5, 2)
+    both, less, union = G.intersection(a, b), G.difference(a, b), G.overlay([a, b], any)
+    assert G.area_of(both) + G.area_of(less) == pytest.approx(G.area_of(a))
+    assert G.area_of(union) == pytest.approx(G.area_of(a) + G.area_of(b) - G.area_of(both))
+    x, y = np.random.default_rng(3).uniform(-8, 10, (2, 4000))
+    ina, inb = G.holds(a, x, y), G.holds(b, x, y)
+    assert (G.holds(both, x, y) == (ina & inb)).all() and (G.holds(less, x, y) == (ina & ~inb)).all()
+    assert G.difference(a, a) == [] and G.area_of(G.dissolved(a + b)) == pytest.approx(G.area_of(union))
+
+
+def test_dissolve_subtract_and_common(spark):
+    box = lambda *b: G.dump_wkb(G.box_polygon(*b))
+    df = spark.createDataFrame([("a", 1, box(0, 0, 2, 2)), ("b", 1, box(1, 0, 3, 2)), ("c", 2, box(10, 10, 11, 11)), ("d", 2, None)], "id string, k int, geometry binary")
+    area = lambda d, *c: sorted(map(tuple, d.select(*c, F.round(G.st_area(F.col("geometry")), 9)).collect()))
+    assert area(G.dissolve(df, ["k"]), "k") == [(1, 6.0), (2, 1.0)]
+    others = spark.createDataFrame([(box(1, 1, 5, 5),), (box(9, 9, 12, 12),)], "geometry binary")
+    assert area(G.subtract(df, others, "id", size=2.0), "id") == [("a", 3.0), ("b", 2.0)]
+    years = spark.createDataFrame([("2020", box(0, 0, 2, 2)), ("2021", box(1, 1, 3, 3)), ("2021", box(0, 0, 1, 1))], "year string, geometry binary")
+    assert area(G.common_to_all(years, "year", ["2020", "2021"]), "layers") == [("2020,2021", 2.0)]
+    assert G.common_to_all(years, "year", ["2020", "2022"]).count() == 0
+    assert G.intersecting(df, "geometry", (0, 0, 0.5, 0.5)).select("id").collect() == [("a",)]
+
+
+def test_outlines(spark):
+    ring = [(r, c) for r in range(3) for c in range(3) if (r, c) != (1, 1)]
+    shells = G.outline(set(ring))
+    assert len(shells) == 1 and len(shells[0]) == 2 and G.area_of(shells) == 8
+    corner = G.outline({(0, 0), (1, 1)})
+    assert len(corner) == 2 and G.area_of(corner) == 2
+    cells = spark.createDataFrame([(1, r, c) for r, c in ring] + [(2, 9, 9)], "region int, row int, col int")
+    got = G.region_polygons(cells, ["region"], 100.0, 50.0, 10.0).select("region", "n", G.st_area(F.col("geometry")).alias("a")).collect()
+    assert sorted(map(tuple, got)) == [(1, 8, 800.0), (2, 1, 100.0)]
+
+
+def test_excel(spark, tmp_path):
+    import zipfile
+
+    from fenmark.sources import xlsx
+
+    path = str(tmp_path / "a.xlsx")
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>code</t></si><si><t>name</t></si><si><t>bog</t></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row><row><c r="A2"><v>7</v></c><c r="B2" t="s"><v>2</v></c></row><row><c r="B3" t="inlineStr"><is><t>fen</t></is></c></row></sheetData></worksheet>')
+    assert [tuple(r) for r in xlsx.read_xlsx(spark, path).collect()] == [("7", "bog"), (None, "fen")]
+    assert xlsx.read_xlsx(spark, path, columns=["name", "absent"]).columns == ["name"]

@@ -122,13 +122,12 @@ def mix(
 
 def mixed(df: DataFrame, **options) -> DataFrame:
     """df's rows as the mix repeats them: taken / size copies, rounded (half up); rows without words are left out."""
-    counts = mix(df, **options).filter("size > 0").select("row", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("copies"), F.monotonically_increasing_id().alias("tie"))
+    # Equal rows share alike.
+    times = mix(df, **options).filter("size > 0").groupBy("row").agg(F.avg(F.col("taken") / F.col("size")).alias("times"))
     key = F.xxhash64(F.col(options.get("id_col", "doc_id")), F.col(options.get("source", "source")), F.col(options.get("text", "text")))
-    counts = counts.groupBy("row").agg(F.avg("copies").alias("copies"))  # equal rows share alike
     return (
         df.withColumn("mx_row", key)
-        .join(counts, F.col("mx_row") == counts["row"])
-        .withColumn("mx_copies", F.floor(F.col("copies") + 0.5).cast("int"))
+        .join(times.select(F.col("row").alias("mx_key"), F.floor(F.col("times") + 0.5).cast("int").alias("mx_copies")), F.col("mx_row") == F.col("mx_key"))
         .filter("mx_copies > 0")
         .withColumn("mx_copy", F.explode(F.expr("sequence(1, mx_copies)")))
         .select(*[F.col(f"`{c}`") for c in df.columns])

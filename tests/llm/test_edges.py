@@ -149,8 +149,6 @@ def test_sentencepiece(odd, none, spark):
 
 def test_unigram_relaxation():
     """The best sum of scores, by brute force over all ways to cut a text."""
-    from types import SimpleNamespace
-
     m = object.__new__(sentencepiece_codec.Model)
     m.pieces = ["<unk>", "a", "b", "ab", "ba", "aba", "bb"]
     m.scores, m.kinds = [0.0, -2.0, -2.5, -3.0, -3.2, -4.1, -6.0], [2, 1, 1, 1, 1, 1, 1]
@@ -167,7 +165,6 @@ def test_unigram_relaxation():
     for t, raw in zip(texts, e.relaxed(texts)):
         ids = np.frombuffer(raw, "<i4").tolist()
         assert "".join(m.pieces[i] for i in ids) == t and sum(m.scores[i] for i in ids) == pytest.approx(best(t))
-    assert SimpleNamespace
 
 
 def test_mixing(odd, none):

@@ -410,7 +410,7 @@ def common_to_all(features: DataFrame, layer: str, layers: list[str], geometry:
 
     kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in features.schema.fields if f.name in keys] + [f"`{geometry}` binary", "layers string"])
     rows = features.filter(F.col(layer).isin(names)).select(*keys, layer, geometry)
-    return (rows.groupBy(*keys) if keys else rows.groupBy(F.lit(0))).applyInPandas(meet, kinds)
+    return rows.groupBy(*keys).applyInPandas(meet, kinds)
 
 
 def outline(cells: set[tuple[int, int]], x0: float = 0.0, y0: float = 0.0, res: float = 1.0) -> list[Polygon]:

@@ -23,7 +23,7 @@ from .common import NULL_ID, Words, mix, text_bytes, window_hash
 MINI = 4  # words of a minimiser
 LONGEST = 64  # windows in one string
 BLOCK_BYTES = 6 << 20  # of text in a block of documents
-BUCKET_BYTES = 12 << 20  # of packed strings in a bucket
+BUCKET_BYTES = 8 << 20  # of packed strings in a bucket
 
 _RESULT = "id long, n_words long, n_removed long, spans array<struct<first:long,last:long>>, kept string"
 
@@ -106,7 +106,7 @@ def _send(window: int, buckets: int):
             for part in np.split(order, cuts):
                 out["bucket"].append(int(to[part[0]]))
                 out["blk"].append(key[0].as_py())
-                out["data"].append(_pack([part.astype(np.int32), low[part], high[part]], b"\n".join([b.strings[i] for i in part])))
+                out["data"].append(_pack([np.diff(part, prepend=0).astype(np.int32), low[part], high[part] - low[part]], b"\n".join([b.strings[i] for i in part])))
         return pa.table({"bucket": pa.array(out["bucket"], pa.int64()), "blk": pa.array(out["blk"], pa.int64()), "data": pa.array(out["data"], pa.binary())})
 
     return run
@@ -140,9 +140,9 @@ def _answer(window: int):
     def run(key, table):
         lids, lows, highs, blks, texts = [], [], [], [], []
         for blk, blob in zip(table.column("blk").to_pylist(), table.column("data").to_pylist()):
-            (lid, low, high), text = _unpack(blob, ["<i4", "<i8", "<i8"])
-            lids.append(lid), lows.append(low), highs.append(high)
-            blks.append(np.full(len(lid), blk))
+            (step, low, span), text = _unpack(blob, ["<i4", "<i8", "<i8"])  # most spans are 0 and pack to nothing
+            lids.append(np.cumsum(step)), lows.append(low), highs.append(low + span)
+            blks.append(np.full(len(step), blk))
             texts += text.split(b"\n")
         lid, low, high, blk = map(np.concatenate, (lids, lows, highs, blks))
         w = Words(texts)

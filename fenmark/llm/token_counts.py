@@ -9,19 +9,21 @@ space between two other characters, so a text's count is the sum over such stret
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _remove
+from .common import Memo, _remove, pieces
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 MEMO = 300_000  # stretches that a worker remembers
 MEMO_CHARS = 40  # of the longest of them
+BATCH_BYTES = 4 << 20  # of text whose new stretches are counted together
 
 
 def file_digest(path: str) -> str:
@@ -33,7 +35,7 @@ class Counter:
     """Counts tokens as the file's library does, without begin, end or added special tokens."""
 
     def __init__(self, path: str, memo: int = MEMO):
-        self.size, self.known = memo, {}
+        self.memo = Memo(memo, MEMO_CHARS)
         if path.endswith(".json"):
             from tokenizers import Tokenizer
 
@@ -54,23 +56,20 @@ class Counter:
     def counts(self, texts: list[str]) -> list[int]:
         if not self.cut:
             return self.many(texts)
-        split, known = [], self.known
+        split = []
         for t in texts:
             parts = _CUT.split(t)
             if len(parts) > 1:
                 parts[1:] = [" " + p for p in parts[1:]]
             split.append(parts)
-        new = list({p for parts in split for p in parts if p not in known})
-        own = known
-        if new:
-            if len(known) + len(new) > self.size:
-                known.clear()
-                new = list({p for parts in split for p in parts})
-            got = dict(zip(new, self.many(new)))
-            if len(got) <= self.size:
-                known.update((p, n) for p, n in got.items() if len(p) <= MEMO_CHARS)
-            own = known | got
-        return [sum(map(own.__getitem__, parts)) for parts in split]
+        known = self.memo.answers(split, self.many)
+        return [sum(map(known.__getitem__, parts)) for parts in split]
+
+
+@functools.lru_cache(1)
+def _counter(path: str) -> Counter:
+    """One for all tasks of a worker."""
+    return Counter(path)
 
 
 def _encode(path: str):
@@ -78,12 +77,9 @@ def _encode(path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        c = Counter(path)
+        c = _counter(path)
         for b in it:
-            texts = b.column("tc_text").to_pylist()
-            out: list[int] = []
-            for i in range(0, len(texts), 256):
-                out += c.counts([t or "" for t in texts[i : i + 256]])
+            out = [n for _, texts in pieces(b.column("tc_text"), BATCH_BYTES) for n in c.counts([t or "" for t in texts])]
             yield pa.record_batch({"digest": b.column("tc_digest"), "n_tokens": pa.array(out, pa.int64())})
 
     return run
@@ -116,7 +112,9 @@ def count_tokens(df: DataFrame, tokenizer: str, cache: str, limit: int = 1024, i
     if known is not None:
         wanted = wanted.join(known, F.col("tc_digest") == F.col("digest"), "left_anti")
     # One row's text of each distinct digest: the row is named by id and digest, so that no text is aggregated.
-    misses = docs.withColumn("tc_digest", digest).withColumn("tc_one", F.coalesce(F.col("tc_id").cast("string"), F.lit(""))).join(wanted, ["tc_one", "tc_digest"], "left_semi").select("tc_digest", "tc_text")
+    misses = docs.withColumn("tc_digest", digest).withColumn("tc_one", F.coalesce(F.col("tc_id").cast("string"), F.lit(""))).join(wanted, ["tc_one", "tc_digest"], "left_semi")
+    one = Window.partitionBy("tc_one", "tc_digest").orderBy("tc_digest")  # equal rows have equal texts: any of them will do
+    misses = misses.withColumn("tc_n", F.row_number().over(one)).filter("tc_n = 1").select("tc_digest", "tc_text")
     fresh = misses.mapInArrow(_encode(tokenizer), "digest binary, n_tokens long").withColumn("version", F.lit(version))
     fresh.write.mode("append").parquet(cache)
     stored = cached_counts(spark, cache, version)

@@ -206,3 +206,42 @@ def test_forest_by_timeframe(spark):
     df = spark.createDataFrame([*rows, ("Q1", 2020, None, 0.5, "a")], "timeframe string, year int, b1 double, b2 double, type string")
     scores = ml.forest_scores(df, df, ["b1", "b2"], "type", "timeframe", "year", trees=5, depth=3).collect()
     assert len(scores) == 4 and all(r.acc > 0.9 for r in scores) and sum(r.n for r in scores) == 240
+
+
+def test_numbers_over_the_whole_table(spark):
+    from fenmark.operators.numbering import numbered
+
+    df = spark.createDataFrame([(int(v),) for v in np.random.default_rng(3).permutation(500)], "v int")
+    assert all(r.n == r.v + 1 for r in numbered(df, ["v"], bins=7).collect())
+    rows = spark.createDataFrame([(5, 30.0), (3, 10.0), (4, 20.0)], "v int, area double")
+    got = index_tables.tidy(rows, ["v"], "OW", {"pct": 100}, "area", 15.0).orderBy("v").collect()
+    assert [(r.v, r["index"], r.pct) for r in got] == [(4, "OW_1", 100), (5, "OW_2", 100)]
+
+
+def test_marks_of_a_split(spark):
+    counts = spark.createDataFrame([("a", "1", 0), ("a", "2", 1500), ("b", "1", 7)], "class string, year string, pixels long")
+    original = spark.createDataFrame([("a", "1", "x"), ("a", "2", "y")], "class string, year string, id string")
+    got = {(r["class"], r.year): r.shown for r in index_tables.split_marks(counts, original).collect()}
+    assert got == {("a", "1"): "[-]", ("a", "2"): "999+", ("b", "1"): "7"}
+
+
+def test_union_wants_equal_columns(spark):
+    with pytest.raises(ValueError):
+        index_tables.union_strict(spark.createDataFrame([(1,)], "a int"), spark.createDataFrame([(1,)], "b int"))
+
+
+def test_sampled_pairs(spark):
+    points = spark.createDataFrame([(1, 0.5, -0.5, "bog"), (2, 1.5, -0.5, "fen"), (3, 9.0, -9.0, "bog"), (4, 0.5, -1.5, "bog")], "id int, x double, y double, type string")
+    cells = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (1, 0, 7)], "row int, col int, value int")
+    got = metrics.sampled_pairs(points, cells, {"1": "bog", "2": "fen"}, "x", "y", "type", (1.0, 0.0, 0.0, 0.0, -1.0, 0.0))
+    assert sorted((r.id, r.y_pred) for r in got.collect()) == [(1, "bog"), (2, "fen")]
+
+
+def test_stretch_and_grids(spark):
+    cells = spark.createDataFrame([(0, c, float(c)) for c in range(101)] + [(1, 0, None)], "row int, col int, value double")
+    got = {r.col: r.unit for r in raster.stretch(cells, "value", 0.0, 1.0).filter("row = 0").collect()}
+    assert got[0] == 0 and got[100] == 1 and got[50] == pytest.approx(0.5)
+    assert raster.stretch(cells, "value").filter("row = 1").first().unit is None
+    meta = spark.createDataFrame([("a", "x", 2, 2, 0.0, 0.0, 1.0), ("b", "x", 2, 2, 0.5, 0.0, 1.0), ("c", None, 2, 2, 0.0, 0.0, 1.0)], "raster string, crs string, height int, width int, x0 double, y0 double, res double")
+    assert {r.raster: r.same for r in raster.compare_grids(meta, "a").collect()} == {"a": True, "b": False, "c": False}
+    assert {r.raster: r.same for r in raster.compare_grids(meta, "a", tol=1.0).collect()}["b"]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, Words, mix, text_bytes, window_hash
 
-MINI = 4  # words of a minimiser
+MINI = 3  # words of a minimiser
 LONGEST = 64  # windows in one string
 BLOCK_BYTES = 6 << 20  # of text in a block of documents
 BUCKET_BYTES = 8 << 20  # of packed strings in a bucket
@@ -31,7 +31,7 @@ _RESULT = "id long, n_words long, n_removed long, spans array<struct<first:long,
 def _pack(parts: list[np.ndarray], text: bytes = b"") -> bytes:
     heads = [p.tobytes() for p in parts]
     raw = struct.pack(f"<{len(heads) + 1}q", len(heads), *map(len, heads)) + b"".join(heads) + text
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
 def _unpack(blob: bytes, kinds: list[str]) -> tuple[list[np.ndarray], bytes]:

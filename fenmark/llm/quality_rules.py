@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import pieces, written
 
 SYMBOLS = "#*$%&|<>"
 #: What rules may test; the first five of each text are whole numbers.
@@ -79,12 +79,13 @@ def statistics(text: str | None) -> tuple:
 
 def _measure(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
-        rows = list(zip(*map(statistics, b.column("q_text").to_pylist()))) or [()] * (len(COUNTS) + len(RATIOS))
-        yield pa.record_batch(
-            {"q_id": b.column("q_id")}
-            | {k: pa.array(v, pa.int64()) for k, v in zip(COUNTS, rows)}
-            | {k: pa.array(v, pa.float64()) for k, v in zip(RATIOS, rows[len(COUNTS) :])}
-        )
+        for lo, texts in pieces(b.column("q_text"), 4 << 20):
+            rows = list(zip(*map(statistics, texts)))
+            yield pa.record_batch(
+                {"q_id": b.column("q_id").slice(lo, len(texts))}
+                | {k: pa.array(v, pa.int64()) for k, v in zip(COUNTS, rows)}
+                | {k: pa.array(v, pa.float64()) for k, v in zip(RATIOS, rows[len(COUNTS) :])}
+            )
 
 
 def measure(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -220,9 +221,11 @@ def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
 def _measure_all(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches with the statistics of their column q_text put behind their other columns."""
     for b in it:
-        rows = list(zip(*map(statistics, b.column("q_text").to_pylist()))) or [()] * (len(COUNTS) + len(RATIOS))
         kept = [n for n in b.schema.names if n != "q_text"]
-        yield pa.record_batch([b.column(n) for n in kept] + [pa.array(v, pa.int64() if i < len(COUNTS) else pa.float64()) for i, v in enumerate(rows)], names=kept + COUNTS + RATIOS)
+        for lo, texts in pieces(b.column("q_text"), 4 << 20):
+            rows = list(zip(*map(statistics, texts)))
+            own = b.slice(lo, len(texts))
+            yield pa.record_batch([own.column(n) for n in kept] + [pa.array(v, pa.int64() if i < len(COUNTS) else pa.float64()) for i, v in enumerate(rows)], names=kept + COUNTS + RATIOS)
 
 
 def fit_documents(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", max_train: int = MAX_TRAIN) -> list[list[Test]]:

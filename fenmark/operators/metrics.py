@@ -60,8 +60,10 @@ def weighted_year_average(scores: DataFrame, weights: dict[str, float], year: st
     if abs(sum(weights.values()) - 1) > 1e-6:
         raise ValueError("weights must sum to 1")
     w = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col(period)]
-    rows = scores.filter(F.col(period).isin(list(weights))).withColumn("w", w)
-    mean = lambda c: round2(F.try_divide(F.sum(F.col(c) * F.col("w")), F.sum(F.when(F.col(c).isNotNull(), F.col("w"))))).alias(c)
+    rows = scores.filter(F.col(period).isin(list(weights))).withColumn("w", w.cast("decimal(18,9)"))
+    # Sums of decimals are exact, so that a mean on the edge rounds the same way in any order.
+    total = lambda c: F.sum(F.col(c).cast("decimal(18,9)") * F.col("w")).cast("double")
+    mean = lambda c: round2(F.try_divide(total(c), F.sum(F.when(F.col(c).isNotNull(), F.col("w"))).cast("double"))).alias(c)
     return rows.groupBy(year).agg(*[mean(c) for c in metrics], *[F.bround(F.avg(F.coalesce(F.col(c), F.lit(0))), 0).cast("long").alias(c) for c in counts])
 
 

@@ -20,11 +20,16 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | None = None, dates: tuple[str, ...] = ()) -> Callable[[Query], Query]:
+    """Registers a query and its SQL; columns named in dates are compared as text."""
+
     def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
+        def as_text(spark: SparkSession, sf: str) -> DataFrame:
+            return f(spark, sf).withColumns({d: F.col(d).cast("string") for d in dates})
+
+        _QUERIES[f.__name__] = as_text if dates else f
         if sql:
-            _SQL[f.__name__] = sql
+            _SQL[f.__name__] = f"SELECT * REPLACE ({', '.join(f'CAST({d} AS VARCHAR) AS {d}' for d in dates)}) FROM ({sql})" if dates else sql
         return f
 
     return add
@@ -69,7 +74,7 @@ def stability_profile(spark, sf):
     return stability.stability_profile(obs, ["pixel_id"], "cls")
 
 
-@query(_DAYS + "SELECT pixel_id, day, modal_class, second_class, decision_category FROM d")
+@query(_DAYS + "SELECT pixel_id, day, modal_class, second_class, decision_category FROM d", dates=("day",))
 def decision_category(spark, sf):
     return _daily_profile(spark, sf).select("pixel_id", "day", "modal_class", "second_class", "decision_category")
 
@@ -81,12 +86,12 @@ def decision_distribution(spark, sf):
 
 @query(_DAYS + """SELECT pixel_id, day, decision_category,
   CASE WHEN decision_category = 4 THEN least(modal_class, second_class) || '_' || greatest(modal_class, second_class) END AS pair
-FROM d WHERE decision_category IN (4, 5)""")
+FROM d WHERE decision_category IN (4, 5)""", dates=("day",))
 def unstable_pairs(spark, sf):
     return stability.unstable_pairs(_daily_profile(spark, sf), ["pixel_id", "day"]).drop("palette")
 
 
-@query(_DAYS + "SELECT pixel_id, day, modal_class, CASE WHEN modal_class = 'click' THEN '#ff0000' ELSE '#000000' END AS color, CAST(CASE WHEN decision_category = 2 THEN 0.5 ELSE 1.0 END AS DOUBLE) AS alpha FROM d WHERE decision_category IN (1, 2)")
+@query(_DAYS + "SELECT pixel_id, day, modal_class, CASE WHEN modal_class = 'click' THEN '#ff0000' ELSE '#000000' END AS color, CAST(CASE WHEN decision_category = 2 THEN 0.5 ELSE 1.0 END AS DOUBLE) AS alpha FROM d WHERE decision_category IN (1, 2)", dates=("day",))
 def stable_cells(spark, sf):
     colours = spark.createDataFrame([("click", "#ff0000")], "class string, color string")
     return stability.stable_cells(_daily_profile(spark, sf), colours, ["pixel_id", "day"], [1, 2], {2: 0.5})
@@ -249,10 +254,10 @@ def per_class_wide(spark, sf):
 
 
 _QUARTERS = _scores_sql("year, timeframe") + ", q AS (" + _ACCURACY.format(k="year, timeframe") + ") "
-_W = "CASE timeframe WHEN 'Q1' THEN 0.1 WHEN 'Q2' THEN 0.4 WHEN 'Q3' THEN 0.4 ELSE 0.1 END"
+_W = "CAST(CASE timeframe WHEN 'Q1' THEN 0.1 WHEN 'Q2' THEN 0.4 WHEN 'Q3' THEN 0.4 ELSE 0.1 END AS DECIMAL(18, 9))"
 
 
-@query(_QUARTERS + f"SELECT year, round_even(sum(acc * {_W}) / sum({_W}), 2) AS acc, round_even(sum(macro_f1 * {_W}) / sum({_W}), 2) AS macro_f1, CAST(round_even(avg(n), 0) AS BIGINT) AS n FROM q GROUP BY year")
+@query(_QUARTERS + f"SELECT year, round_even(CAST(sum(CAST(acc AS DECIMAL(18, 9)) * {_W}) AS DOUBLE) / CAST(sum({_W}) AS DOUBLE), 2) AS acc, round_even(CAST(sum(CAST(macro_f1 AS DECIMAL(18, 9)) * {_W}) AS DOUBLE) / CAST(sum({_W}) AS DOUBLE), 2) AS macro_f1, CAST(round_even(avg(n), 0) AS BIGINT) AS n FROM q GROUP BY year")
 def year_weighted_average(spark, sf):
     per = metrics.accuracy(_pairs(spark, sf), ["year", "timeframe"], "truth", "pred")
     return metrics.weighted_year_average(per, {"Q1": 0.1, "Q2": 0.4, "Q3": 0.4, "Q4": 0.1}, "year", "timeframe", ["acc", "macro_f1"], ["n"])
@@ -400,12 +405,12 @@ s AS (SELECT station, unnest(generate_series(a, b, INTERVAL 1 MONTH)) AS month F
 m AS (SELECT s.station, CAST(s.month AS DATE) AS month, CASE WHEN coalesce(k, 0) >= 0.5 * day(last_day(s.month)) THEN CAST(pet_mm AS DOUBLE) END AS pet_mm FROM s LEFT JOIN h ON h.station = s.station AND h.month = s.month)"""
 
 
-@query(_MONTHS + "SELECT * FROM m")
+@query(_MONTHS + "SELECT * FROM m", dates=("month",))
 def monthly_coverage_sum(spark, sf):
     return timeseries.monthly_sums(_daily(spark, sf), "station", "date", ["pet_mm"], 0.5)
 
 
-@query(_MONTHS + "SELECT station, month, pet_mm, CASE WHEN count(pet_mm) OVER w = 3 THEN sum(pet_mm) OVER w END AS sum3 FROM m WINDOW w AS (PARTITION BY station ORDER BY month ROWS 2 PRECEDING)")
+@query(_MONTHS + "SELECT station, month, pet_mm, CASE WHEN count(pet_mm) OVER w = 3 THEN sum(pet_mm) OVER w END AS sum3 FROM m WINDOW w AS (PARTITION BY station ORDER BY month ROWS 2 PRECEDING)", dates=("month",))
 def rolling_k(spark, sf):
     months = timeseries.monthly_sums(_daily(spark, sf), "station", "date", ["pet_mm"], 0.5)
     return timeseries.rolling_sum(months, ["station"], "month", "pet_mm", 3, "sum3")
@@ -460,23 +465,23 @@ def connected_regions(spark, sf):
 
 
 @query("""SELECT coalesce(a.date, b.date) AS date, coalesce(a.n, 0) AS orders, coalesce(b.n, 0) AS lines
-FROM (SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS n FROM orders GROUP BY 1) a FULL JOIN (SELECT CAST(l_shipdate AS DATE) AS date, count(*) AS n FROM lineitem GROUP BY 1) b ON a.date = b.date""")
+FROM (SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS n FROM orders GROUP BY 1) a FULL JOIN (SELECT CAST(l_shipdate AS DATE) AS date, count(*) AS n FROM lineitem GROUP BY 1) b ON a.date = b.date""", dates=("date",))
 def survey_counts_full_outer(spark, sf):
     o, l = table(spark, sf, "orders").select(F.col("o_orderdate").alias("date")), table(spark, sf, "lineitem").select(F.col("l_shipdate").alias("date"))  # noqa: E741
     return survey.per_day_of({"orders": o, "lines": l})
 
 
-@query("SELECT CAST(ts AS DATE) AS date, count(*) AS n FROM events GROUP BY 1 HAVING count(*) >= 300")
+@query("SELECT CAST(ts AS DATE) AS date, count(*) AS n FROM events GROUP BY 1 HAVING count(*) >= 300", dates=("date",))
 def minimum_count_days(spark, sf):
     return survey.per_day(table(spark, sf, "events"), "ts", 300)
 
 
-@query("SELECT CAST(ts AS DATE) AS date, count(*) AS n, count(DISTINCT event_type) AS n_sources, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS sources FROM events GROUP BY 1")
+@query("SELECT CAST(ts AS DATE) AS date, count(*) AS n, count(DISTINCT event_type) AS n_sources, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS sources FROM events GROUP BY 1", dates=("date",))
 def sources_per_day(spark, sf):
     return survey.sources_per_day(table(spark, sf, "events"), "ts", "event_type").withColumn("sources", F.array_join("sources", ","))
 
 
-@query("SELECT event_id, CAST(ts - INTERVAL 1 HOUR AS DATE) AS date, CAST(year(ts - INTERVAL 1 HOUR) AS VARCHAR) AS years, CAST(month(ts - INTERVAL 1 HOUR) AS VARCHAR) AS month FROM events")
+@query("SELECT event_id, CAST(ts - INTERVAL 1 HOUR AS DATE) AS date, CAST(year(ts - INTERVAL 1 HOUR) AS VARCHAR) AS years, CAST(month(ts - INTERVAL 1 HOUR) AS VARCHAR) AS month FROM events", dates=("date",))
 def survey_standardised(spark, sf):
     return survey.standardised(table(spark, sf, "events"), "ts", hours=-1).select("event_id", "date", "years", "month")
 

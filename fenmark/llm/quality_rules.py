@@ -22,7 +22,7 @@ SYMBOLS = "#*$%&|<>"
 #: What rules may test; the first five of each text are whole numbers.
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 RATIOS = ["mean_word", "symbol_share", "dup_line_share", "repeat_share", "distinct_share", "upper_share", "digit_share", "letter_share", "mark_share", "top_word_share", "words_a_line"]
-MAX_TRAIN = 20_000  # labelled rows that the list is learned from, chosen by a hash of their id
+MAX_TRAIN = 20_000  # labelled rows that the list is learned from, chosen by a hash of their id (as an expected value)
 
 
 def repeated_words(ids: np.ndarray, k: int = 8) -> int:
@@ -197,11 +197,18 @@ def base_failed(n_words: str = "n_words", n_repeat: str = "n_repeat_words") -> C
     return (F.col(n_words) < 20) | (100 * F.col(n_repeat) > 30 * F.col(n_words))
 
 
+def _sampled(labels: DataFrame, key: str, most: int) -> DataFrame:
+    """About `most` of the labels, chosen by a hash of their id; all if there are fewer."""
+    share = min(1.0, most / max(1, labels.count()))
+    return labels if share == 1 else labels.filter(F.pmod(F.xxhash64(F.lit(13), key), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
 def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "quality", max_train: int = MAX_TRAIN) -> list[list[Test]]:
-    """Learns from rows with a label (0: reject), max_train of them at most; nulls and unknown ids play no part."""
+    """Learns from rows with a label (0: reject), about max_train of them at most; nulls and unknown ids play no part."""
     labels = labels.select(F.col(id_col).cast("long").alias("q_id"), F.col(label).alias("q_label")).filter("q_id is not null and q_label is not null").groupBy("q_id").agg(F.min("q_label").alias("q_label"))
     names = COUNTS[:2] + RATIOS
-    rows = stats.join(labels, F.col(id_col) == F.col("q_id")).filter(~base_failed()).select("q_id", "q_label", *names).orderBy(F.xxhash64("q_id"), "q_id").limit(max_train).toPandas()
+    labels = _sampled(labels, "q_id", max_train)
+    rows = stats.join(labels, F.col(id_col) == F.col("q_id")).filter(~base_failed()).select("q_id", "q_label", *names).toPandas().sort_values(["q_id", *names], kind="stable")
     if rows.empty:
         return []
     return learn({k: rows[k].to_numpy(np.float64) for k in names}, rows["q_label"].to_numpy() == 0)
@@ -230,9 +237,10 @@ def _measure_all(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit_documents(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", max_train: int = MAX_TRAIN) -> list[list[Test]]:
     """As fit, measuring only the documents of max_train labels, chosen by a hash of their id."""
-    some = labels.select(F.col(id_col).cast("long").alias(id_col), F.col(label)).filter(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(id_col).agg(F.min(label).alias(label)).orderBy(F.xxhash64(id_col), id_col).limit(max_train)
+    some = labels.select(F.col(id_col).cast("long").alias(id_col), F.col(label)).filter(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(id_col).agg(F.min(label).alias(label))
+    some = _sampled(some, id_col, max_train)
     own = df.select(F.col(id_col).cast("long").alias(id_col), F.col(text).alias("text"))
-    # The sample has max_train rows of two numbers at most.
+    # The sample has about max_train rows of two numbers.
     return fit(measure(own.join(F.broadcast(some.select(id_col)), id_col), id_col, "text"), some, id_col, label, max_train)
 
 

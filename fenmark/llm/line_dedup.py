@@ -1,30 +1,33 @@
-"""Fuzzy line dedup: SimHash of normalised lines, joins on pigeonhole blocks, edit similarity, connected groups.
+"""Fuzzy line dedup: sampled word shingles of normalised lines as join keys, edit similarity, connected groups.
 
 A line's normal form is its lower-cased words joined by one space. Lines of equal form are one node. Two nodes are
-linked if their 63-bit SimHashes (of words of WORD characters or more) differ in at most three bits and their word
-sequences have an edit similarity of at least `similarity_pct` percent. Of five blocks of bits, two agree whenever three bits
-at most differ, so each pair of blocks is a join key. A key's bucket of two nodes is a pair. In a larger one all nodes
-are compared with its most frequent line; then, for ROUNDS rounds, with one node that is still outside that line's group; then what
-is still apart, pair by pair. So no link is lost, and the pairs of a connected crowd are not listed.
+linked if their word sequences have an edit similarity of at least `similarity_pct` percent; words of any length count.
+Such lines share runs of words, so a line's join keys are the smallest hashes of its word shingles, as many as leave a
+pair at the limit of similarity without a common key with probability MISS (all shingles where a line has fewer).
+A key's bucket of two nodes is a pair. In a larger one all nodes are compared with its most frequent line; then, for
+ROUNDS rounds, with one node that is still outside that line's group; then what is still apart, pair by pair. Pairs are
+left out before the edit check only if their lengths or word parities rule the similarity out. So no pair with a
+common key is lost, and the pairs of a connected crowd are not listed.
 The first line of each connected group (by document id, then line number) is kept.
 
-Only DataFrame functions are used. SimHash counters are sums of numbers that hold seven nine-bit counters each; word
-sequences are compared as strings of one 16-bit code a word.
+Only DataFrame functions are used; word sequences are compared as strings of one 16-bit code a word. `simhashes` (with
+WORD and FAR) plays no part in links.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, written
 
-BITS = [(0, 13), (13, 13), (26, 13), (39, 12), (51, 12)]  # first bit and width of each block
-FAR = 3  # bits that may differ
+MISS = 5e-4  # probability that a pair at the limit of similarity has no common key
+SHINGLE = 3  # words, fewer where the similarity allows closer edits
 ROUNDS = 4
-WORD = 4  # characters of a word that counts, where a line has one
+FAR = 3  # bits that differ in SimHashes of close lines
+WORD = 4  # characters of a word that counts in a SimHash
 CHUNK = 256  # words whose bits are counted together
 SPACE = r"[\x20\x09-\x0D]+"
 _SUMS = 9
@@ -83,11 +86,28 @@ def _codes(words: str) -> Column:
     return F.expr(f"decode(unhex(array_join(transform({words}, w -> lpad(hex(256 + pmod(xxhash64(w), 49152)), 4, '0')), '')), 'UTF-16BE')")
 
 
-def _keys(sim: str) -> Column:
-    """A key for each two blocks of a SimHash."""
-    block = [f"(shiftrightunsigned({sim}, {at}) & {(1 << width) - 1}L)" for at, width in BITS]
-    pairs = [f"shiftleft({i}L, 26) | shiftleft({block[a]}, 13) | {block[b]}" for i, (a, b) in enumerate(combinations(range(len(BITS)), 2))]
-    return F.expr(f"array({', '.join(pairs)})")
+def _least_words(pct: int) -> int:
+    """Words of the shortest lines in which an edit is allowed (one fewer at most)."""
+    return 100 // max(1, 100 - pct) - 1
+
+
+def shingle_plan(pct: int) -> tuple[int, int]:
+    """(words of a shingle, keys of a line). Of n words pct percent stay, in runs that an edit parts: each edit changes k shingles at most."""
+    k = max(1, min(SHINGLE, math.ceil((math.ceil(100 / max(1, 100 - pct)) - 1) / 2)))
+    same = min(0.99, max(0.1, 1 - k * (100 - pct) / 100))
+    return k, math.ceil(math.log(MISS) / math.log(1 - same / (2 - same)))
+
+
+def _keyed(rows: DataFrame, pct: int, words: str = "w", n: str = "n") -> DataFrame:
+    """rows with p0 and p1 (which of 64 bits an odd number of words has) and the keys s0, s1, ...; null in lines too short for edits."""
+    k, most = shingle_plan(pct)
+    parity = lambda at: F.expr(f"aggregate(lk_h, 0L, (p, h) -> p ^ shiftleft(1L, cast(shiftrightunsigned(h, {at}) & 63 as int)))")
+    each = ", ".join(f"lk_h[i + {j}]" for j in range(k))
+    shingles = F.expr(f"slice(sort_array(array_distinct(transform(sequence(0, {n} - {k}), i -> xxhash64({each})))), 1, {most})")
+    long_ = (F.col(n) >= max(k, _least_words(pct))) & F.col("node").isNotNull()
+    hashed = rows.withColumn("lk_h", F.when(long_, F.expr(f"transform({words}, x -> xxhash64(x))")))
+    keyed = hashed.withColumns({"p0": F.when(long_, parity(0)), "p1": F.when(long_, parity(6)), "lk_s": F.when(long_, shingles)})
+    return keyed.withColumns({f"s{j}": F.expr(f"get(lk_s, {j})") for j in range(most)}).drop("lk_h", "lk_s")
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, pct: int) -> DataFrame:
@@ -98,42 +118,42 @@ def _alike(pairs: DataFrame, texts: DataFrame, pct: int) -> DataFrame:
     return both.filter(F.expr(f"levenshtein(a_codes, b_codes, {most}) >= 0")).select("a", "b")
 
 
-def _line_table(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(lines, nodes). lines: ld_at (a number of the row), ld_id, ld_row (a hash of id and text), ln, node, check for each line with a
-    word and for each row's first line (node is null if that has no word). nodes: node, check, n, times, sim of each normal form."""
+def _line_table(df: DataFrame, pct: int, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(lines, nodes). lines: ld_at (a number of the row), ld_id, ld_row (a hash of id and text), ln, node, check, n and what _keyed gives, for
+    each line with a word and for each row's first line (node is null if that has no word). nodes: node, check, n, times, p0, p1 of each normal form."""
     # Rows are numbered before they are split, so that equal rows aren't counted together.
     rows = df.select(F.monotonically_increasing_id().alias("ld_at"), F.col(id_col).cast("long").alias("ld_id"), F.xxhash64(F.col(id_col), F.col(text)).alias("ld_row"), F.col(text).alias("ld_text"))
     split = rows.select("ld_at", "ld_id", "ld_row", F.posexplode_outer(F.split("ld_text", "\n")).alias("ln", "line"))
     form = split.select("ld_at", "ld_id", "ld_row", F.coalesce("ln", F.lit(0)).alias("ln"), F.coalesce(normal_form(F.col("line")), F.lit("")).alias("f")).filter("f <> '' or ln = 0")
     word = F.col("f") != ""
     hashed = form.select("ld_at", "ld_id", "ld_row", "ln", F.when(word, F.xxhash64("f")).alias("node"), F.when(word, F.xxhash64(F.lit(1), "f")).alias("check"), F.split("f", " ").alias("w")).withColumn("n", F.size("w"))
-    keys = ["ld_at", "ld_id", "ld_row", "ln", "node", "check", "n"]
-    counts = written(_counts(hashed, keys, "w"), "line-counts")
-    lines = counts.filter("part = 0").select("ld_at", "ld_id", "ld_row", "ln", "node", "check")
-    # Equal lines have equal counters: any of them stands for all.
-    sums = ["m", *[f"l{k}" for k in range(_SUMS)]]
-    one = [F.first(c).alias(c) for c in sums]
-    nodes = counts.filter("part = 0 and node is not null").groupBy("node", "check", "n").agg(F.count(F.lit(1)).alias("times"), *one)
-    short = nodes.filter(F.col("n") <= CHUNK).withColumn("sim", _majority())
-    long_ = counts.filter(F.col("n") > CHUNK).groupBy("node", "check", "n", "part").agg(*one)
-    far = nodes.filter(F.col("n") > CHUNK).drop(*sums).join(_majority_of_parts(long_, ["node", "check", "n"]), ["node", "check", "n"])
-    columns = ["node", "check", "n", "times", "sim"]
-    return lines, written(short.select(*columns).union(far.select(*columns)), "line-nodes")
+    keyed = written(_keyed(hashed, pct).drop("w"), "line-keys")
+    # Equal lines have equal parities: any of them stands for all.
+    nodes = keyed.filter("node is not null").groupBy("node", "check", "n").agg(F.count(F.lit(1)).alias("times"), F.first("p0").alias("p0"), F.first("p1").alias("p1"))
+    return keyed, written(nodes, "line-nodes")
 
 
 def _groups_of_lines(df: DataFrame, lines: DataFrame, nodes: DataFrame, pct: int, id_col: str, text: str) -> DataFrame:
     """(node, label) of the nodes that are linked with others."""
-    # In shorter lines than these no edit is allowed, so that only equal ones are alike.
-    bands = nodes.filter(F.col("n") + 1 >= 100 // max(1, 100 - pct)).select("node", "sim", F.explode(_keys("sim")).alias("key"))
-    # Two nodes' SimHashes differ in the bits of their exclusive or.
-    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor("sim").alias("x")).filter("size > 1").filter((F.col("size") > 2) | (F.bit_count("x") <= FAR)).select("key", "size")
-    members = written(bands.join(buckets.hint("shuffle_hash"), "key").join(nodes.select("node", "times"), "node"), "members")
-    couples = members.filter("size = 2").groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).select("a", "b")
-    large = members.filter("size > 2")
-    apart = F.bit_count(F.col("a_sim").bitwiseXOR(F.col("b_sim")))
-    near = apart <= FAR
-    side = lambda d, s, *more: d.select("key", F.col("node").alias(s), F.col("sim").alias(f"{s}_sim"), *more)
-    chosen = lambda d: d.groupBy("key").agg(F.max(F.struct("times", "node", "sim")).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.sim").alias("a_sim"))
+    keys = F.array(*[c for c in lines.columns if c[0] == "s" and c[1:].isdigit()])
+    bands = lines.filter("node is not null").select("node", F.explode(keys).alias("key")).filter("key is not null")
+    buckets = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
+    kept = bands.join(buckets.hint("shuffle_hash"), "key").distinct()
+    members = written(kept.join(nodes.select("node", "times", F.struct("n", "p0", "p1").alias("sketch")), "node"), "members")
+    # An edit changes the parity of two bits at most.
+    longer = F.greatest("a_sketch.n", "b_sketch.n")
+    near = 100 * F.least("a_sketch.n", "b_sketch.n") >= pct * longer
+    for p in ("p0", "p1"):
+        near = near & (F.bit_count(F.col(f"a_sketch.{p}").bitwiseXOR(F.col(f"b_sketch.{p}"))) <= 2 * F.floor((100 - pct) * longer / 100))
+    # Nodes that could be alike with none of their bucket leave it.
+    other = members.select(F.col("key").alias("b_key"), F.col("node").alias("b"), F.col("sketch").alias("b_sketch"))
+    met = members.withColumn("a_sketch", F.col("sketch")).join(other, (F.col("key") == F.col("b_key")) & (F.col("node") != F.col("b")) & near, "left_semi").drop("a_sketch")
+    met = written(met, "met")
+    sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("a"), F.max("node").alias("b"))
+    couples = sizes.filter("size = 2").select("a", "b")
+    large = met.join(sizes.filter("size > 2").select("key"), "key", "left_semi")
+    side = lambda d, s, *more: d.select("key", F.col("node").alias(s), F.col("sketch").alias(f"{s}_sketch"), *more)
+    chosen = lambda d: d.groupBy("key").agg(F.max(F.struct("times", "node", "sketch")).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.sketch").alias("a_sketch"))
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     often = written(chosen(large), "pivots")
     star = side(large, "b").join(often, "key").filter("a <> b").filter(near).select(*ordered)
@@ -154,14 +174,14 @@ def _groups_of_lines(df: DataFrame, lines: DataFrame, nodes: DataFrame, pct: int
         return groups
     for turn in range(ROUNDS + 1):
         named = groups.select(F.col("node").alias("g_node"), "label")
-        labelled = large.join(named, F.col("node") == F.col("g_node"), "left").select("key", "node", "sim", "times", F.coalesce("label", "node").alias("group"))
+        labelled = large.join(named, F.col("node") == F.col("g_node"), "left").select("key", "node", "sketch", "times", F.coalesce("label", "node").alias("group"))
         main = labelled.join(often.select("key", F.col("a").alias("node")), ["key", "node"]).select("key", F.col("group").alias("main"))
         labelled = written(labelled.join(main, "key"), "labelled")
         open_ = labelled.filter("group <> main")
         b = side(labelled, "b", F.col("group").alias("b_group"))
         if turn < ROUNDS:  # another open node of each bucket in each turn
             mixed = open_.withColumn("times", F.xxhash64(F.lit(turn), "group"))
-            a = mixed.groupBy("key").agg(F.max(F.struct("times", "node", "sim", "group")).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.sim").alias("a_sim"), F.col("p.group").alias("a_group"))
+            a = mixed.groupBy("key").agg(F.max(F.struct("times", "node", "sketch", "group")).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.sketch").alias("a_sketch"), F.col("p.group").alias("a_group"))
         else:
             a = side(open_, "a", F.col("group").alias("a_group"))
         rest = a.join(b, "key").filter(F.col("a_group") != F.col("b_group")).filter(near).select(*ordered).distinct()
@@ -179,7 +199,7 @@ def duplicate_lines(df: DataFrame, similarity_pct: int = 90, id_col: str = "doc_
     one document: their lines at one place don't remove each other. An empty table gives no rows; other columns play
     no part.
     """
-    lines, nodes = _line_table(df, id_col, text)
+    lines, nodes = _line_table(df, similarity_pct, id_col, text)
     groups = _groups_of_lines(df, lines, nodes, similarity_pct, id_col, text)
     known = nodes.join(groups, "node", "left").filter("times > 1 or label is not null").select("node", "check", F.coalesce("label", "node").alias("group"))
     found = written(lines.join(known, ["node", "check"]).select("ld_id", "ld_row", "ln", "group"), "line-places")

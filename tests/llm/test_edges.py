@@ -248,6 +248,38 @@ def test_large_buckets_of_lines_by_brute_force(spark):
     assert {i for i, n in report.items() if n == 0} == {i for i in range(60) if root[i] == i}
 
 
+def _edited(rng, w, edits):
+    w = list(w)
+    for at in rng.choice(len(w), edits, replace=False):
+        w[at] = f"edit{rng.integers(1 << 40)}"
+    return w
+
+
+def test_recall_of_edited_lines_by_brute_force(spark):
+    """Lines of 10 to 40 words and their copies with a tenth of the words replaced, or a word moved in or out; nothing but the edits decides."""
+    rng = np.random.default_rng(11)
+    first = [[f"token{i}" for i in rng.integers(0, 3000, 10 + k % 31)] for k in range(600)]
+    second = []
+    for k, w in enumerate(first):
+        near = _edited(rng, w, (1, len(w) // 10, 1 + len(w) // 10)[k % 3])
+        at = int(rng.integers(len(w)))
+        second.append((near, w[:at] + w[at + 1 :], near)[k % 5 % 3])
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    alike = {k for k, (a, b) in enumerate(zip(first, second)) if distance(a, b) <= 10 * max(len(a), len(b)) // 100}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(first + second)], "doc_id long, text string")
+    gone = {r.doc_id - len(first) for r in line_dedup.line_report(df).collect() if r.n_removed}
+    assert 300 < len(alike) < 600 and gone <= alike
+    assert len(gone) >= 0.999 * len(alike)
+
+
 def brute_components(texts, k):
     sets = []
     for t in texts:

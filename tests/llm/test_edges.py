@@ -280,6 +280,21 @@ def test_recall_of_edited_lines_by_brute_force(spark):
     assert len(gone) >= 0.999 * len(alike)
 
 
+def test_lines_of_short_words(spark):
+    """Lines that differ in one word of under four characters, with and without longer words beside it, and lines of CJK words."""
+    rng = np.random.default_rng(13)
+    short = [f"{i:02x}" for i in range(256)]
+    cjk = [chr(0x4E00 + i) for i in range(256)]
+    pairs = []
+    for k in range(40):
+        words = [short, cjk, short + [f"token{i}" for i in range(256)]][k % 3]
+        a = [words[i] for i in rng.integers(0, len(words), 10 + k % 20)]
+        at = int(rng.integers(len(a)))
+        pairs.append((a, [*a[:at], f"x{k % 10}", *a[at + 1 :]]))
+    df = spark.createDataFrame([(2 * i + j, " ".join(w)) for i, p in enumerate(pairs) for j, w in enumerate(p)], "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.line_report(df).collect() if r.n_removed} == {2 * i + 1 for i in range(len(pairs))}
+
+
 def brute_components(texts, k):
     sets = []
     for t in texts:

@@ -2,7 +2,7 @@
 
 Each source's documents, shuffled by a hash, form one stream of tokens that is cut into equal blocks. Point k of a
 golden-ratio sequence falls into the cumulative targets and so names the source of slot k; the slot's rank within
-its source names the block. Documents, cut at block borders, join the slots on (source, block). Ranks and stream
+its source names the block; a source that the drawn points leave short gets its last slots after them. Documents, cut at block borders, join the slots on (source, block). Ranks and stream
 positions come from sums over chunks plus ranks within a chunk, so that no source, however large, is one task's work.
 """
 
@@ -108,6 +108,10 @@ def mix(
     earlier = per.select("m_src", "m_chunk", (F.sum("m_n").over(Window.partitionBy("m_src").orderBy("m_chunk")) - F.col("m_n")).alias("m_earlier"))
     ranked = slots.withColumn("m_rank", F.row_number().over(Window.partitionBy("m_src", "m_chunk").orderBy("k")))
     ranked = ranked.join(earlier, ["m_src", "m_chunk"]).select("m_src", (F.col("m_earlier") + F.col("m_rank") - 1).alias("m_block"))
+    # Every source has as many slots as its target has blocks.
+    drawn = per.groupBy("m_src").agg(F.sum("m_n").alias("m_drawn"))
+    short = table.select("m_src", F.ceil(F.col("m_stop") / block).alias("m_need")).join(drawn, "m_src", "left").withColumn("m_drawn", F.coalesce("m_drawn", F.lit(0)))
+    ranked = ranked.union(short.filter("m_drawn < m_need").select("m_src", F.explode(F.expr("sequence(m_drawn, m_need - 1)")).alias("m_block")))
 
     # A source's blocks run through its stream and, where its target exceeds its size, through it once more.
     laps = stream.withColumn("m_lap", F.explode(F.array(*[F.lit(i).cast("long") for i in range(math.ceil(cap))])))

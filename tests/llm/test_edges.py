@@ -178,6 +178,16 @@ def test_mixing(odd, none):
     assert copies.columns == odd.columns
 
 
+def test_mixing_small_sources_among_large(spark):
+    """Sources of under two blocks get their whole target, whatever points the schedule draws."""
+    large = spark.range(3600).select(F.col("id").alias("doc_id"), F.format_string("large%d", F.col("id") % 3).alias("source"), F.expr("repeat('w ', 1000)").alias("text"))
+    small = spark.range(17).select((F.col("id") + 10_000).alias("doc_id"), F.format_string("small%02d", "id").alias("source"), F.expr("repeat('w ', cast(150 + 50 * id as int))").alias("text"))
+    out = mixing.mix(large.union(small), block_tokens=1024).groupBy("source_size").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()
+    few = [r for r in out if r.source_size < 1024]
+    assert len(few) == 17 and all(r.target == 2 * r.source_size and r.taken == r.target for r in few)
+    assert mixing.mixed(small.union(large), block_tokens=1024).filter("source like 'small%'").count() == 34
+
+
 def test_water_filling():
     assert mixing.water_fill([10, 10, 10], [3, 1, 2], 45, 2) == pytest.approx([20, 25 / 3, 50 / 3])
     assert mixing.water_fill([0, 10], [3, 1], 15, 2) == [0, 15]

@@ -24,7 +24,6 @@ class SplitPlan:
     shares: tuple[float, float, float] = (0.7, 0.3, 0.0)
     large: int = 36  # pixels from which a polygon gives only a connected patch of so many
     seed: int = 42
-    attempts: int = 10_000
 
 
 def _patch(cells: np.ndarray, start: int, size: int) -> list[int] | None:
@@ -55,7 +54,7 @@ def split_class(rows: pd.DataFrame, plan: SplitPlan) -> pd.DataFrame:
     target = {s: plan.cap * p for s, p in zip(SPLITS, plan.shares)}
     got = dict.fromkeys(SPLITS, 0)
     out = np.full(len(rows), "leftover", dtype=object)
-    for _ in range(plan.attempts):
+    while True:  # each turn takes or discards a polygon
         need = {s: target[s] - got[s] for s in SPLITS if target[s] - got[s] > 0}
         years = sorted(y for y, p in free.items() if p)
         if not need or not years:

@@ -140,6 +140,13 @@ def test_colours(spark):
         assert r.hex == r.c[:7]
 
 
+def test_split_takes_more_than_ten_thousand_polygons():
+    """A class of small polygons reaches a cap that needs more than 10,000 of them."""
+    rows = pd.DataFrame({"class": "x", "year": "2020", "polygon": [f"a{i:05d}" for i in range(10_001)], "row": 0, "col": 0}).assign(id=lambda d: d.polygon + "_0")
+    out = split.split_class(rows, split.SplitPlan(cap=10_001, shares=(1.0, 0.0, 0.0)))
+    assert (out.split == "train").all()
+
+
 def test_split_invariants_and_reruns():
     rng = np.random.default_rng(0)
     rows = pd.DataFrame([("A", str(2017 + p % 3), f"GI_{p}_{i}", f"GI_{p}", i // 5, i % 5) for p in range(60) for i in range(int(rng.integers(1, 25)))], columns=["class", "year", "id", "polygon", "row", "col"])

@@ -56,6 +56,12 @@ def with_result(df: DataFrame, **cols) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in cols], *[v.alias(k) for k, v in cols.items()])
 
 
+def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns c0, c1, ..., which clash with no operator's own, and the new name of each old one."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

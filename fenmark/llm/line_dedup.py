@@ -1,17 +1,23 @@
-"""Fuzzy line dedup: sampled word shingles of normalised lines as join keys, edit similarity, connected groups.
+"""Fuzzy line dedup: SimHash blocks of normalised lines as join keys, edit similarity, connected groups.
 
 A line's normal form is its lower-cased words joined by one space. Lines of equal form are one node. Two nodes are
 linked if their word sequences have an edit similarity of at least `similarity_pct` percent; words of any length count.
-Such lines share runs of words, so a line's join keys are the smallest hashes of its word shingles, as many as leave a
-pair at the limit of similarity without a common key with probability MISS (all shingles where a line has fewer).
+
+A line's SimHash has blocks of 64 bits. Each bit of a block is the sign of a weighted vote of the hashes of the line's word
+shingles. Weights halve from one shingle to the next in the order of their hashes, and a block leaves out the shingles that
+decided the blocks before it: so the heaviest one left outvotes all others together, and the block's bits are its hash.
+Edits then change whole blocks instead of scattered bits, and by the pigeonhole principle lines whose edits leave one of
+the blocks alone share a join key. There are as many blocks as leave a pair at the limit of similarity without a
+common one with probability MISS (lines with fewer shingles have a block for each).
+
 A key's bucket of two nodes is a pair. In a larger one all nodes are compared with its most frequent line; then, for
-ROUNDS rounds, with one node that is still outside that line's group; then what is still apart, pair by pair. Pairs are
-left out before the edit check only if their lengths or word parities rule the similarity out. So no pair with a
-common key is lost, and the pairs of a connected crowd are not listed.
+ROUNDS rounds, with one node that is still outside that line's group; then what is still apart, pair by pair among
+lines of near lengths. Pairs are left out before the edit check only if their lengths or word parities rule the similarity
+out. So no pair with a common key is lost, and the pairs of a connected crowd are not listed.
 The first line of each connected group (by document id, then line number) is kept.
 
-Only DataFrame functions are used; word sequences are compared as strings of one 16-bit code a word. `simhashes` (with
-WORD and FAR) plays no part in links.
+Only DataFrame functions are used. Edits are counted on strings of one character a word; where two words of a pair
+share a character, the pair is counted again with characters of its own for each word.
 """
 
 from __future__ import annotations
@@ -21,69 +27,23 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, positional, written
 
-MISS = 5e-4  # probability that a pair at the limit of similarity has no common key
+MISS = 5e-4  # probability that a pair at the limit of similarity has no common block
 SHINGLE = 3  # words, fewer where the similarity allows closer edits
-ROUNDS = 4
-FAR = 3  # bits that differ in SimHashes of close lines
-WORD = 4  # characters of a word that counts in a SimHash
-CHUNK = 256  # words whose bits are counted together
+ROUNDS = 2
 SPACE = r"[\x20\x09-\x0D]+"
-_SUMS = 9
-_LANES = sum(1 << 9 * i for i in range(7))
+PLANES = 1 << 20  # characters that stand for words: those from 0x10000 on
 
 
 def normal_form(line: Column) -> Column:
     """Lower-cased words joined by one space; empty for a line without words."""
     usual = F.lower(F.trim(line))
     odd = F.regexp_replace(F.regexp_replace(F.lower(line), SPACE, " "), "^ | $", "")
-    return F.when(line.rlike(r"[\x09-\x0D]|\x20\x20"), odd).otherwise(usual)
-
-
-def _counts(rows: DataFrame, keys: list[str], words: str) -> DataFrame:
-    """keys, part, m and l0 to l8: for each CHUNK words the number of words that count and how many have each bit."""
-    hashes = rows.select(*keys, F.posexplode(words).alias("at", "x")).select(*keys, F.floor(F.col("at") / CHUNK).cast("int").alias("part"), F.when(F.length("x") >= WORD, F.xxhash64("x")).otherwise(F.lit(0).cast("long")).alias("h"), "at")
-    # The first word of a part stays, so that each part has a row.
-    hashes = hashes.filter(f"h <> 0 or at % {CHUNK} = 0")
-    bits = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_LANES))).alias(f"l{k}") for k in range(_SUMS)]
-    return hashes.groupBy(*keys, "part").agg(F.count(F.when(F.col("h") != 0, 1)).alias("m"), *bits)
-
-
-def _majority(node: str = "node") -> Column:
-    """The SimHash of a line of one part; where words could tie, or none counts, the node's own bits count as one more."""
-    tie = F.col("m") % 2 == 0
-    half = (F.lit(255) - F.floor((F.col("m") + F.when(tie, 1).otherwise(0)) / 2)) * F.lit(_LANES)
-    out = F.lit(0).cast("long")
-    for k in range(_SUMS):
-        own = F.when(tie, F.shiftrightunsigned(node, k).bitwiseAND(F.lit(_LANES))).otherwise(F.lit(0).cast("long"))
-        more = F.shiftright((F.col(f"l{k}") + own + half).bitwiseAND(F.lit(256 * _LANES)), 8)
-        out = out.bitwiseOR(F.shiftleft(more, k))
-    return out
-
-
-def _majority_of_parts(counts: DataFrame, keys: list[str], node: str = "node") -> DataFrame:
-    """keys and sim of lines of several parts: their counters are added up bit by bit."""
-    each = F.explode(F.array(*[F.struct(F.lit(9 * j + k).alias("bit"), F.shiftrightunsigned(f"l{k}", 9 * j).bitwiseAND(F.lit(511)).alias("c")) for k in range(_SUMS) for j in range(7)]))
-    total = counts.select(*keys, "m", each.alias("e")).groupBy(*keys, "e.bit").agg(F.sum("e.c").alias("c"), F.sum("m").alias("m"))
-    tie = F.when(F.col("m") % 2 == 0, 1).otherwise(0)
-    own = F.expr(f"shiftrightunsigned({node}, bit)").bitwiseAND(F.lit(1).cast("long")) * tie
-    set_ = 2 * (F.col("c") + own) > F.col("m") + tie
-    return total.groupBy(*keys).agg(F.bit_or(F.when(set_, F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("long"))).alias("sim"))
-
-
-def simhashes(rows: DataFrame, keys: list[str], words: str = "w", node: str = "node") -> DataFrame:
-    """keys and sim for each row; keys (node among them) tell rows with different words apart."""
-    counts = _counts(rows, keys, words)
-    single = counts.filter("part = 0")
-    several = counts.filter("part > 0").select(*keys).distinct()
-    long_ = counts.join(several, keys, "left_semi")
-    return single.join(several, keys, "left_anti").select(*keys, _majority(node).alias("sim")).union(_majority_of_parts(long_, keys, node))
-
-
-def _codes(words: str) -> Column:
-    """One character a word; different words share one of 49,152 with that probability."""
-    return F.expr(f"decode(unhex(array_join(transform({words}, w -> lpad(hex(256 + pmod(xxhash64(w), 49152)), 4, '0')), '')), 'UTF-16BE')")
+    uneven = F.contains(line, F.lit("  "))
+    for c in "\t\n\v\f\r":
+        uneven = uneven | F.contains(line, F.lit(c))
+    return F.when(uneven, odd).otherwise(usual)
 
 
 def _least_words(pct: int) -> int:
@@ -91,69 +51,120 @@ def _least_words(pct: int) -> int:
     return 100 // max(1, 100 - pct) - 1
 
 
-def shingle_plan(pct: int) -> tuple[int, int]:
-    """(words of a shingle, keys of a line). Of n words pct percent stay, in runs that an edit parts: each edit changes k shingles at most."""
+def block_plan(pct: int) -> tuple[int, int]:
+    """(words of a shingle, blocks of a line). Of n words pct percent stay, in runs that an edit parts: each edit changes k shingles at most."""
     k = max(1, min(SHINGLE, math.ceil((math.ceil(100 / max(1, 100 - pct)) - 1) / 2)))
     same = min(0.99, max(0.1, 1 - k * (100 - pct) / 100))
     return k, math.ceil(math.log(MISS) / math.log(1 - same / (2 - same)))
 
 
-def _keyed(rows: DataFrame, pct: int, words: str = "w", n: str = "n") -> DataFrame:
-    """rows with p0 and p1 (which of 64 bits an odd number of words has) and the keys s0, s1, ...; null in lines too short for edits."""
-    k, most = shingle_plan(pct)
-    parity = lambda at: F.expr(f"aggregate(lk_h, 0L, (p, h) -> p ^ shiftleft(1L, cast(shiftrightunsigned(h, {at}) & 63 as int)))")
-    each = ", ".join(f"lk_h[i + {j}]" for j in range(k))
-    shingles = F.expr(f"slice(sort_array(array_distinct(transform(sequence(0, {n} - {k}), i -> xxhash64({each})))), 1, {most})")
-    long_ = (F.col(n) >= max(k, _least_words(pct))) & F.col("node").isNotNull()
-    hashed = rows.withColumn("lk_h", F.when(long_, F.expr(f"transform({words}, x -> xxhash64(x))")))
-    keyed = hashed.withColumns({"p0": F.when(long_, parity(0)), "p1": F.when(long_, parity(6)), "lk_s": F.when(long_, shingles)})
-    return keyed.withColumns({f"s{j}": F.expr(f"get(lk_s, {j})") for j in range(most)}).drop("lk_h", "lk_s")
+def simhash_blocks(words: str, n: str, pct: int) -> Column:
+    """The blocks of a line's SimHash, from its word array: the hashes of its heaviest shingles."""
+    k, most = block_plan(pct)
+    each = ", ".join(f"h[i + {j}]" for j in range(k))
+    # Of an array whose smallest values repeat, twice as many are enough to look at, or else all.
+    hashes = f"transform(array(transform({words}, x -> xxhash64(x))), h -> sort_array(transform(sequence(0, {n} - {k}), i -> xxhash64({each}))))[0]"
+    few = f"transform(array({hashes}), s -> transform(array(array_distinct(slice(s, 1, {2 * most}))), d -> if(size(d) >= {most} or size(s) <= {2 * most}, d, array_distinct(s)))[0])[0]"
+    return F.expr(f"slice({few}, 1, {most})")
+
+
+def _parities(words: str) -> Column:
+    """Which of 64 bits an odd number of words has: an edit changes two at most."""
+    return F.expr(f"aggregate({words}, 0L, (p, x) -> p ^ shiftleft(1L, cast(xxhash64(x) & 63 as int)))")
+
 
+def _characters(words: str) -> str:
+    """One character a word; different words share one of PLANES with that probability."""
+    return f"decode(unhex(array_join(transform({words}, w -> lpad(hex(65536 + pmod(xxhash64(w), {PLANES})), 8, '0')), '')), 'UTF-32')"
 
-def _alike(pairs: DataFrame, texts: DataFrame, pct: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose word sequences are similar enough."""
-    t = lambda s: texts.select(F.col("node").alias(s), F.col("codes").alias(f"{s}_codes"), F.col("n").alias(f"{s}_n"))
-    most = f"cast(({100 - pct} * greatest(a_n, b_n)) div 100 as int)"
+
+def _most(pct: int) -> str:
+    """The edits that a pair of a_n and b_n words may differ in."""
+    return f"cast(({100 - pct} * greatest(a_n, b_n)) div 100 as int)"
+
+
+def alike(pairs: DataFrame, texts: DataFrame, pct: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose word sequences are similar enough. texts: node, f (the normal form) and n (its words)."""
+    t = lambda s: texts.select(F.col("node").alias(s), F.col("f").alias(f"{s}_f"), F.col("n").alias(f"{s}_n"))
     both = pairs.join(t("a"), "a").join(t("b"), "b").filter(f"100 * least(a_n, b_n) >= {pct} * greatest(a_n, b_n)")
-    return both.filter(F.expr(f"levenshtein(a_codes, b_codes, {most}) >= 0")).select("a", "b")
+    both = both.withColumns({"a_w": F.split("a_f", " "), "b_w": F.split("b_f", " ")})
+    both = both.withColumns({"a_c": F.expr(_characters("a_w")), "b_c": F.expr(_characters("b_w"))})
+    # Words that share a character can only bring lines nearer: those that pass are looked at once more.
+    near = both.filter(F.expr(f"levenshtein(a_c, b_c, {_most(pct)}) >= 0"))
+    distinct = F.size(F.array_distinct(F.concat("a_w", "b_w")))
+    codes = F.size(F.expr("array_distinct(concat(split(a_c, ''), split(b_c, '')))"))
+    near = written(near.select("a", "b", "a_n", "b_n", (distinct == codes).alias("sure"), F.expr("if(sure, null, a_f)").alias("a_f"), F.expr("if(sure, null, b_f)").alias("b_f")), "near-lines")
+    return near.filter("sure").select("a", "b").union(_exactly_alike(near.filter("not sure"), pct))
+
+
+def _exactly_alike(pairs: DataFrame, pct: int) -> DataFrame:
+    """The same with a character of its own for each word of a pair: its rank in the pair's sorted distinct words."""
+    word = lambda s, i: F.posexplode(F.split(f"{s}_f", " ")).alias("at", "w")
+    sides = [pairs.select("a", "b", "a_n", "b_n", F.lit(i).alias("side"), word(s, i)) for i, s in enumerate("ab")]
+    words = sides[0].union(sides[1])
+    # A group is one pair's words, at most those of two lines.
+    ranks = words.select("a", "b", "w").distinct().groupBy("a", "b").agg(F.sort_array(F.collect_list("w")).alias("all"))
+    ranks = ranks.select("a", "b", F.posexplode("all").alias("rank", "w"))
+    code = F.expr("decode(unhex(lpad(hex(if(rank < 55000, 256 + rank, 10536 + rank)), 8, '0')), 'UTF-32')")
+    lines = words.join(ranks, ["a", "b", "w"]).groupBy("a", "b", "a_n", "b_n", "side").agg(F.sort_array(F.collect_list(F.struct("at", code.alias("c")))).alias("cs"))
+    lines = lines.withColumn("line", F.expr("array_join(transform(cs, x -> x.c), '')"))
+    both = lines.groupBy("a", "b", "a_n", "b_n").agg(F.max(F.when(F.col("side") == 0, F.col("line"))).alias("a_c"), F.max(F.when(F.col("side") == 1, F.col("line"))).alias("b_c"))
+    return both.filter(F.expr(f"levenshtein(a_c, b_c, {_most(pct)}) >= 0")).select("a", "b")
 
 
 def _line_table(df: DataFrame, pct: int, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(lines, nodes). lines: ld_at (a number of the row), ld_id, ld_row (a hash of id and text), ln, node, check, n and what _keyed gives, for
-    each line with a word and for each row's first line (node is null if that has no word). nodes: node, check, n, times, p0, p1 of each normal form."""
+    """(lines, nodes). lines: ld_at (a number of the row), ld_id, ld_row (a hash of id and text), ln, node, check, n, p and blocks, for
+    each line with a word and for each row's first line (node is null if that has no word; p and blocks are null in lines too
+    short for edits). nodes: node, check, n, times and p of each normal form."""
     # Rows are numbered before they are split, so that equal rows aren't counted together.
     rows = df.select(F.monotonically_increasing_id().alias("ld_at"), F.col(id_col).cast("long").alias("ld_id"), F.xxhash64(F.col(id_col), F.col(text)).alias("ld_row"), F.col(text).alias("ld_text"))
     split = rows.select("ld_at", "ld_id", "ld_row", F.posexplode_outer(F.split("ld_text", "\n")).alias("ln", "line"))
-    form = split.select("ld_at", "ld_id", "ld_row", F.coalesce("ln", F.lit(0)).alias("ln"), F.coalesce(normal_form(F.col("line")), F.lit("")).alias("f")).filter("f <> '' or ln = 0")
-    word = F.col("f") != ""
-    hashed = form.select("ld_at", "ld_id", "ld_row", "ln", F.when(word, F.xxhash64("f")).alias("node"), F.when(word, F.xxhash64(F.lit(1), "f")).alias("check"), F.split("f", " ").alias("w")).withColumn("n", F.size("w"))
-    keyed = written(_keyed(hashed, pct).drop("w"), "line-keys")
+    word = F.coalesce(F.col("line").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    form = split.select("ld_at", "ld_id", "ld_row", F.coalesce("ln", F.lit(0)).alias("ln"), "line").filter(word | (F.col("ln") == 0))
+    form = form.withColumn("f", F.when(word, normal_form(F.col("line")))).drop("line")
+    hashed = form.select("ld_at", "ld_id", "ld_row", "ln", F.when(F.col("f").isNotNull(), F.xxhash64("f")).alias("node"), F.when(F.col("f").isNotNull(), F.xxhash64(F.lit(1), "f")).alias("check"), F.split("f", " ").alias("w"))
+    hashed = hashed.withColumn("n", F.size("w"))
+    long_ = F.col("n") >= max(block_plan(pct)[0], _least_words(pct))
+    keyed = hashed.withColumns({"p": F.when(long_, _parities("w")), "blocks": F.when(long_, simhash_blocks("w", "n", pct))})
+    keyed = written(keyed.drop("w"), "line-keys")
     # Equal lines have equal parities: any of them stands for all.
-    nodes = keyed.filter("node is not null").groupBy("node", "check", "n").agg(F.count(F.lit(1)).alias("times"), F.first("p0").alias("p0"), F.first("p1").alias("p1"))
+    nodes = keyed.filter("node is not null").groupBy("node", "check", "n").agg(F.count(F.lit(1)).alias("times"), F.first("p").alias("p"))
     return keyed, written(nodes, "line-nodes")
 
 
+def _with_links(groups: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, label) after more links (a, b): only the labels that links join are looked at again."""
+    if groups is None:
+        return components(links)
+    of = lambda s: groups.select(F.col("node").alias(s), F.col("label").alias(f"{s}_label"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    to = components(between).withColumnsRenamed({"node": "from", "label": "to"})
+    every = groups.union(to.select(F.col("from").alias("node"), F.col("from").alias("label")).join(groups.select("node"), "node", "left_anti"))
+    return written(every.join(to, F.col("label") == F.col("from"), "left").select("node", F.coalesce("to", "label").alias("label")), "line-groups")
+
+
 def _groups_of_lines(df: DataFrame, lines: DataFrame, nodes: DataFrame, pct: int, id_col: str, text: str) -> DataFrame:
     """(node, label) of the nodes that are linked with others."""
-    keys = F.array(*[c for c in lines.columns if c[0] == "s" and c[1:].isdigit()])
-    bands = lines.filter("node is not null").select("node", F.explode(keys).alias("key")).filter("key is not null")
+    bands = lines.filter("blocks is not null").select("node", F.explode("blocks").alias("key"))
     buckets = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
     kept = bands.join(buckets.hint("shuffle_hash"), "key").distinct()
-    members = written(kept.join(nodes.select("node", "times", F.struct("n", "p0", "p1").alias("sketch")), "node"), "members")
-    # An edit changes the parity of two bits at most.
+    members = written(kept.join(nodes.select("node", "times", F.struct("n", "p").alias("sketch")), "node"), "members")
     longer = F.greatest("a_sketch.n", "b_sketch.n")
     near = 100 * F.least("a_sketch.n", "b_sketch.n") >= pct * longer
-    for p in ("p0", "p1"):
-        near = near & (F.bit_count(F.col(f"a_sketch.{p}").bitwiseXOR(F.col(f"b_sketch.{p}"))) <= 2 * F.floor((100 - pct) * longer / 100))
+    near = near & (F.bit_count(F.col("a_sketch.p").bitwiseXOR(F.col("b_sketch.p"))) <= 2 * F.floor((100 - pct) * longer / 100))
+    # Lines of near lengths are of one class or of two that are next to each other.
+    step = math.log(100 / max(1, min(99, pct)))
+    class_ = F.floor(F.log(F.col("sketch.n")) / step).cast("int")
+    beside = F.explode(F.array(*[class_ + i for i in (-1, 0, 1)]))
     # Nodes that could be alike with none of their bucket leave it.
-    other = members.select(F.col("key").alias("b_key"), F.col("node").alias("b"), F.col("sketch").alias("b_sketch"))
-    met = members.withColumn("a_sketch", F.col("sketch")).join(other, (F.col("key") == F.col("b_key")) & (F.col("node") != F.col("b")) & near, "left_semi").drop("a_sketch")
+    other = members.select(F.col("key").alias("b_key"), F.col("node").alias("b"), F.col("sketch").alias("b_sketch"), beside.alias("b_class"))
+    met = members.withColumns({"a_sketch": F.col("sketch"), "class": class_}).join(other, (F.col("key") == F.col("b_key")) & (F.col("class") == F.col("b_class")) & (F.col("node") != F.col("b")) & near, "left_semi").drop("a_sketch")
     met = written(met, "met")
     sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("a"), F.max("node").alias("b"))
     couples = sizes.filter("size = 2").select("a", "b")
     large = met.join(sizes.filter("size > 2").select("key"), "key", "left_semi")
     side = lambda d, s, *more: d.select("key", F.col("node").alias(s), F.col("sketch").alias(f"{s}_sketch"), *more)
-    chosen = lambda d: d.groupBy("key").agg(F.max(F.struct("times", "node", "sketch")).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.sketch").alias("a_sketch"))
+    chosen = lambda d, *more: d.groupBy("key").agg(F.max(F.struct("times", "node", "sketch", *more)).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.sketch").alias("a_sketch"), *[F.col(f"p.{m}").alias(f"a_{m}") for m in more])
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     often = written(chosen(large), "pivots")
     star = side(large, "b").join(often, "key").filter("a <> b").filter(near).select(*ordered)
@@ -161,34 +172,31 @@ def _groups_of_lines(df: DataFrame, lines: DataFrame, nodes: DataFrame, pct: int
 
     # The texts of all lines that may be compared, fetched once.
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
-    places = lines.join(wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", "ld_row", "ld_id", "ln")
+    places = lines.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("ld_id", "ld_row", "ln")).alias("at")).select("node", "at.*")
     by_row = places.groupBy("ld_id", "ld_row").agg(F.collect_list(F.struct("node", "ln")).alias("at"))  # a document's own lines
     own = df.select(F.col(id_col).cast("long").alias("d_id"), F.xxhash64(F.col(id_col), F.col(text)).alias("d_row"), F.col(text).alias("d_text"))
     found = own.join(by_row, F.col("d_id").eqNullSafe(F.col("ld_id")) & (F.col("d_row") == F.col("ld_row")))
-    found = found.select(F.split("d_text", "\n").alias("parts"), F.explode("at").alias("x")).select("x.node", F.split(normal_form(F.expr("parts[x.ln]")), " ").alias("w"))
-    texts = written(found.select("node", _codes("w").alias("codes"), F.size("w").alias("n")).dropDuplicates(["node"]), "line-texts")
+    found = found.select(F.split("d_text", "\n").alias("parts"), F.explode("at").alias("x")).select("x.node", normal_form(F.expr("parts[x.ln]")).alias("f"))
+    texts = written(found.dropDuplicates(["node"]).withColumn("n", F.size(F.split("f", " "))), "line-texts")
 
-    links = written(_alike(pairs, texts, pct), "line-links")
-    groups = components(links)
+    groups = _with_links(None, alike(pairs, texts, pct))
     if not large.head(1):
         return groups
     for turn in range(ROUNDS + 1):
         named = groups.select(F.col("node").alias("g_node"), "label")
-        labelled = large.join(named, F.col("node") == F.col("g_node"), "left").select("key", "node", "sketch", "times", F.coalesce("label", "node").alias("group"))
+        labelled = large.join(named, F.col("node") == F.col("g_node"), "left").select("key", "node", "sketch", "class", "times", F.coalesce("label", "node").alias("group"))
         main = labelled.join(often.select("key", F.col("a").alias("node")), ["key", "node"]).select("key", F.col("group").alias("main"))
         labelled = written(labelled.join(main, "key"), "labelled")
         open_ = labelled.filter("group <> main")
-        b = side(labelled, "b", F.col("group").alias("b_group"))
+        b = side(labelled, "b", "class", F.col("group").alias("b_group"))
         if turn < ROUNDS:  # another open node of each bucket in each turn
-            mixed = open_.withColumn("times", F.xxhash64(F.lit(turn), "group"))
-            a = mixed.groupBy("key").agg(F.max(F.struct("times", "node", "sketch", "group")).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.sketch").alias("a_sketch"), F.col("p.group").alias("a_group"))
+            rest = chosen(open_.withColumn("times", F.xxhash64(F.lit(turn), "group")), "group").join(b, "key")
         else:
-            a = side(open_, "a", F.col("group").alias("a_group"))
-        rest = a.join(b, "key").filter(F.col("a_group") != F.col("b_group")).filter(near).select(*ordered).distinct()
-        more = written(_alike(rest, texts, pct), "line-links")
+            rest = side(open_, "a", F.col("group").alias("a_group"), F.explode(F.array(*[F.col("class") + i for i in (-1, 0, 1)])).alias("class")).join(b, ["key", "class"])
+        rest = rest.filter(F.col("a_group") != F.col("b_group")).filter(near).select(*ordered).distinct()
+        more = written(alike(rest, texts, pct), "line-links")
         if more.head(1):
-            links = written(links.union(more), "line-links")
-            groups = components(links)
+            groups = _with_links(groups, more)
     return groups
 
 
@@ -225,7 +233,8 @@ def line_report(df: DataFrame, similarity_pct: int = 90, id_col: str = "doc_id",
 def without_duplicate_lines(df: DataFrame, similarity_pct: int = 90, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """df's rows and columns, each text without its removed lines; a text that loses all its lines becomes empty."""
     gone = _by_row(duplicate_lines(df, similarity_pct, id_col, text)[0])
-    mine = df.withColumn("wd_row", F.xxhash64(F.col(id_col), F.col(text)))
-    joined = mine.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("ld_id")) & (F.col("wd_row") == F.col("ld_row")), "left")
-    left = F.expr(f"array_join(filter(split(`{text}`, '\\n'), (x, i) -> not array_contains(removed, i)), '\\n')")
-    return joined.select(*[(F.when(F.col("removed").isNull(), F.col(text)).otherwise(left).alias(c) if c == text else F.col(f"`{c}`")) for c in df.columns])
+    mine, names = positional(df)
+    own = F.col(names[id_col]), F.col(names[text])
+    joined = mine.withColumn("wd_row", F.xxhash64(*own)).join(gone, own[0].cast("long").eqNullSafe(F.col("ld_id")) & (F.col("wd_row") == F.col("ld_row")), "left")
+    left = F.expr(f"array_join(filter(split({names[text]}, '\\n'), (x, i) -> not array_contains(removed, i)), '\\n')")
+    return joined.select(*[(F.when(F.col("removed").isNull(), F.col(n)).otherwise(left) if c == text else F.col(n)).alias(c) for c, n in names.items()])

@@ -222,40 +222,74 @@ def test_line_dedup(odd, none):
     assert line_dedup.line_report(none).count() == 0
 
 
-def test_simhash_of_long_lines(spark):
-    """Lines of several parts, by brute force, and majorities that tie."""
+def test_simhash_blocks_are_signs_of_weighted_votes(spark):
+    """By brute force: each bit's votes, weighed by halves in the order of the shingles' hashes, without those that decided a block before."""
     rng = np.random.default_rng(2)
-    lines = [[f"word{i}" for i in rng.integers(0, 50, n)] for n in (1, 2, 7, 255, 256, 257, 1000)] + [["a", "of"]]
-    df = spark.createDataFrame(list(enumerate(lines)), "k int, w array<string>").withColumn("node", F.xxhash64(F.array_join("w", " ")))
-    got = {r.k: r.sim for r in line_dedup.simhashes(df, ["k", "node"]).collect()}
-    for r in df.withColumn("h", F.transform("w", lambda x: F.xxhash64(x))).collect():
-        use = [h for w, h in zip(r.w, r.h) if len(w) >= line_dedup.WORD]
-        use += [r.node] if len(use) % 2 == 0 else []
-        assert got[r.k] == sum(1 << b for b in range(63) if 2 * sum((h >> b) & 1 for h in use) > len(use))
+    lines = [[f"word{i}" for i in rng.integers(0, 50, n)] for n in (9, 10, 12, 40, 257, 1000)] + [["same"] * 30, ["a", "b", "c"] * 40]
+    df = spark.createDataFrame(list(enumerate(lines)), "k int, w array<string>").withColumn("n", F.size("w"))
+    k, most = line_dedup.block_plan(90)
+    got = {r.k: list(r.b) for r in df.select("k", line_dedup.simhash_blocks("w", "n", 90).alias("b")).collect()}
+    hashed = df.withColumn("s", F.expr(f"transform(sequence(0, n - {k}), i -> xxhash64(xxhash64(w[i]), xxhash64(w[i + 1]), xxhash64(w[i + 2])))")).collect()
+    for r in hashed:
+        left, want = sorted(set(r.s)), []
+        while left and len(want) < most:
+            weights = [0.5**i for i in range(len(left))]
+            bits = [sum(w if (h >> b) & 1 else -w for w, h in zip(weights, left)) > 0 for b in range(64)]
+            value = sum(1 << b for b, on in enumerate(bits) if on)
+            want.append(value - (1 << 64) if value >> 63 else value)
+            left = left[1:]
+        assert got[r.k] == want
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def linked(lines):
+    """Each line's smallest linked line, by the edits of all pairs."""
+    root = list(range(len(lines)))
+    for a in range(len(lines)):
+        for b in range(a):
+            if root[a] != root[b] and distance(lines[a], lines[b]) <= 10 * max(len(lines[a]), len(lines[b])) // 100:
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    return root
 
 
 def test_large_buckets_of_lines_by_brute_force(spark):
-    """A chain of lines, each one word from the next, and a crowd around one line: every link counts."""
+    """Two crowds that share a passage, each around one line, and lines that only others link: every link counts, and no other."""
     rng = np.random.default_rng(6)
-    base = [f"token{i:03d}" for i in rng.integers(0, 400, 220)]
+    shared = [f"token{i:03d}" for i in rng.integers(0, 400, 60)]
+    bases = [shared + [f"token{i:03d}" for i in rng.integers(0, 400, 60)] for _ in range(3)]
     lines = []
-    for k in range(60):
-        w = list(base)
-        for at in rng.integers(0, len(w), k % 4):
+    for k in range(75):
+        w = list(bases[k % 3])
+        for at in rng.integers(0, len(w), k % 9):
             w[at] = f"edit{k}x{at}"
         lines.append(w)
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lines)], "doc_id long, text string")
     report = {r.doc_id: r.n_removed for r in line_dedup.line_report(df).collect()}
-    hashed = spark.createDataFrame(list(enumerate(lines)), "k int, w array<string>").withColumn("node", F.xxhash64(F.array_join("w", " ")))
-    sim = {r.k: r.sim for r in line_dedup.simhashes(hashed, ["k", "node"]).collect()}
-    root = list(range(60))
-    for a in range(60):
-        for b in range(a):
-            if (sim[a] ^ sim[b]).bit_count() <= line_dedup.FAR:  # substitutions only: the edits are the differing words
-                if sum(x != y for x, y in zip(lines[a], lines[b])) <= len(base) // 10:
-                    x, y = root[a], root[b]
-                    root = [min(x, y) if r in (x, y) else r for r in root]
-    assert {i for i, n in report.items() if n == 0} == {i for i in range(60) if root[i] == i}
+    root = linked(lines)
+    assert {i for i, n in report.items() if n == 0} == {i for i in range(75) if root[i] == i} and 1 < len(set(root)) < 40
+
+
+def test_words_that_share_a_character(spark, monkeypatch):
+    """With few characters for words most pairs are counted again, exactly: no link that the words don't have."""
+    monkeypatch.setattr(line_dedup, "PLANES", 3)
+    rng = np.random.default_rng(21)
+    lines = []
+    for k in range(20):
+        w = [f"token{i}" for i in rng.integers(0, 3000, 40)]
+        lines += [w, [*w[:10], *[f"other{k}{i}" for i in range(2 + 3 * (k % 2))], *w[12 + 3 * (k % 2) :]]]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lines)], "doc_id long, text string")
+    root = linked(lines)
+    assert {r.doc_id for r in line_dedup.line_report(df).collect() if not r.n_removed} == {i for i in range(40) if root[i] == i}
+    assert len(set(root)) == 30
 
 
 def _edited(rng, w, edits):
@@ -275,14 +309,6 @@ def test_recall_of_edited_lines_by_brute_force(spark):
         at = int(rng.integers(len(w)))
         second.append((near, w[:at] + w[at + 1 :], near)[k % 5 % 3])
 
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
     alike = {k for k, (a, b) in enumerate(zip(first, second)) if distance(a, b) <= 10 * max(len(a), len(b)) // 100}
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(first + second)], "doc_id long, text string")
     gone = {r.doc_id - len(first) for r in line_dedup.line_report(df).collect() if r.n_removed}

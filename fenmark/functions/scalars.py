@@ -27,6 +27,7 @@ def bare_name(c: Column) -> Column:
 
 
 def prefixed_id(prefix: str, c: Column) -> Column:
+    """An id behind a prefix; null stays null."""
     return F.concat(F.lit(prefix), c.cast("string"))
 
 
@@ -41,6 +42,7 @@ def first_tokens(c: Column, n: int = 2, sep: str = "_") -> Column:
 
 
 def run_division(run_id: Column) -> Column:
+    """The first token of a run's name."""
     return F.substring_index(run_id, "_", 1)
 
 
@@ -116,6 +118,7 @@ def year_order(c: Column) -> list[Column]:
 
 
 def year_quarter(c: Column, pattern: str = "yyyy-MM-dd") -> tuple[Column, Column]:
+    """Year and quarter of a date given as text."""
     d = F.to_date(c, pattern)
     return F.year(d), F.quarter(d)
 
@@ -168,18 +171,24 @@ def rgb_hex(*parts: Column) -> Column:
 
 
 def rgb_hsv(r: Column, g: Column, b: Column) -> Column:
-    """Hue, saturation and value, each in 0 to 1."""
+    """Hue in degrees (0 of a grey), saturation and value in 0 to 1.
+
+    The hue is the angle on the hexagon of colours, measured from the sector of the channel that is greatest (of equal ones the
+    first): 60 degrees a sector, red at 0, green at 120, blue at 240.
+    """
     top, low = F.greatest(r, g, b), F.least(r, g, b)
-    span = top - low
-    hue = F.when(span == 0, 0.0).when(top == r, F.pmod((g - b) / F.nullif(span, F.lit(0.0)), F.lit(6.0))).when(top == g, (b - r) / F.nullif(span, F.lit(0.0)) + 2).otherwise((r - g) / F.nullif(span, F.lit(0.0)) + 4) / 6
-    return F.struct(hue.alias("h"), F.when(top == 0, 0.0).otherwise(span / F.nullif(top, F.lit(0.0))).alias("s"), top.alias("v"))
+    part = lambda d: F.coalesce(F.try_divide(d, top - low), F.lit(0.0))
+    sectors = F.array(F.struct(r.alias("c"), part(g - b).alias("d")), F.struct(g.alias("c"), part(b - r).alias("d")), F.struct(b.alias("c"), part(r - g).alias("d")))
+    first = F.array_position(F.transform(sectors, lambda s: s["c"]), top) - 1
+    hue = F.pmod(120 * first + 60 * F.get(sectors, first.cast("int"))["d"], F.lit(360.0))
+    return F.struct(hue.alias("h"), F.coalesce(F.try_divide(top - low, top), F.lit(0.0)).alias("s"), top.alias("v"))
 
 
 def hsv_rgb(h: Column, s: Column, v: Column) -> Column:
-    """Red, green and blue: channel n is v - v s max(0, min(k, 4 - k, 1)) with k = (n + 6 h) mod 6."""
+    """Red, green and blue of a hue in degrees: channel n is v - v s max(0, min(k, 4 - k, 1)) with k = (n + h / 60) mod 6."""
 
     def channel(n: int) -> Column:
-        k = F.pmod(F.lit(float(n)) + h * 6, F.lit(6.0))
+        k = F.pmod(F.lit(float(n)) + h / 60, F.lit(6.0))
         return v - v * s * F.greatest(F.lit(0.0), F.least(k, 4 - k, F.lit(1.0)))
 
     return F.struct(channel(5).alias("r"), channel(3).alias("g"), channel(1).alias("b"))

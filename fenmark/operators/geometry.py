@@ -239,6 +239,25 @@ def st_bounds(c: Column) -> Column:
     return _each("array<double>", lambda g: [float(v) for v in bounds_of(g)])(c)
 
 
+def st_box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """The rectangle of four bounds."""
+
+    def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series([dump_wkb(box_polygon(*v)) for v in zip(a, b, c, d)], dtype=object)
+
+    return F.pandas_udf(run, "binary")(*[v.cast("double") for v in (x0, y0, x1, y1)])
+
+
+def st_polygons(c: Column) -> Column:
+    """Only the polygonal parts, always as a multipolygon; null where there is none."""
+
+    def keep(g: list[Polygon]) -> bytes | None:
+        parts = [p for p in g if len(p[0]) > 3]
+        return struct.pack("<BII", 1, 6, len(parts)) + b"".join(dump_wkb([p]) for p in parts) if parts else None
+
+    return _each("binary", keep)(c)
+
+
 def st_reproject(c: Column, source: int, target: int) -> Column:
     return _each("binary", lambda g: dump_wkb([[np.column_stack(reproject_points(r[:, 0], r[:, 1], source, target)) for r in p] for p in g]))(c)
 
@@ -293,6 +312,93 @@ def clip_features(features: DataFrame, geometry: str, box: tuple[float, float, f
     return features.withColumn(geometry, F.pandas_udf(cut, "binary")(geometry)).filter(F.col(geometry).isNotNull())
 
 
+def meeting(left: DataFrame, right: DataFrame, geometry: str, other: str, size: float = 1000.0) -> DataFrame:
+    """The pairs of rows whose geometries share some area, met in grid cells; a pair counts in the cell of its common lower left corner alone."""
+    a = cells_of(left, geometry, size).withColumnRenamed("bounds", "l_bounds")
+    b = cells_of(right, other, size).withColumnRenamed("bounds", "r_bounds")
+    l, r = F.col("l_bounds"), F.col("r_bounds")  # noqa: E741
+    near = (l[0] < r[2]) & (l[2] > r[0]) & (l[1] < r[3]) & (l[3] > r[1])
+    first = (F.col("cell_x") == F.floor(F.greatest(l[0], r[0]) / size).cast("int")) & (F.col("cell_y") == F.floor(F.greatest(l[1], r[1]) / size).cast("int"))
+
+    def share(g: pd.Series, o: pd.Series) -> pd.Series:
+        return pd.Series([bool(intersection(load_wkb(bytes(x)), load_wkb(bytes(y)))) for x, y in zip(g, o)])
+
+    pairs = a.join(b, ["cell_x", "cell_y"]).filter(near & first)
+    return pairs.filter(F.pandas_udf(share, "boolean")(geometry, other)).drop("cell_x", "cell_y", "l_bounds", "r_bounds")
+
+
+def clip_by_layer(features: DataFrame, mask: DataFrame, id_col: str, geometry: str = "geometry", size: float = 1000.0) -> DataFrame:
+    """features cut to the union of a mask layer's polygons; those outside go, and so do null geometries on either side.
+
+    Both sides are cut to grid cells of the given size first, and the mask's parts are united cell by cell, so no task holds more than
+    a cell's polygons, and then a feature's own parts. id_col tells features apart; other columns are kept.
+    """
+    parts = cut_to_cells(features.select(id_col, geometry), geometry, size).drop("area")
+    covers = cut_to_cells(mask.select(F.col(geometry).alias("m_geometry")), "m_geometry", size).drop("area")
+    covers = dissolve(covers, ["row", "col"], "m_geometry")
+
+    def both(g: pd.Series, m: pd.Series) -> pd.Series:
+        found = [intersection(load_wkb(bytes(x)), load_wkb(bytes(y))) for x, y in zip(g, m)]
+        return pd.Series([dump_wkb(p) if p else None for p in found], dtype=object)
+
+    met = parts.join(covers, ["row", "col"]).withColumn(geometry, F.pandas_udf(both, "binary")(geometry, "m_geometry")).filter(F.col(geometry).isNotNull())
+    whole = gathered(met.select(id_col, geometry), [id_col], geometry).withColumnsRenamed({id_col: "cl_id", geometry: "cl_geometry"})
+    kept = [F.col("cl_geometry").alias(geometry) if c == geometry else F.col(f"`{c}`") for c in features.columns]
+    return features.join(whole, F.col(id_col) == F.col("cl_id")).select(*kept)
+
+
+def gathered(parts: DataFrame, keys: list[str], geometry: str = "geometry") -> DataFrame:
+    """keys and one multipolygon of each group's parts, which don't overlap."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        polygons = [p for raw in pdf[geometry] for p in load_wkb(bytes(raw))]
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, geometry: dump_wkb(polygons)}])
+
+    kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields if f.name in keys] + [f"`{geometry}` binary"])
+    return parts.select(*keys, geometry).groupBy(*keys).applyInPandas(run, kinds)
+
+
+def cells_in_polygons(polygons: DataFrame, geometry: str, transform: tuple[float, float, float], all_touched: bool = False, tile: int = 256) -> DataFrame:
+    """row and col of the raster cells that polygons burn: those whose centre lies inside, or all that share area with one.
+
+    transform: x0, y0 (upper left corner) and cell size. Polygons are cut to tiles of cells first, so that a huge one is many rows' work.
+    """
+    x0, y0, res = transform
+
+    def burn(g: pd.Series) -> pd.Series:
+        out = []
+        for raw in g:
+            p = load_wkb(bytes(raw))
+            bx0, by0, bx1, by1 = bounds_of(p)
+            rows = np.arange(int(np.floor((y0 - by1) / res)), int(np.ceil((y0 - by0) / res)))
+            cols = np.arange(int(np.floor((bx0 - x0) / res)), int(np.ceil((bx1 - x0) / res)))
+            r, c = (v.ravel() for v in np.meshgrid(rows, cols, indexing="ij"))
+            if all_touched:
+                ok = [bool(clip_box(p, (x0 + j * res, y0 - (i + 1) * res, x0 + (j + 1) * res, y0 - i * res))) for i, j in zip(r, c)]
+            else:
+                ok = holds(p, x0 + (c + 0.5) * res, y0 - (r + 0.5) * res)
+            out.append([{"row": int(i), "col": int(j)} for i, j, k in zip(r, c, ok) if k])
+        return pd.Series(out, dtype=object)
+
+    tiles = cut_to_cells(polygons.select(geometry), geometry, tile * res).select(F.pandas_udf(burn, "array<struct<row:int,col:int>>")(geometry).alias("b"))
+    return tiles.select(F.explode("b").alias("b")).select("b.row", "b.col").distinct()
+
+
+def clip_raster(cells: DataFrame, polygons: DataFrame, geometry: str, transform: tuple[float, float, float], all_touched: bool = False, nodata: float | None = None, crop: bool = True) -> DataFrame:
+    """cells with valid (1 inside the polygons, else 0) and value null, or nodata, outside; with crop only rows and columns that the polygons' cells span."""
+    from .raster import masked
+
+    inside = cells_in_polygons(polygons, geometry, transform, all_touched)
+    out = masked(cells, inside)
+    if nodata is not None:
+        out = out.withColumn("value", F.when(F.col("valid") == 1, F.coalesce("value", F.lit(nodata))).otherwise(nodata))
+    if crop:
+        b = inside.agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
+        # One row is joined to all.
+        out = out.join(F.broadcast(b), F.col("row").between(F.col("r0"), F.col("r1")) & F.col("col").between(F.col("c0"), F.col("c1"))).drop("r0", "r1", "c0", "c1")
+    return out
+
+
 def pixel_squares(cells: DataFrame, x0: float, y0: float, res: float) -> DataFrame:
     """cells with geometry: each one's square; the grid's upper left corner is (x0, y0)."""
 

@@ -59,7 +59,7 @@ def regions(cells: DataFrame, value: str = "value", corners: bool = True, width:
     ids = own.select("row", "col", "node")
     pairs = neighbour_pairs(own, [value], corners)
     edges = pairs.join(ids, ["row", "col"]).select(F.col("node").alias("a"), "n_row", "n_col").join(ids.select(F.col("row").alias("n_row"), F.col("col").alias("n_col"), F.col("node").alias("b")), ["n_row", "n_col"]).select("a", "b")
-    _ensure_checkpoint_dir(cells)
+    ensure_checkpoint_dir(cells)
     edges = edges.checkpoint()
     labels = own.select("node", F.col("node").alias("label")).checkpoint()
     while True:
@@ -72,8 +72,12 @@ def regions(cells: DataFrame, value: str = "value", corners: bool = True, width:
             return own.join(labels.withColumnRenamed("label", "region"), "node").drop("node")
 
 
-def _ensure_checkpoint_dir(df: DataFrame) -> None:
-    """The session names the shared folder; one is set only where it doesn't, as in tests."""
+def ensure_checkpoint_dir(df: DataFrame) -> None:
+    """The session names the folder that all executors share; only a local session gets one of its own, as in tests."""
     sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "/tmp/fenmark-checkpoints")
+    if not sc._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    at = sc.getConf().get("spark.checkpoint.dir", None)
+    if not at and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    sc.setCheckpointDir(at or "/tmp/fenmark-checkpoints")

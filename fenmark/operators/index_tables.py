@@ -17,6 +17,7 @@ def entries(rows: DataFrame, cls: str, years: str, id_col: str, sep: str = ",")
 
 
 def all_years(rows: DataFrame, cls: str, years: str, id_col: str) -> DataFrame:
+    """Entries of every year, numeric or not."""
     return entries(rows, cls, years, id_col)
 
 
@@ -28,6 +29,7 @@ def early_bucket(rows: DataFrame, cls: str, years: str, id_col: str) -> DataFram
 
 
 def selected_years(rows: DataFrame, cls: str, years: str, id_col: str, wanted: list[int] | None = None) -> DataFrame:
+    """Entries of the wanted years only (2017 to 2024 by default); texts that are no number go."""
     n = F.col("year").try_cast("int")
     return entries(rows, cls, years, id_col).filter(n.isin(wanted or SELECTED_YEARS)).withColumn("year", n.cast("string"))
 
@@ -111,6 +113,12 @@ def tidy(rows: DataFrame, order: list[str | Column], prefix: str, constants: dic
     return numbered(kept, order, "n").withColumns({k: F.lit(v) for k, v in constants.items()}).withColumn("index", F.concat(F.lit(f"{prefix}_"), F.col("n").cast("string"))).drop("n")
 
 
+def cleaned_areas(rows: DataFrame, area: str, pct: str, drop: list[str] | None = None) -> DataFrame:
+    """rows without some columns, with area (a whole number, half to even) and covered, its part by a text of percent (null where that is no number)."""
+    share = F.col(area) * F.col(pct).try_cast("double") / 100
+    return rows.drop(*(drop or [])).withColumns({"covered": F.bround(share, 0).cast("long"), "area": F.bround(F.col(area), 0).cast("long")})
+
+
 def union_strict(a: DataFrame, b: DataFrame) -> DataFrame:
     """All rows of both, which must have the same columns in the same order."""
     if a.columns != b.columns:

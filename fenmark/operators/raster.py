@@ -138,12 +138,14 @@ def compare_grids(meta: DataFrame, reference: str, tol: float = 0.0) -> DataFram
     """raster, same: whether a raster's crs, size, corner and cell size are the reference raster's, within tol."""
     ref = meta.filter(F.col("raster") == reference).limit(1).select(*[F.col(c).alias(f"r_{c}") for c in ("crs", "height", "width", "x0", "y0", "res")])
     close = lambda c: F.abs(F.col(c) - F.col(f"r_{c}")) <= tol
-    same = F.col("crs").eqNullSafe(F.col("r_crs")) & (F.col("height") == F.col("r_height")) & (F.col("width") == F.col("r_width")) & close("x0") & close("y0") & close("res")
+    # Without a known CRS nothing is known to be the same.
+    same = (F.col("crs") == F.col("r_crs")) & (F.col("height") == F.col("r_height")) & (F.col("width") == F.col("r_width")) & close("x0") & close("y0") & close("res")
     # One row is joined to all.
     return meta.join(F.broadcast(ref), F.lit(True)).select("raster", F.coalesce(same, F.lit(False)).alias("same"))
 
 
 def constant_like(cells: DataFrame, value: float) -> DataFrame:
+    """A raster on the same cells with one value."""
     return cells.select("row", "col", F.lit(value).alias("value"))
 
 
@@ -160,7 +162,9 @@ def masked(cells: DataFrame, mask: DataFrame, value: str = "value") -> DataFrame
 
 def stretch(cells: DataFrame, value: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """cells with unit: values between two percentiles mapped to 0 to 1, clipped."""
-    p = cells.agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("p"))
+    # Counts by value are the exact percentiles' input: as many rows as a band has different values.
+    counted = cells.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    p = counted.agg(F.percentile("v", F.array(F.lit(low), F.lit(high)), F.col("c")).alias("p"))
     span = F.try_divide(F.col(value) - F.col("p")[0], F.col("p")[1] - F.col("p")[0])
     # One row is joined to all.
     return cells.join(F.broadcast(p), F.lit(True)).withColumn("unit", clipped(span, 0, 1)).drop("p")
@@ -179,6 +183,11 @@ def world_window(transform: tuple[float, float, float], box: tuple[float, float,
     return (math.floor((y0 - box[3]) / res), math.ceil((y0 - box[1]) / res)), (math.floor((box[0] - x0) / res), math.ceil((box[2] - x0) / res))
 
 
+def band_by_description(bands: DataFrame, contains: str) -> DataFrame:
+    """raster and band: the first band of each raster whose description holds a text, whatever its case; rasters without one are left out."""
+    return bands.filter(F.contains(F.lower("description"), F.lit(contains.lower()))).groupBy("raster").agg(F.min("band").alias("band"))
+
+
 def valid_stack(wide: DataFrame, bands: list[str], mask: str = "VALID_MASK") -> DataFrame:
     """wide with one mask: 1 where all bands have a value."""
     ok = F.lit(True)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import bare_name, expand_years, has_year
+from ..functions.scalars import bare_name, epsg_code, expand_years, has_year, unit_scaled
 
 
 def standardised(rows: DataFrame, ts: str, names: dict[str, str] | None = None, hours: int = 0) -> DataFrame:
@@ -34,6 +34,7 @@ def sources_per_day(rows: DataFrame, day: str, source: str) -> DataFrame:
 
 
 def first_of_january(rows: DataFrame, day: str) -> DataFrame:
+    """rows of the first day of a year, whose survey date is often only a year."""
     return rows.filter((F.month(day) == 1) & (F.day(day) == 1))
 
 
@@ -44,6 +45,7 @@ def map_rows(rows: DataFrame, reference: DataFrame, code: str, division: str, ye
 
 
 def without_types(colours: DataFrame, types: list[str], column: str = "type") -> DataFrame:
+    """colours without the rows of some types; rows without a type go too."""
     return colours.filter(~F.col(column).isin(types))
 
 
@@ -53,6 +55,7 @@ def selection_colours(reference: DataFrame, division: str, colour: str) -> DataF
 
 
 def of_year(rows: DataFrame, year: int, years: str = "years") -> DataFrame:
+    """rows whose text of years holds the year."""
     return rows.filter(has_year(F.col(years), year))
 
 
@@ -113,3 +116,85 @@ def with_class_map(meta: DataFrame, classes: dict[int, str], column: str = "tags
 def legend(meta: DataFrame, column: str = "tags") -> DataFrame:
     """raster, class and color of the JSON legend in a raster's tags."""
     return meta.select("raster", F.explode(F.from_json(F.col(column)["LEGEND"], "map<string,string>")).alias("class", "color"))
+
+
+# ------------------------------------------------------------------ maps
+
+
+def of_timeframe(rows: DataFrame, period: str, column: str = "timeframe") -> DataFrame:
+    """rows of one period."""
+    return rows.filter(F.col(column) == period)
+
+
+def chosen(table: dict, keys: list, allow_missing: bool = False) -> dict:
+    """The entries of a configuration for some keys, in their order; unknown keys are an error unless they are allowed."""
+    missing = [k for k in keys if k not in table]
+    if missing and not allow_missing:
+        raise KeyError(f"unknown keys: {missing}")
+    return {k: table[k] for k in keys if k in table}
+
+
+def windows(spark: SparkSession, boxes: dict[str, tuple[float, float, float, float]], epsg: dict[str, str], default: str = "EPSG:28992") -> DataFrame:
+    """location, epsg (normalised; the default where none is given) and geometry of map windows given by their bounds."""
+    from .geometry import box_polygon, dump_wkb
+
+    rows = [(name, epsg.get(name) or default, dump_wkb(box_polygon(*b))) for name, b in boxes.items()]
+    return spark.createDataFrame(rows, "location string, epsg string, geometry binary").withColumn("epsg", epsg_code(F.col("epsg")))
+
+
+def in_windows(features: DataFrame, windows: DataFrame, years: list[int] | None = None, geometry: str = "geometry", size: float = 1000.0) -> DataFrame:
+    """location and the whole features that share area with its window, once for each of the years that they have (column year) if years are given."""
+    from .geometry import meeting
+
+    if years is not None:
+        wanted = F.array(*[F.lit(y) for y in years])
+        own = F.filter(wanted, lambda y: F.array_contains(F.transform(expand_years(F.col("years")), lambda t: t.try_cast("int")), y))
+        features = features.withColumn("year", F.explode(own))
+    return meeting(features, windows.select("location", F.col("geometry").alias("w_geometry")), geometry, "w_geometry", size)
+
+
+def with_alpha(cells: DataFrame, alpha: float) -> DataFrame:
+    """cells with one alpha for all."""
+    return cells.withColumn("alpha", F.lit(float(alpha)))
+
+
+def shown_colours(cells: DataFrame, legend: dict[str, tuple[int, int, int]], include: list[str] | None = None, exclude: list[str] | None = None, alpha: float = 1.0) -> DataFrame:
+    """cells (r, g, b) with alpha: 0 for black ones and for colours that the legend's chosen keys leave out."""
+    keys = [k for k in legend if (include is None or k in include) and k not in (exclude or [])]
+    black = (F.col("r") == 0) & (F.col("g") == 0) & (F.col("b") == 0)
+    if include is None and not exclude:
+        return cells.withColumn("alpha", F.when(black, 0.0).otherwise(alpha))
+    listed = F.lit(False)
+    for k in keys:
+        r, g, b = legend[k]
+        listed = listed | ((F.col("r") == r) & (F.col("g") == g) & (F.col("b") == b))
+    return cells.withColumn("alpha", F.when(~black & listed, alpha).otherwise(0.0))
+
+
+def class_background(cells: DataFrame, classes: DataFrame, colours: DataFrame, value: str = "value", alpha: float | None = None) -> DataFrame:
+    """cells with color and alpha through the class of their value (classes: value, class; colours: type, color).
+
+    Values without a class or colour are transparent; others have the alpha given, or 1.
+    """
+    names = classes.select(F.col("value").alias("c_value"), F.col("class").alias("c_class")).join(colours.select(F.col("type").alias("c_class"), F.col("color").alias("c_color")), "c_class")
+    out = cells.join(names, F.col(value) == F.col("c_value"), "left")
+    return out.withColumns({"color": F.coalesce("c_color", F.lit("#000000")), "alpha": F.when(F.col("c_color").isNull(), 0.0).otherwise(1.0 if alpha is None else float(alpha))}).drop("c_value", "c_class", "c_color")
+
+
+def background(cells: DataFrame, scheme: str, classes: DataFrame | None = None, colours: DataFrame | None = None, alpha: float | None = None) -> DataFrame:
+    """cells with r, g, b in 0 to 1, or a class colour, and alpha, by colour scheme: CLASS-MAP, rgb or rgba."""
+    if scheme == "CLASS-MAP":
+        if classes is None or colours is None:
+            raise ValueError("a class map and colours are needed")
+        return class_background(cells, classes, colours, alpha=alpha)
+    if scheme not in ("rgb", "rgba"):
+        raise ValueError(f"no such colour scheme: {scheme}")
+    bands = list(scheme)
+    out = cells.withColumns(dict(zip(bands, unit_scaled([F.col(b) for b in bands]))))
+    shade = F.lit(float(alpha)) if alpha is not None else F.col("a") if scheme == "rgba" else F.lit(1.0)
+    return out.withColumn("alpha", shade)
+
+
+def mapping_faults(mapping: DataFrame, per_year: int) -> DataFrame:
+    """raster, year and n of years that have not as many bands as a colour scheme needs."""
+    return mapping.select("raster", "year", F.size("bands").alias("n")).filter(F.col("n") != per_year)

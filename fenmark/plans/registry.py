@@ -6,41 +6,21 @@ an area and a year, line items are observations of bands.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import area, grid, index_tables, metrics, ml, raster, split, stability, survey, timeseries
 from ..session import table
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, dates: tuple[str, ...] = ()) -> Callable[[Query], Query]:
-    """Registers a query and its SQL; columns named in dates are compared as text."""
-
-    def add(f: Query) -> Query:
-        def as_text(spark: SparkSession, sf: str) -> DataFrame:
-            return f(spark, sf).withColumns({d: F.col(d).cast("string") for d in dates})
-
-        _QUERIES[f.__name__] = as_text if dates else f
-        if sql:
-            _SQL[f.__name__] = f"SELECT * REPLACE ({', '.join(f'CAST({d} AS VARCHAR) AS {d}' for d in dates)}) FROM ({sql})" if dates else sql
-        return f
-
-    return add
-
+from . import column_queries, file_queries, map_queries, space_queries  # noqa: F401  they register themselves
+from .base import QUERIES, SQL, Query, query
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
 
 
 # ------------------------------------------------------------------ stability
@@ -85,10 +65,11 @@ def decision_distribution(spark, sf):
 
 
 @query(_DAYS + """SELECT pixel_id, day, decision_category,
-  CASE WHEN decision_category = 4 THEN least(modal_class, second_class) || '_' || greatest(modal_class, second_class) END AS pair
+  CASE WHEN decision_category = 4 THEN least(modal_class, second_class) || '_' || greatest(modal_class, second_class) END AS pair,
+  CASE WHEN decision_category = 4 THEN CAST(CAST('0x' || substr(md5(least(modal_class, second_class) || '_' || greatest(modal_class, second_class)), 1, 8) AS BIGINT) % 22 AS INTEGER) END AS palette
 FROM d WHERE decision_category IN (4, 5)""", dates=("day",))
 def unstable_pairs(spark, sf):
-    return stability.unstable_pairs(_daily_profile(spark, sf), ["pixel_id", "day"]).drop("palette")
+    return stability.unstable_pairs(_daily_profile(spark, sf), ["pixel_id", "day"])
 
 
 @query(_DAYS + "SELECT pixel_id, day, modal_class, CASE WHEN modal_class = 'click' THEN '#ff0000' ELSE '#000000' END AS color, CAST(CASE WHEN decision_category = 2 THEN 0.5 ELSE 1.0 END AS DOUBLE) AS alpha FROM d WHERE decision_category IN (1, 2)", dates=("day",))
@@ -416,14 +397,6 @@ def rolling_k(spark, sf):
     return timeseries.rolling_sum(months, ["station"], "month", "pet_mm", 3, "sum3")
 
 
-@query()
-def drought_index(spark, sf):
-    """The balance of a long synthetic calendar: each order's day is spread over 40 years, so that every month can be fitted."""
-    daily = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 3).alias("station"), F.add_months(F.trunc("l_shipdate", "month"), (F.col("l_partkey") % 40 * 12 - 240).cast("int")).alias("month"), ((F.col("l_extendedprice") % 997) - F.col("l_quantity")).alias("v"))
-    months = daily.groupBy("station", "month").agg(F.sum("v").alias("water_balance"))
-    return timeseries.drought_index(months, scales=range(1, 4))
-
-
 # ------------------------------------------------------------------ grids
 
 _BOXES = "SELECT p_partkey, CAST(p_partkey % 40 AS DOUBLE) AS xmin, CAST(p_partkey // 40 % 40 AS DOUBLE) AS ymin, p_partkey % 40 + p_size / 10.0 AS xmax, p_partkey // 40 % 40 + p_size / 15.0 AS ymax FROM part"
@@ -446,19 +419,19 @@ def point_sample(spark, sf):
     return grid.point_cells(table(spark, sf, "supplier"), cells, row, col).select("s_suppkey", "value")
 
 
-@query("WITH c AS (SELECT DISTINCT s_nationkey AS row, s_suppkey % 40 AS col FROM supplier) SELECT a.row, a.col, count(b.row) AS neighbours FROM c a LEFT JOIN c b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND NOT (a.row = b.row AND a.col = b.col) GROUP BY a.row, a.col")
+@query("WITH c AS (SELECT DISTINCT c_nationkey AS row, c_custkey // 3 AS col FROM customer), s AS (SELECT row + i AS row, col + j AS col, row AS r0, col AS c0 FROM c, range(-1, 2) x(i), range(-1, 2) y(j) WHERE i <> 0 OR j <> 0) SELECT c.row, c.col, count(s.row) AS neighbours FROM c LEFT JOIN s ON s.row = c.row AND s.col = c.col GROUP BY c.row, c.col")
 def grid_neighbours(spark, sf):
-    cells = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("row"), (F.col("s_suppkey") % 40).alias("col"))
+    cells = table(spark, sf, "customer").select(F.col("c_nationkey").alias("row"), F.expr("c_custkey div 3").alias("col"))
     return grid.neighbour_counts(cells)
 
 
-@query("""WITH RECURSIVE c AS (SELECT DISTINCT s_nationkey AS row, s_suppkey % 40 AS col FROM supplier), n AS (SELECT row, col, row * 1000 + col AS id FROM c),
-e AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1),
+@query("""WITH RECURSIVE c AS (SELECT DISTINCT c_nationkey AS row, c_custkey // 4 AS col FROM customer), n AS (SELECT row, col, CAST(row AS BIGINT) * 100000000 + col AS id FROM c),
+e AS (SELECT a.id AS a, b.id AS b FROM (SELECT id, row + i AS row, col + j AS col FROM n, range(-1, 2) x(i), range(-1, 2) y(j)) a JOIN n b ON b.row = a.row AND b.col = a.col),
 r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT row, col, CAST(min(b) AS BIGINT) AS region FROM n JOIN r ON r.a = n.id GROUP BY row, col""")
 def connected_regions(spark, sf):
-    cells = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("row"), (F.col("s_suppkey") % 40).alias("col"), F.lit(1).alias("value")).distinct()
-    return grid.regions(cells, width=1000).select("row", "col", "region")
+    cells = table(spark, sf, "customer").select(F.col("c_nationkey").alias("row"), F.expr("c_custkey div 4").alias("col"), F.lit(1).alias("value")).distinct()
+    return grid.regions(cells, width=100_000_000).select("row", "col", "region")
 
 
 # ------------------------------------------------------------------ surveys and maps
@@ -486,15 +459,15 @@ def survey_standardised(spark, sf):
     return survey.standardised(table(spark, sf, "events"), "ts", hours=-1).select("event_id", "date", "years", "month")
 
 
-@query("WITH y AS (SELECT DISTINCT o_orderpriority AS raster, year(o_orderdate) AS year FROM orders WHERE o_orderkey % 50 = 0) SELECT CAST(year AS INTEGER) AS year, count(*) AS n, count(*) = (SELECT count(DISTINCT raster) FROM y) AS in_all FROM y GROUP BY year")
+@query("WITH y AS (SELECT DISTINCT o_custkey % 1000 AS raster, year(o_orderdate) AS year FROM orders) SELECT CAST(year AS INTEGER) AS year, count(*) AS n, count(*) = (SELECT count(DISTINCT raster) FROM y) AS in_all FROM y GROUP BY year")
 def year_set_ops(spark, sf):
-    y = table(spark, sf, "orders").filter("o_orderkey % 50 = 0").select(F.col("o_orderpriority").alias("raster"), F.year("o_orderdate").alias("year"))
+    y = table(spark, sf, "orders").select((F.col("o_custkey") % 1000).alias("raster"), F.year("o_orderdate").alias("year"))
     return survey.year_sets(y)
 
 
-@query("WITH y AS (SELECT DISTINCT c_nationkey AS raster, c_custkey % 37 AS year FROM customer WHERE c_custkey % 7 = 0), g AS (SELECT raster, min(year) AS a, max(year) AS b FROM y GROUP BY 1), s AS (SELECT raster, unnest(range(a, b + 1)) AS year FROM g) SELECT s.raster, s.year FROM s ANTI JOIN y ON y.raster = s.raster AND y.year = s.year")
+@query("WITH y AS (SELECT DISTINCT o_custkey AS raster, year(o_orderdate) AS year FROM orders), g AS (SELECT raster, min(year) AS a, max(year) AS b FROM y GROUP BY 1), s AS (SELECT raster, unnest(range(a, b + 1)) AS year FROM g) SELECT s.raster, s.year FROM s ANTI JOIN y ON y.raster = s.raster AND y.year = s.year")
 def missing_years(spark, sf):
-    y = table(spark, sf, "customer").filter("c_custkey % 7 = 0").select(F.col("c_nationkey").alias("raster"), (F.col("c_custkey") % 37).alias("year")).distinct()
+    y = table(spark, sf, "orders").select(F.col("o_custkey").alias("raster"), F.year("o_orderdate").alias("year")).distinct()
     return survey.missing_years(y)
 
 
@@ -503,16 +476,9 @@ def first_of_january(spark, sf):
     return survey.first_of_january(table(spark, sf, "orders"), "o_orderdate").select("o_orderkey")
 
 
-@query("SELECT p_partkey, y AS year FROM part, (VALUES (2018), (2019), (2020)) v(y) WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, 2021 FROM part WHERE p_partkey % 3 = 0")
+@query("SELECT p_partkey, y AS year FROM part, (VALUES (2018), (2019), (2020)) v(y) UNION ALL SELECT p_partkey, 2021 FROM part")
 def ellipsis_years(spark, sf):
-    return table(spark, sf, "part").filter("p_partkey % 3 = 0").select("p_partkey", F.explode(S.expand_years(F.lit("2018, ..., 2020, 2021"))).alias("year")).withColumn("year", F.col("year").cast("int"))
-
-
-@query("""WITH c AS (SELECT p_partkey, p_partkey % 256 / 255.0 AS r, p_partkey // 3 % 256 / 255.0 AS g, p_size / 50.0 AS b FROM part)
-SELECT p_partkey, round(greatest(r, g, b), 9) AS v, round(CASE WHEN greatest(r, g, b) = 0 THEN 0 ELSE (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b) END, 9) AS s FROM c""")
-def rgb_to_hsv(spark, sf):
-    hsv = S.rgb_hsv(F.col("p_partkey") % 256 / F.lit(255.0), F.expr("p_partkey div 3 % 256") / F.lit(255.0), F.col("p_size") / F.lit(50.0))
-    return table(spark, sf, "part").withColumn("h", hsv).select("p_partkey", F.round("h.v", 9).alias("v"), F.round("h.s", 9).alias("s"))
+    return table(spark, sf, "part").select("p_partkey", F.explode(S.expand_years(F.lit("2018, ..., 2020, 2021"))).alias("year")).withColumn("year", F.col("year").cast("int"))
 
 
 # ------------------------------------------------------------------ split and classification
@@ -538,7 +504,10 @@ def split_invariants(spark, sf):
 
 @query()
 def random_forest(spark, sf):
-    bands = [f"b{i}" for i in range(8)]
-    rows = table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), *[F.col("embedding")[i].alias(b) for i, b in enumerate(bands)])
-    model = ml.train_forest(rows.filter("vec_id % 2 = 0"), bands, "label", trees=20, depth=5)
+    """Trained on a documented half (a hash of the id), with all components as bands and the operator's own defaults; all rows are predicted."""
+    rows = table(spark, sf, "embeddings")
+    n = rows.agg(F.max(F.size("embedding"))).first()[0]
+    bands = [f"b{i}" for i in range(n)]
+    rows = rows.select("vec_id", F.col("label").cast("string").alias("label"), *[F.col("embedding")[i].alias(b) for i, b in enumerate(bands)])
+    model = ml.train_forest(rows.filter("pmod(xxhash64(vec_id), 2) = 0"), bands, "label")
     return ml.predict(model, rows, bands).select("vec_id", "label", "pred", "probability")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +24,41 @@ def trace_precipitation(df: DataFrame, column: str = "precip_mm") -> DataFrame:
 
 
 def read_class_list(spark: SparkSession, path: str) -> DataFrame:
-    """value and class of lines `- <number>: <class>`."""
-    pattern = r"^\s*-\s*(\d+)\s*:\s*(.+?)\s*$"
-    return spark.read.text(path).filter(F.col("value").rlike(pattern)).select(F.regexp_extract("value", pattern, 1).cast("int").alias("number"), F.regexp_extract("value", pattern, 2).alias("class")).withColumnRenamed("number", "value")
+    """value and class of a text file's list items; see class_list."""
+    return class_list(spark.read.text(path))
+
+
+def read_zip_text(spark: SparkSession, archive: str, member: str) -> DataFrame:
+    """value: the lines of a text file in a zip archive on a path that all executors can open, by its name in whatever folder and case."""
+
+    def lines(it):
+        import io
+        import zipfile
+
+        for b in it:
+            for path in b.column("path").to_pylist():
+                with zipfile.ZipFile(path) as z:
+                    found = [m for m in z.namelist() if m.rpartition("/")[2].lower() == member.lower()]
+                    if not found:
+                        raise FileNotFoundError(f"{path} lacks {member}")
+                    with z.open(found[0]) as f:
+                        text = io.TextIOWrapper(f, "utf-8", "replace")
+                        while part := text.readlines(1 << 20):
+                            yield pa.record_batch({"value": pa.array([x.rstrip("\r\n") for x in part], pa.string())})
+
+    return spark.createDataFrame([(archive,)], "path string").mapInArrow(lines, "value string")
+
+
+def class_list(lines: DataFrame) -> DataFrame:
+    """value and class of list items, `- number: class`, in lines (column value): the mark goes, and the first colon parts the two.
+
+    Other lines, and items without a whole number or a class, are left out.
+    """
+    rows = lines.select(F.trim("value").alias("line")).filter(F.startswith("line", F.lit("-")))
+    item = F.trim(F.expr("substring(line, 2)"))
+    at = F.instr(item, ":")
+    parts = rows.select(F.when(at > 0, F.trim(F.substring(item, F.lit(1), at - 1))).try_cast("int").alias("value"), F.trim(F.substring(item, at + 1, F.length(item))).alias("class"))
+    return parts.filter("value is not null and class <> ''")
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

@@ -35,3 +35,29 @@ def read_xlsx(spark: SparkSession, path: str, sheet: int = 0, columns: list[str]
         rows.append(row)
     names = {i: n for i, n in (rows[0] if rows else {}).items() if n and (columns is None or n in columns)}
     return spark.createDataFrame([tuple(r.get(i) for i in names) for r in rows[1:]], ", ".join(f"`{n}` string" for n in names.values()))
+
+
+def write_xlsx(path: str, rows: list[tuple]) -> None:
+    """Writes one sheet of texts (null: no cell), the first row naming the columns; for lookup tables and reports."""
+    from xml.sax.saxutils import escape
+
+    def letters(i: int) -> str:
+        return (letters(i // 26 - 1) if i >= 26 else "") + chr(65 + i % 26)
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    lines = []
+    for n, row in enumerate(rows, 1):
+        cells = "".join(f'<c r="{letters(i)}{n}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>' for i, v in enumerate(row) if v is not None)
+        lines.append(f'<row r="{n}">{cells}</row>')
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    kinds = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    parts = {
+        "[Content_Types].xml": f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kinds}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kinds}.worksheet+xml"/></Types>',
+        "_rels/.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook {ns} xmlns:r="{rel}"><sheets><sheet name="rows" sheetId="1" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": f"<worksheet {ns}><sheetData>{''.join(lines)}</sheetData></worksheet>",
+    }
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, body in parts.items():
+            z.writestr(name, body)

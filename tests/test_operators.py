@@ -136,7 +136,8 @@ def test_colours(spark):
     got = df.withColumn("rgb", S.hex_rgb(F.col("c"))).withColumn("hsv", S.rgb_hsv(F.col("rgb.r"), F.col("rgb.g"), F.col("rgb.b")))
     got = got.withColumn("back", S.hsv_rgb(F.col("hsv.h"), F.col("hsv.s"), F.col("hsv.v"))).withColumn("hex", S.rgb_hex(F.col("back.r"), F.col("back.g"), F.col("back.b")))
     for r in got.collect():
-        assert list(r.hsv) == pytest.approx(colorsys.rgb_to_hsv(*r.rgb))
+        h, s, v = colorsys.rgb_to_hsv(*r.rgb)
+        assert list(r.hsv) == pytest.approx([360 * h, s, v])
         assert r.hex == r.c[:7]
 
 

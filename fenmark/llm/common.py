@@ -20,9 +20,12 @@ _U = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set only where the cluster names none, as in tests."""
+    """The folder that driver and executors share; only a local session that names none gets one of its own, as in tests."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "/tmp/fenmark-shared"
         spark.conf.set("spark.checkpoint.dir", at)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -52,8 +55,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def with_result(df: DataFrame, **cols) -> DataFrame:
-    """df with result columns; an input column of the same name gives way."""
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in cols], *[v.alias(k) for k, v in cols.items()])
+    """df with result columns; an input column of the same name, in whatever case, gives way."""
+    taken = {k.lower() for k in cols}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken], *[v.alias(k) for k, v in cols.items()])
 
 
 def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -206,12 +210,10 @@ def components(links: DataFrame) -> DataFrame:
     links costs a partial minimum per task.
     """
     edges = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "links")
-    now = None
-    while True:
+    now, none = None, edges.limit(0).select(F.col("a").alias("node"), F.col("b").alias("label"))
+    while edges.head(1):
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels")
-        if now is not None and not to.head(1):
-            return now
         for _ in range(2):
             via = to.select(F.col("node").alias("via"), F.col("label").alias("far"))
             to = to.join(via, F.col("label") == F.col("via")).select("node", F.col("far").alias("label"))
@@ -223,3 +225,13 @@ def components(links: DataFrame) -> DataFrame:
             now = written(old.join(to, F.col("l0") == F.col("node"), "left").select(F.col("n0").alias("node"), F.coalesce("label", "l0").alias("label")), "labels")
         a, b = to.select(F.col("node").alias("a"), F.col("label").alias("la")), to.select(F.col("node").alias("b"), F.col("label").alias("lb"))
         edges = written(edges.join(a, "a").join(b, "b").filter("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "links")
+    return none if now is None else now
+
+
+def more_components(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) of groups after more links (a, b): only the labels that links join are looked at again."""
+    of = lambda s: groups.select(F.col("node").alias(s), F.col("label").alias(f"{s}_label"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    to = components(between).withColumnsRenamed({"node": "from", "label": "to"})
+    every = groups.union(to.select(F.col("from").alias("node"), F.col("from").alias("label")).join(groups.select("node"), "node", "left_anti"))
+    return written(every.join(to, F.col("label") == F.col("from"), "left").select("node", F.coalesce("to", "label").alias("label")), "groups")

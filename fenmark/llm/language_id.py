@@ -21,7 +21,8 @@ DIMS = 1 << 15
 GRAMS = (1, 2, 3)
 PER_LANG, MAX_TRAIN = 1_500, 8_000  # rows of a language, and of all, that weights are fitted on (as expected values of a hash sample)
 MAX_LANGS = 1_000
-PIECE = 1 << 19  # characters featured at once; pieces of one text are added up
+L1 = 0.3  # of the elastic net: features whose summed gradients stay below it have no weight
+PIECE = 1 << 19  # n-grams hashed at once
 UNKNOWN = "und"
 
 _letter: np.ndarray | None = None
@@ -34,20 +35,16 @@ def _letters() -> np.ndarray:
     return _letter
 
 
-def _add(codes: np.ndarray, out: np.ndarray) -> bool:
-    ok = _letters()[codes]
-    if not ok.any():
-        return False
-    codes = np.where(ok, codes, 32).astype(np.uint64)
-    space = ~ok
-    codes = codes[~(space & np.concatenate([[False], space[:-1]]))]
-    for n in GRAMS:
-        if len(codes) >= n:
-            h = np.full(len(codes) - n + 1, n, np.uint64)
-            for i in range(n):
-                h = (h + codes[i : len(codes) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-            out += np.bincount((mix(h) % np.uint64(DIMS)).astype(np.int64), minlength=DIMS)
-    return True
+def _add(codes: np.ndarray, out: np.ndarray) -> None:
+    """Counts the n-grams, in pieces of bounded memory: each by the piece in which it begins."""
+    for i in range(0, len(codes), PIECE):
+        for n in GRAMS:
+            c = codes[i : i + PIECE + n - 1].astype(np.uint64)
+            if len(c) >= n:
+                h = np.full(len(c) - n + 1, n, np.uint64)
+                for k in range(n):
+                    h = (h + c[k : len(c) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+                out += np.bincount((mix(h) % np.uint64(DIMS)).astype(np.int64), minlength=DIMS)
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -55,11 +52,15 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     if not text:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    ok = _letters()[codes]
+    if not ok.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = ok.copy()  # a letter, or the first of a run of other characters
+    first[0] = True
+    first[1:] |= ok[:-1]
     out = np.zeros(DIMS, np.int64)
-    found = False
-    for i in range(0, len(codes), PIECE):
-        found |= _add(codes[i : i + PIECE + max(GRAMS) - 1] if i else codes[: PIECE + max(GRAMS) - 1], out)
-    at = np.flatnonzero(out) if found else np.zeros(0, np.int64)
+    _add(np.where(ok, codes, np.uint32(32))[first], out)
+    at = np.flatnonzero(out)
     return at, out[at]
 
 
@@ -93,6 +94,17 @@ class Model:
     weights: np.ndarray  # DIMS + 1 rows (the last is the bias), a column for each language
     temperature: float = 1.0
 
+    def __getstate__(self) -> dict:
+        """What tasks are sent: only the weights that aren't zero."""
+        at = np.flatnonzero(self.weights)
+        return self.__dict__ | {"weights": (self.weights.shape, at.astype(np.int32), self.weights.ravel()[at])}
+
+    def __setstate__(self, state: dict) -> None:
+        shape, at, values = state["weights"]
+        weights = np.zeros(shape, values.dtype)
+        weights.ravel()[at] = values
+        self.__dict__.update(state | {"weights": weights})
+
     def vector(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
         v = np.log1p(n) * self.idf[at]
         return v / max(np.sqrt(v @ v), 1e-12)
@@ -114,7 +126,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum()
 
 
-def follow_the_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.002, l2: float = 0.02, epochs: int = 3, seed: int = 3) -> np.ndarray:
+def follow_the_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, alpha: float = 2.0, beta: float = 1.0, l1: float = L1, l2: float = 0.02, epochs: int = 3, seed: int = 3) -> np.ndarray:
     """FTRL-proximal weights for rows of (features, values, class)."""
     z, n = np.zeros((DIMS + 1, classes)), np.zeros((DIMS + 1, classes))
 
@@ -155,7 +167,10 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(train: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Learns from rows with id, text and language; the sample's rows are chosen by a hash of their id."""
+    """Learns from rows with id, text and language; the sample's rows are chosen by a hash of their id.
+
+    More than MAX_LANGS languages are an error: the model has a column for each. Nulls in any of the three play no part.
+    """
     rows = train.select(F.col(id_col).cast("string").alias("li_id"), F.col(text).alias("li_text"), F.col(lang).alias("li_lang")).filter("li_text is not null and li_lang is not null and li_id is not null")
     counts = {r["li_lang"]: r["count"] for r in rows.groupBy("li_lang").count().limit(MAX_LANGS + 1).collect()}
     if len(counts) > MAX_LANGS:

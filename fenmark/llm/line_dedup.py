@@ -10,9 +10,9 @@ Edits then change whole blocks instead of scattered bits, and by the pigeonhole
 the blocks alone share a join key. There are as many blocks as leave a pair at the limit of similarity without a
 common one with probability MISS (lines with fewer shingles have a block for each).
 
-A key's bucket of two nodes is a pair. In a larger one all nodes are compared with its most frequent line; then, for
-ROUNDS rounds, with one node that is still outside that line's group; then what is still apart, pair by pair among
-lines of near lengths. Pairs are left out before the edit check only if their lengths or word parities rule the similarity
+A key's bucket of two nodes is a pair. In a larger one all nodes are compared with its most frequent line; then with
+PIVOTS of the nodes that are still outside that line's group; then what is still apart, pair by pair among lines of near
+lengths. Pairs are left out before the edit check only if their lengths or the parities of their words rule the similarity
 out. So no pair with a common key is lost, and the pairs of a connected crowd are not listed.
 The first line of each connected group (by document id, then line number) is kept.
 
@@ -24,16 +24,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, positional, written
+from .common import components, more_components, positional, written
 
 MISS = 5e-4  # probability that a pair at the limit of similarity has no common block
 SHINGLE = 3  # words, fewer where the similarity allows closer edits
-ROUNDS = 2
+PIVOTS = 8  # of the nodes of a bucket that its most frequent line has left open
 SPACE = r"[\x20\x09-\x0D]+"
 PLANES = 1 << 20  # characters that stand for words: those from 0x10000 on
+SIGHTS, SUMS = 4, 2  # numbers in a sketch of a line that hold parities, and that hold four sums of 16 bits
 
 
 def normal_form(line: Column) -> Column:
@@ -58,19 +59,38 @@ def block_plan(pct: int) -> tuple[int, int]:
     return k, math.ceil(math.log(MISS) / math.log(1 - same / (2 - same)))
 
 
-def simhash_blocks(words: str, n: str, pct: int) -> Column:
-    """The blocks of a line's SimHash, from its word array: the hashes of its heaviest shingles."""
+def simhash_blocks(hashes: str, pct: int) -> Column:
+    """The blocks of a line's SimHash, from the hashes of its words: the hashes of its heaviest shingles."""
     k, most = block_plan(pct)
-    each = ", ".join(f"h[i + {j}]" for j in range(k))
-    # Of an array whose smallest values repeat, twice as many are enough to look at, or else all.
-    hashes = f"transform(array(transform({words}, x -> xxhash64(x))), h -> sort_array(transform(sequence(0, {n} - {k}), i -> xxhash64({each}))))[0]"
-    few = f"transform(array({hashes}), s -> transform(array(array_distinct(slice(s, 1, {2 * most}))), d -> if(size(d) >= {most} or size(s) <= {2 * most}, d, array_distinct(s)))[0])[0]"
-    return F.expr(f"slice({few}, 1, {most})")
+    shingles = hashes  # of one word; each turn joins a run with the one a word later
+    for _ in range(k - 1):
+        shingles = f"transform(array({shingles}), s -> zip_with(slice(s, 1, size(s) - 1), slice(s, 2, size(s) - 1), (x, y) -> xxhash64(x, y)))[0]"
+    # Where the smallest values repeat, the heaviest are looked for among all.
+    return F.expr(f"transform(transform(array(sort_array({shingles})), s -> named_struct('s', s, 'd', array_distinct(slice(s, 1, {most + 2})))), x -> slice(if(size(x.d) >= least({most}, size(x.s)), x.d, array_distinct(x.s)), 1, {most}))[0]")
 
 
-def _parities(words: str) -> Column:
-    """Which of 64 bits an odd number of words has: an edit changes two at most."""
-    return F.expr(f"aggregate({words}, 0L, (p, x) -> p ^ shiftleft(1L, cast(xxhash64(x) & 63 as int)))")
+def _parities(hashes: str, part: int | None = None) -> str:
+    """Which of 64 bits an odd number of words has: an edit changes two at most. With a part, only of the words whose hash names it."""
+    bit = "shiftleft(1L, cast(x & 63 as int))"
+    return f"aggregate({hashes}, 0L, (p, x) -> p ^ {bit if part is None else f'if(shiftrightunsigned(x, 6) & {SIGHTS - 1} = {part}, {bit}, 0L)'})"
+
+
+def _sights(words: str) -> str:
+    """A sketch of a line: the parities of its words in SIGHTS parts, and for 4 SUMS bits the number of words whose hash has them."""
+    ones = sum(1 << 16 * i for i in range(4))
+    sums = [f"aggregate(h, 0L, (p, x) -> p + (shiftrightunsigned(x, {10 + i}) & {ones}L))" for i in range(SUMS)]
+    return f"transform(array(transform({words}, x -> xxhash64(x))), h -> array({', '.join([_parities('h', i) for i in range(SIGHTS)] + sums)}))[0]"
+
+
+def _within(a: str, b: str, edits: str) -> Column:
+    """Whether two lines' sketches leave it open that they are so many edits apart: each changes two parities at most, and each sum by one.
+
+    Sums of lines beyond 65,535 words run over and say nothing.
+    """
+    apart = " + ".join(f"bit_count({a}.sights[{i}] ^ {b}.sights[{i}])" for i in range(SIGHTS))
+    lane = lambda s, k, i: f"(shiftrightunsigned({s}.sights[{SIGHTS + k}], {16 * i}) & 65535L)"
+    sums = " and ".join(f"abs({lane(a, k, i)} - {lane(b, k, i)}) <= {edits}" for k in range(SUMS) for i in range(4))
+    return F.expr(f"{apart} <= 2 * {edits} and (greatest({a}.n, {b}.n) > 65535 or ({sums}))")
 
 
 def _characters(words: str) -> str:
@@ -115,88 +135,91 @@ def _exactly_alike(pairs: DataFrame, pct: int) -> DataFrame:
 def _line_table(df: DataFrame, pct: int, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(lines, nodes). lines: ld_at (a number of the row), ld_id, ld_row (a hash of id and text), ln, node, check, n, p and blocks, for
     each line with a word and for each row's first line (node is null if that has no word; p and blocks are null in lines too
-    short for edits). nodes: node, check, n, times and p of each normal form."""
+    short for edits). nodes: node, check, n, times and p of each normal form, and one line that has it (ld_id, ld_row, ln)."""
     # Rows are numbered before they are split, so that equal rows aren't counted together.
     rows = df.select(F.monotonically_increasing_id().alias("ld_at"), F.col(id_col).cast("long").alias("ld_id"), F.xxhash64(F.col(id_col), F.col(text)).alias("ld_row"), F.col(text).alias("ld_text"))
     split = rows.select("ld_at", "ld_id", "ld_row", F.posexplode_outer(F.split("ld_text", "\n")).alias("ln", "line"))
-    word = F.coalesce(F.col("line").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    form = split.select("ld_at", "ld_id", "ld_row", F.coalesce("ln", F.lit(0)).alias("ln"), "line").filter(word | (F.col("ln") == 0))
-    form = form.withColumn("f", F.when(word, normal_form(F.col("line")))).drop("line")
-    hashed = form.select("ld_at", "ld_id", "ld_row", "ln", F.when(F.col("f").isNotNull(), F.xxhash64("f")).alias("node"), F.when(F.col("f").isNotNull(), F.xxhash64(F.lit(1), "f")).alias("check"), F.split("f", " ").alias("w"))
+    some = split.select("ld_at", "ld_id", "ld_row", F.coalesce("ln", F.lit(0)).alias("ln"), "line").filter("trim(line) <> '' or ln = 0")
+    form = some.withColumn("f", normal_form(F.col("line"))).drop("line")
+    word = F.col("f") != ""
+    hashed = form.select("ld_at", "ld_id", "ld_row", "ln", F.when(word, F.xxhash64("f")).alias("node"), F.when(word, F.xxhash64(F.lit(1), "f")).alias("check"), F.when(word, F.split("f", " ")).alias("w"))
     hashed = hashed.withColumn("n", F.size("w"))
     long_ = F.col("n") >= max(block_plan(pct)[0], _least_words(pct))
-    keyed = hashed.withColumns({"p": F.when(long_, _parities("w")), "blocks": F.when(long_, simhash_blocks("w", "n", pct))})
-    keyed = written(keyed.drop("w"), "line-keys")
-    # Equal lines have equal parities: any of them stands for all.
-    nodes = keyed.filter("node is not null").groupBy("node", "check", "n").agg(F.count(F.lit(1)).alias("times"), F.first("p").alias("p"))
+    hashed = hashed.withColumn("h", F.when(long_, F.expr("transform(w, x -> xxhash64(x))"))).drop("w")
+    keyed = hashed.withColumns({"p": F.when(long_, F.expr(_parities("h"))), "blocks": F.when(long_, simhash_blocks("h", pct))})
+    keyed = written(keyed.drop("h"), "line-keys")
+    # Any of equal lines stands for all: all columns are the first row's.
+    nodes = keyed.filter("node is not null").groupBy("node", "check", "n").agg(F.count(F.lit(1)).alias("times"), *[F.first(c).alias(c) for c in ("p", "ld_id", "ld_row", "ln")])
     return keyed, written(nodes, "line-nodes")
 
 
-def _with_links(groups: DataFrame | None, links: DataFrame) -> DataFrame:
-    """(node, label) after more links (a, b): only the labels that links join are looked at again."""
-    if groups is None:
-        return components(links)
-    of = lambda s: groups.select(F.col("node").alias(s), F.col("label").alias(f"{s}_label"))
-    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
-    to = components(between).withColumnsRenamed({"node": "from", "label": "to"})
-    every = groups.union(to.select(F.col("from").alias("node"), F.col("from").alias("label")).join(groups.select("node"), "node", "left_anti"))
-    return written(every.join(to, F.col("label") == F.col("from"), "left").select("node", F.coalesce("to", "label").alias("label")), "line-groups")
-
-
 def _groups_of_lines(df: DataFrame, lines: DataFrame, nodes: DataFrame, pct: int, id_col: str, text: str) -> DataFrame:
     """(node, label) of the nodes that are linked with others."""
-    bands = lines.filter("blocks is not null").select("node", F.explode("blocks").alias("key"))
-    buckets = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
-    kept = bands.join(buckets.hint("shuffle_hash"), "key").distinct()
+    bands = lines.filter("blocks is not null").select("node", "n", F.explode("blocks").alias("key"))
+    # Two lines alone in a bucket must be of near lengths.
+    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("n").alias("few"), F.max("n").alias("many"))
+    buckets = buckets.filter(f"lo <> hi and (c > 2 or 100 * few >= {pct} * many)").select("key")
+    kept = bands.select("node", "key").join(buckets.hint("shuffle_hash"), "key").distinct()
     members = written(kept.join(nodes.select("node", "times", F.struct("n", "p").alias("sketch")), "node"), "members")
     longer = F.greatest("a_sketch.n", "b_sketch.n")
     near = 100 * F.least("a_sketch.n", "b_sketch.n") >= pct * longer
     near = near & (F.bit_count(F.col("a_sketch.p").bitwiseXOR(F.col("b_sketch.p"))) <= 2 * F.floor((100 - pct) * longer / 100))
-    # Lines of near lengths are of one class or of two that are next to each other.
-    step = math.log(100 / max(1, min(99, pct)))
-    class_ = F.floor(F.log(F.col("sketch.n")) / step).cast("int")
-    beside = F.explode(F.array(*[class_ + i for i in (-1, 0, 1)]))
     # Nodes that could be alike with none of their bucket leave it.
-    other = members.select(F.col("key").alias("b_key"), F.col("node").alias("b"), F.col("sketch").alias("b_sketch"), beside.alias("b_class"))
-    met = members.withColumns({"a_sketch": F.col("sketch"), "class": class_}).join(other, (F.col("key") == F.col("b_key")) & (F.col("class") == F.col("b_class")) & (F.col("node") != F.col("b")) & near, "left_semi").drop("a_sketch")
+    other = members.select(F.col("key").alias("b_key"), F.col("node").alias("b"), F.col("sketch").alias("b_sketch"))
+    met = members.withColumn("a_sketch", F.col("sketch")).join(other, (F.col("key") == F.col("b_key")) & (F.col("node") != F.col("b")) & near, "left_semi").drop("a_sketch")
     met = written(met, "met")
     sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("a"), F.max("node").alias("b"))
     couples = sizes.filter("size = 2").select("a", "b")
     large = met.join(sizes.filter("size > 2").select("key"), "key", "left_semi")
     side = lambda d, s, *more: d.select("key", F.col("node").alias(s), F.col("sketch").alias(f"{s}_sketch"), *more)
-    chosen = lambda d, *more: d.groupBy("key").agg(F.max(F.struct("times", "node", "sketch", *more)).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.sketch").alias("a_sketch"), *[F.col(f"p.{m}").alias(f"a_{m}") for m in more])
+    chosen = large.groupBy("key").agg(F.max(F.struct("times", "node", "sketch")).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.sketch").alias("a_sketch"))
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    often = written(chosen(large), "pivots")
+    often = written(chosen, "pivots")
     star = side(large, "b").join(often, "key").filter("a <> b").filter(near).select(*ordered)
     pairs = written(couples.union(star).distinct(), "line-pairs")
 
     # The texts of all lines that may be compared, fetched once.
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
-    places = lines.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("ld_id", "ld_row", "ln")).alias("at")).select("node", "at.*")
+    places = nodes.join(wanted, "node", "left_semi").select("node", "ld_id", "ld_row", "ln")
     by_row = places.groupBy("ld_id", "ld_row").agg(F.collect_list(F.struct("node", "ln")).alias("at"))  # a document's own lines
     own = df.select(F.col(id_col).cast("long").alias("d_id"), F.xxhash64(F.col(id_col), F.col(text)).alias("d_row"), F.col(text).alias("d_text"))
     found = own.join(by_row, F.col("d_id").eqNullSafe(F.col("ld_id")) & (F.col("d_row") == F.col("ld_row")))
     found = found.select(F.split("d_text", "\n").alias("parts"), F.explode("at").alias("x")).select("x.node", normal_form(F.expr("parts[x.ln]")).alias("f"))
-    texts = written(found.dropDuplicates(["node"]).withColumn("n", F.size(F.split("f", " "))), "line-texts")
+    # Only rows that occur several times give a line's text several times.
+    again = lines.select("ld_id", "ld_row", "ld_at").distinct().groupBy("ld_id", "ld_row").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    found = found.dropDuplicates(["node"]) if again.head(1) else found
+    texts = written(found.withColumn("n", F.size(F.split("f", " "))), "line-texts")
 
-    groups = _with_links(None, alike(pairs, texts, pct))
+    groups = components(alike(pairs, texts, pct))
     if not large.head(1):
         return groups
-    for turn in range(ROUNDS + 1):
+    # Lines of near lengths are of one class or of two that are next to each other.
+    step = math.log(100 / max(1, min(99, pct)))
+    class_ = F.floor(F.log(F.col("sketch.n")) / step).cast("int")
+    own = large.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # a line's blocks at most
+    sights = texts.join(own, "node").select(F.col("node").alias("s_node"), "keys", F.expr(_sights("split(f, ' ')")).alias("sights"))
+    large = large.withColumn("class", class_).join(sights, F.col("node") == F.col("s_node"))
+    large = written(large.select("key", "node", "class", F.struct("sketch.n", "sights", "keys").alias("sketch")), "crowds")
+    edits = f"cast(({100 - pct} * greatest(a_sketch.n, b_sketch.n)) div 100 as int)"
+    near = F.expr(f"100 * least(a_sketch.n, b_sketch.n) >= {pct} * greatest(a_sketch.n, b_sketch.n)") & _within("a_sketch", "b_sketch", edits)
+    # A pair that meets in several buckets counts in the first.
+    once = F.expr("key = array_min(array_intersect(a_sketch.keys, b_sketch.keys))")
+    for whole in (False, True):
         named = groups.select(F.col("node").alias("g_node"), "label")
-        labelled = large.join(named, F.col("node") == F.col("g_node"), "left").select("key", "node", "sketch", "class", "times", F.coalesce("label", "node").alias("group"))
+        labelled = large.join(named, F.col("node") == F.col("g_node"), "left").select("key", "node", "sketch", "class", F.coalesce("label", "node").alias("group"))
         main = labelled.join(often.select("key", F.col("a").alias("node")), ["key", "node"]).select("key", F.col("group").alias("main"))
         labelled = written(labelled.join(main, "key"), "labelled")
         open_ = labelled.filter("group <> main")
         b = side(labelled, "b", "class", F.col("group").alias("b_group"))
-        if turn < ROUNDS:  # another open node of each bucket in each turn
-            rest = chosen(open_.withColumn("times", F.xxhash64(F.lit(turn), "group")), "group").join(b, "key")
+        if whole:
+            a = side(open_, "a", F.col("group").alias("a_group"), F.explode(F.array(*[F.col("class") + i for i in (-1, 0, 1)])).alias("class"))
         else:
-            rest = side(open_, "a", F.col("group").alias("a_group"), F.explode(F.array(*[F.col("class") + i for i in (-1, 0, 1)])).alias("class")).join(b, ["key", "class"])
-        rest = rest.filter(F.col("a_group") != F.col("b_group")).filter(near).select(*ordered).distinct()
+            drawn = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("group"), "node"))
+            a = side(open_.withColumn("drawn", drawn).filter(F.col("drawn") <= PIVOTS), "a", F.col("group").alias("a_group"))
+        rest = a.join(b, ["key", "class"] if whole else "key").filter((F.col("a_group") != F.col("b_group")) & near & once if whole else (F.col("a_group") != F.col("b_group")) & near).select(*ordered).distinct()
         more = written(alike(rest, texts, pct), "line-links")
         if more.head(1):
-            groups = _with_links(groups, more)
+            groups = more_components(groups, more)
     return groups
 
 

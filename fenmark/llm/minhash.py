@@ -5,9 +5,12 @@ exponential variates: registers of a union are the greater of both, and equal re
 Bands of registers propose pairs, a likelihood test on all registers and both set sizes drops what can't be alike, and
 the full sets decide.
 
-Documents with equal words are one node. Nodes that share a band key are compared in cells, bounded blocks of a
-group's nodes, and a cell returns at most one link for each node, never all pairs; a group larger than a block is
-covered by the cells of all its pairs of blocks.
+Documents with equal words are one node. Nodes that share a band key are a bucket. Each is first compared with its
+bucket's least node, in cells of one such node and a bounded part of its followers. Only nodes that are still apart from
+their bucket's least one are compared with the rest, in cells of two bounded blocks; nodes that are connected already are
+passed over, and a cell returns at most one link for each node, never all pairs. So a crowd of copies costs one comparison each.
+
+The likelihood test passes over a pair whose similarity reaches the limit with a probability of exp(-DOUBT) or less, 4e-6.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batches, components, mix, pieces, window_hash, written
+from .common import Words, batches, components, mix, more_components, pieces, window_hash, written
 
 BASE, RATE = 1.001, 20.0
 BANDS, ROWS = 32, 5  # at a similarity of 0.8 a pair shares no band with probability (1 - 0.8**5)**32 = 3e-6
@@ -152,6 +155,11 @@ class Cell:
         mine = set(self.ids[i].tolist())
         return np.array([len(mine.intersection(self.ids[j].tolist())) for j in others])
 
+    def join(self, labels: np.ndarray) -> None:
+        """Nodes of one label are connected from the start."""
+        _, first, of = np.unique(labels, return_index=True, return_inverse=True)
+        self.root = first[of]
+
     def link(self, i: int, others: np.ndarray) -> None:
         """Joins node i with those of the others that are alike, leaving out what is joined already."""
         self.flat()
@@ -170,25 +178,92 @@ class Cell:
             self.root[max(a, b)] = min(a, b)
 
 
+def _ordered(table: pa.Table) -> pa.Table:
+    return table.take(pa.array(np.argsort(table.column("mh_id").to_numpy(), kind="stable")))
+
+
+def _far(c: Cell, names: np.ndarray) -> pa.Table:
+    """What the cell has connected, by name."""
+    c.flat()
+    far = np.flatnonzero(names[c.root] != names)
+    return pa.table({"a": pa.array(names[far], pa.int64()), "b": pa.array(names[c.root[far]], pa.int64())})
+
+
+def _verify_stars(k: int, pct: int):
+    """Each node of a cell with those that it is to be compared with."""
+
+    def run(key, table):
+        table = _ordered(table)
+        ids, to = table.column("mh_id").to_numpy(), table.column("mh_to").combine_chunks()
+        c = Cell(table.column("mh_body").to_pylist(), k, pct)
+        to = to.chunk(0) if isinstance(to, pa.ChunkedArray) else to
+        centre = np.searchsorted(ids, to.flatten().to_numpy())
+        follower = np.repeat(np.arange(len(ids)), np.diff(to.offsets.to_numpy()))
+        by = np.argsort(centre, kind="stable")
+        centre, follower = centre[by], follower[by]
+        cuts = np.flatnonzero(np.diff(centre)) + 1
+        for part in np.split(np.arange(len(centre)), cuts) if len(centre) else []:
+            c.link(int(centre[part[0]]), follower[part])
+        return _far(c, ids)
+
+    return run
+
+
 def _verify(k: int, pct: int):
+    """The nodes of one block with those of another, or of a block with each other."""
+
     def run(key, table):
         lo, hi = key[0].as_py(), key[1].as_py()
-        order = np.argsort(table.column("mh_id").to_numpy(), kind="stable")
-        table = table.take(pa.array(order))
-        ids, block = table.column("mh_id").to_numpy(), table.column("mh_block").to_numpy()
+        table = _ordered(table)
+        ids, block, label = (table.column(n).to_numpy() for n in ("mh_id", "mh_block", "mh_label"))
         c = Cell(table.column("mh_body").to_pylist(), k, pct)
+        c.join(label)
         for i in range(len(ids)):
             if lo == hi:
                 c.link(i, np.arange(i + 1, len(ids)))
             elif block[i] == lo:
                 c.link(i, np.flatnonzero(block == hi))
-        c.flat()
-        far = np.flatnonzero(ids[c.root] != ids)
-        return pa.table({"a": pa.array(ids[far], pa.int64()), "b": pa.array(ids[c.root[far]], pa.int64())})
+        return _far(c, label)
 
     return run
 
 
+def _blocks(nodes: DataFrame, home: str, packs: int) -> DataFrame:
+    """(node, block) of nodes with a home: blocks of BLOCK nodes of one home at most; small homes share blocks."""
+    sizes = nodes.groupBy(F.col(home).alias("bl_home")).agg(F.count(F.lit(1)).alias("bl_n"))
+    part = F.pmod(F.xxhash64("mh_node", F.lit(1)), F.ceil(F.col("bl_n") / BLOCK))
+    block = F.when(F.col("bl_n") <= PACKED, F.pmod(F.xxhash64(home), F.lit(packs))).otherwise(F.xxhash64(home, part))
+    return nodes.join(sizes, F.col(home) == F.col("bl_home")).withColumn("mh_block", block).drop("bl_home", "bl_n")
+
+
+def _links(docs: DataFrame, members: DataFrame, shingle: int, pct: int) -> DataFrame:
+    """(node, label) of connected nodes. members: mh_key, mh_node and mh_pivot, the least node of each key's bucket."""
+    stars = written(members.filter("mh_node <> mh_pivot").select("mh_pivot", "mh_node").distinct(), "stars")
+    placed = _blocks(stars, "mh_pivot", stars.count() // 1024 + 1)
+    followers = placed.groupBy("mh_block", F.col("mh_node").alias("mh_id")).agg(F.collect_list("mh_pivot").alias("mh_to"))  # a pivot for each band at most
+    centres = placed.select("mh_block", F.col("mh_pivot").alias("mh_id")).distinct().join(followers.select("mh_block", "mh_id"), ["mh_block", "mh_id"], "left_anti")
+    cells = followers.unionByName(centres.withColumn("mh_to", F.expr("cast(array() as array<long>)")))
+    first = docs.join(cells, "mh_id").groupBy("mh_block").applyInArrow(_verify_stars(shingle, pct), "a long, b long")
+    groups = components(first)
+
+    # What is still apart from its bucket's least node.
+    of = lambda n, g: groups.select(F.col("node").alias(n), F.col("label").alias(g))
+    named = members.join(of("mh_node", "g_node"), "mh_node", "left").join(of("mh_pivot", "g_pivot"), "mh_pivot", "left")
+    named = named.select("mh_key", "mh_node", F.coalesce("g_node", "mh_node").alias("mh_label"), F.coalesce("g_pivot", "mh_pivot").alias("main"))
+    apart = named.filter("mh_label <> main").select("mh_key").distinct()
+    rest = written(named.join(apart, "mh_key", "left_semi").withColumn("open", F.col("mh_label") != F.col("main")), "apart")
+    homes = rest.groupBy("mh_node", "mh_label").agg(F.min("mh_key").alias("mh_home"))
+    homes = written(homes, "homes")
+    placed = written(rest.join(_blocks(homes, "mh_home", homes.count() // 1024 + 1).select("mh_node", "mh_block"), "mh_node"), "placed")
+    # Blocks of a key: a group of g nodes has g / BLOCK of them, most have one.
+    met = placed.groupBy("mh_key").agg(F.collect_set("mh_block").alias("mh_all"), F.collect_set(F.when(F.col("open"), F.col("mh_block"))).alias("mh_open"))
+    other = F.explode(F.when(F.col("open"), F.col("mh_all")).otherwise(F.col("mh_open"))).alias("mh_other")
+    cells = placed.join(met, "mh_key").select(F.col("mh_node").alias("mh_id"), "mh_label", "mh_block", other)
+    cells = cells.select("mh_id", "mh_label", "mh_block", F.least("mh_block", "mh_other").alias("lo"), F.greatest("mh_block", "mh_other").alias("hi")).distinct()
+    more = docs.join(cells, "mh_id").groupBy("lo", "hi").applyInArrow(_verify(shingle, pct), "a long, b long")
+    return more_components(groups, more)
+
+
 def near_duplicates(df: DataFrame, shingle: int = 4, similarity_pct: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id (the least id reachable by links) and kept (id = component_id) of each row of df.
 
@@ -205,21 +280,7 @@ def near_duplicates(df: DataFrame, shingle: int = 4, similarity_pct: int = 80, i
     shared = bands.groupBy("mh_key").agg(F.count(F.lit(1)).alias("n"), F.min("mh_node").alias("mh_pivot")).filter("n > 1").drop("n")
     members = written(bands.join(shared, "mh_key"), "members")
 
-    home = members.groupBy("mh_node").agg(F.min("mh_pivot").alias("mh_home"))
-    home = written(home, "homes")
-    sizes = home.groupBy("mh_home").agg(F.count(F.lit(1)).alias("n"))
-    packs = home.count() // 1024 + 1
-    part = F.pmod(F.xxhash64("mh_node", F.lit(1)), F.ceil(F.col("n") / BLOCK))
-    block = F.when(F.col("n") <= PACKED, F.pmod(F.xxhash64("mh_home"), F.lit(packs))).otherwise(F.xxhash64("mh_home", part))
-    blocks = home.join(sizes, "mh_home").select("mh_node", block.alias("mh_block"))
-    placed = written(members.select("mh_key", "mh_node").join(blocks, "mh_node"), "placed")
-    # Blocks of a key: a group of g nodes has g / BLOCK of them, most have one.
-    met = placed.groupBy("mh_key").agg(F.collect_set("mh_block").alias("mh_met"))
-    other = F.explode("mh_met").alias("mh_other")
-    cells = placed.join(met, "mh_key").select("mh_node", "mh_block", other).select("mh_node", "mh_block", F.least("mh_block", "mh_other").alias("lo"), F.greatest("mh_block", "mh_other").alias("hi")).distinct()
-    cells = cells.withColumnRenamed("mh_node", "mh_id")
-    links = docs.filter("mh_id is not null").join(cells, "mh_id").groupBy("lo", "hi").applyInArrow(_verify(shingle, similarity_pct), "a long, b long")
-    groups = components(links)
+    groups = _links(docs.filter("mh_id is not null"), members, shingle, similarity_pct)
 
     of_digest = nodes.select(F.col("mh_digest"), "mh_node")
     out = sketches.join(of_digest, "mh_digest", "left").join(groups, F.col("mh_node") == F.col("node"), "left")

@@ -2,8 +2,10 @@
 
 Each source's documents, shuffled by a hash, form one stream of tokens that is cut into equal blocks. Point k of a
 golden-ratio sequence falls into the cumulative targets and so names the source of slot k; the slot's rank within
-its source names the block; a source that the drawn points leave short gets its last slots after them. Documents, cut at block borders, join the slots on (source, block). Ranks and stream
-positions come from sums over chunks plus ranks within a chunk, so that no source, however large, is one task's work.
+its source names the block. A source has as many slots as its target has blocks: points beyond those name nothing, and
+a source that the drawn points leave short gets its last slots after them. Documents, cut at block borders, join the
+slots on (source, block), which gives the words they are taken for and the slot at which the mix reads them first. Ranks and
+stream positions come from sums over chunks plus ranks within a chunk, so that no source, however large, is one task's work.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, written
+from .common import n_words, positional, written
 
 GOLDEN = (math.sqrt(5) - 1) / 2
 MAX_SOURCES = 100_000  # of the per-source table on the driver; more raise an error
@@ -62,7 +64,9 @@ def mix(
     text: str = "text",
     source: str = "source",
 ) -> DataFrame:
-    """One row per row of df: id_col, size, source_size, target, taken; plus `row`, a key of the row's content.
+    """One row per row of df: id_col, size, source_size, target, taken, first_slot (the first slot of the schedule that reads from
+    the row; null where nothing is taken); plus `row`, a key of the row's content. A block has block_tokens words, the last one of a
+    source fewer.
 
     Source number i by code point (null last) weighs weight_of(i); the sources share `share` times all words, none
     above `cap` (2 at most) times its own. A null text or one without words has size 0 and is never taken. Equal rows get
@@ -88,10 +92,11 @@ def mix(
     # The per-source table has MAX_SOURCES rows at most.
     placed = sized.join(F.broadcast(table), sized["m_source"].eqNullSafe(table["m_source"])).drop(table["m_source"])
     if not total:
-        return placed.select(F.col("m_id").alias(id_col), "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), "row")
-    block = max(1, min(block_tokens, int(share * total / (256 * len(groups)))))
+        return placed.select(F.col("m_id").alias(id_col), "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"), "row")
+    block = block_tokens
 
-    bits = max(0, math.ceil(math.log2(max(1, sum(g["n"] for g in groups) / 20_000))))
+    # As many buckets as a bucket has rows, about: both are sorted and summed in single tasks.
+    bits = math.ceil(math.log2(max(1, sum(g["n"] for g in groups))) / 2)
     bucket = F.shiftrightunsigned("m_key", 64 - bits).cast("int") if bits else F.lit(0)
     some = placed.filter("size > 0").withColumn("m_bucket", bucket)
     sums = some.groupBy("m_src", "m_bucket").agg(F.sum("size").alias("m_sum"))
@@ -107,32 +112,32 @@ def mix(
     per = slots.groupBy("m_src", "m_chunk").agg(F.count(F.lit(1)).alias("m_n"))
     earlier = per.select("m_src", "m_chunk", (F.sum("m_n").over(Window.partitionBy("m_src").orderBy("m_chunk")) - F.col("m_n")).alias("m_earlier"))
     ranked = slots.withColumn("m_rank", F.row_number().over(Window.partitionBy("m_src", "m_chunk").orderBy("k")))
-    ranked = ranked.join(earlier, ["m_src", "m_chunk"]).select("m_src", (F.col("m_earlier") + F.col("m_rank") - 1).alias("m_block"))
+    ranked = ranked.join(earlier, ["m_src", "m_chunk"]).select("m_src", (F.col("m_earlier") + F.col("m_rank") - 1).alias("m_block"), "k")
     # Every source has as many slots as its target has blocks.
     drawn = per.groupBy("m_src").agg(F.sum("m_n").alias("m_drawn"))
     short = table.select("m_src", F.ceil(F.col("m_stop") / block).alias("m_need")).join(drawn, "m_src", "left").withColumn("m_drawn", F.coalesce("m_drawn", F.lit(0)))
-    ranked = ranked.union(short.filter("m_drawn < m_need").select("m_src", F.explode(F.expr("sequence(m_drawn, m_need - 1)")).alias("m_block")))
+    late = short.filter("m_drawn < m_need").select("m_src", F.explode(F.expr("sequence(m_drawn, m_need - 1)")).alias("m_block"))
+    ranked = ranked.union(late.withColumn("k", slots_n + F.col("m_block") * len(groups) + F.col("m_src")))
 
     # A source's blocks run through its stream and, where its target exceeds its size, through it once more.
     laps = stream.withColumn("m_lap", F.explode(F.array(*[F.lit(i).cast("long") for i in range(math.ceil(cap))])))
     laps = laps.withColumn("m_from", F.col("m_lap") * F.col("source_size") + F.col("m_start")).withColumn("m_to", F.least(F.col("m_from") + F.col("size"), F.col("m_stop"))).filter("m_from < m_to")
     pieces = laps.withColumn("m_block", F.explode(F.expr(f"sequence(m_from div {block}, (m_to - 1) div {block})")))
     words = F.least("m_to", (F.col("m_block") + 1) * block) - F.greatest("m_from", F.col("m_block") * block)
-    taken = pieces.select("m_src", "m_block", "m_start", words.alias("m_words")).join(ranked, ["m_src", "m_block"]).groupBy("m_src", "m_start").agg(F.sum("m_words").alias("m_taken"))
-    done = stream.join(taken, ["m_src", "m_start"], "left").select(F.col("m_id").alias(id_col), "size", "source_size", "target", F.coalesce("m_taken", F.lit(0)).cast("long").alias("taken"), "row")
-    none = placed.filter("size = 0").select(F.col("m_id").alias(id_col), "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), "row")
+    taken = pieces.select("m_src", "m_block", "m_start", words.alias("m_words")).join(ranked, ["m_src", "m_block"]).groupBy("m_src", "m_start").agg(F.sum("m_words").alias("m_taken"), F.min("k").alias("first_slot"))
+    done = stream.join(taken, ["m_src", "m_start"], "left").select(F.col("m_id").alias(id_col), "size", "source_size", "target", F.coalesce("m_taken", F.lit(0)).cast("long").alias("taken"), "first_slot", "row")
+    none = placed.filter("size = 0").select(F.col("m_id").alias(id_col), "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"), "row")
     return done.unionByName(none)
 
 
 def mixed(df: DataFrame, **options) -> DataFrame:
-    """df's rows as the mix repeats them: taken / size copies, rounded (half up); rows without words are left out."""
-    # Equal rows share alike.
+    """df's rows as the mix repeats them: taken / size copies, rounded (half up); rows without words are left out.
+
+    Equal rows share alike. An empty table gives no rows; df's columns are kept, whatever their names.
+    """
     times = mix(df, **options).filter("size > 0").groupBy("row").agg(F.avg(F.col("taken") / F.col("size")).alias("times"))
-    key = F.xxhash64(F.col(options.get("id_col", "doc_id")), F.col(options.get("source", "source")), F.col(options.get("text", "text")))
-    return (
-        df.withColumn("mx_row", key)
-        .join(times.select(F.col("row").alias("mx_key"), F.floor(F.col("times") + 0.5).cast("int").alias("mx_copies")), F.col("mx_row") == F.col("mx_key"))
-        .filter("mx_copies > 0")
-        .withColumn("mx_copy", F.explode(F.expr("sequence(1, mx_copies)")))
-        .select(*[F.col(f"`{c}`") for c in df.columns])
-    )
+    mine, names = positional(df)
+    key = F.xxhash64(*[F.col(names[options.get(k, d)]) for k, d in (("id_col", "doc_id"), ("source", "source"), ("text", "text"))])
+    copies = times.select(F.col("row").alias("mx_key"), F.floor(F.col("times") + 0.5).cast("int").alias("mx_copies")).filter("mx_copies > 0")
+    joined = mine.withColumn("mx_row", key).join(copies, F.col("mx_row") == F.col("mx_key")).withColumn("mx_copy", F.explode(F.expr("sequence(1, mx_copies)")))
+    return joined.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -50,6 +50,17 @@ def repeated_words(ids: np.ndarray, k: int = 8) -> int:
     return int((np.cumsum(cover)[: len(ids)] > 0).sum())
 
 
+_kind: np.ndarray | None = None
+
+
+def _kinds() -> np.ndarray:
+    """For each code point: 2 for an upper-case letter, 1 for another letter, else 0."""
+    global _kind
+    if _kind is None:
+        _kind = np.fromiter((chr(c).isalpha() + (chr(c).isalpha() and chr(c).isupper()) for c in range(0x110000)), np.uint8, 0x110000)
+    return _kind
+
+
 def statistics(text: str | None) -> tuple:
     """COUNTS and RATIOS of a text; of null as of an empty one. A ratio without a base is 0."""
     text = text or ""
@@ -68,8 +79,8 @@ def statistics(text: str | None) -> tuple:
             else:
                 seen.add(line)
     repeat = repeated_words(ids)
-    up = sum(map(str.isupper, text)) if chars else 0
-    letters = sum(map(str.isalpha, text)) if chars else 0
+    kinds = np.bincount(_kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)], minlength=3) if chars else (0, 0, 0)
+    letters, up = int(kinds[1] + kinds[2]), int(kinds[2])
     digits = sum(map(text.count, "0123456789"))
     marks = sum(map(text.count, "!?|"))
     top = int(np.bincount(ids).max()) if n else 0

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, batches, pieces
+from .common import Memo, batches, pieces, positional
 
 MARK = "▁"
 BATCH_BYTES = 4 << 20  # of text whose new stretches are indexed together
@@ -344,11 +344,11 @@ def _encode(path: str, back: bool):
     return run
 
 
-def _decode(path: str):
+def _decode(path: str, ids: str):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(path)
         for b in it:
-            col = b.column("ids")
+            col = b.column(ids)
             offsets, flat = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False)
             null = col.is_null().to_pylist()
             rows = [None if null[i] else decoded(m, flat[offsets[i] : offsets[i + 1]].tolist()).decode("utf-8", "replace") for i in range(len(col))]
@@ -370,6 +370,11 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text: str = "text"
 
 
 def decode(df: DataFrame, model: str) -> DataFrame:
-    """df (with ids, a bare array<int> column) and decoded: the text of each row's ids; null for null ids."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(_decode(model), f"{kinds}, decoded string")
+    """df (with ids, a bare array<int> column) and decoded: the text of each row's ids; null for null ids.
+
+    A column of df that is named decoded, in whatever case, gives way. An empty table gives no rows.
+    """
+    mine, names = positional(df)
+    kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(mine.columns, df.schema.fields))
+    out = mine.mapInArrow(_decode(model, names["ids"]), f"{kinds}, decoded string")
+    return out.select(*[F.col(n).alias(c) for c, n in names.items() if c.lower() != "decoded"], "decoded")

@@ -116,7 +116,7 @@ def count_tokens(df: DataFrame, tokenizer: str, cache: str, limit: int = 1024, i
     one = Window.partitionBy("tc_one", "tc_digest").orderBy("tc_digest")  # equal rows have equal texts: any of them will do
     misses = misses.withColumn("tc_n", F.row_number().over(one)).filter("tc_n = 1").select("tc_digest", "tc_text")
     fresh = misses.mapInArrow(_encode(tokenizer), "digest binary, n_tokens long").withColumn("version", F.lit(version))
-    fresh.write.mode("append").parquet(cache)
+    fresh.write.mode("append").partitionBy("version").parquet(cache)  # readers of a version skip the others
     stored = cached_counts(spark, cache, version)
     out = keys.join(stored, F.col("tc_digest") == F.col("digest"), "left")
     return out.select(F.col("tc_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import with_result
+from .common import positional
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -36,14 +36,15 @@ def judge_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str =
     """df with host, path, rule (null if none fits) and verdict (`default` if none fits).
 
     Null or malformed urls get an empty host and path and the default. Rules with a null or empty host fit
-    nothing; a null path is an empty one. Columns of df named like the results give way. Rows are kept as often as
+    nothing; a null path is an empty one. Columns of df named like the results, in whatever case, give way. Rows are kept as often as
     they occur. An empty rule table gives every row the default; empty input gives no rows.
     """
     rules = rules.select(F.translate("host", UPPER, LOWER).alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"), F.col("verdict").alias("r_verdict")).filter(F.length("r_host") > 0)
     shape = rules.agg(F.sort_array(F.collect_set(F.length("r_path"))).alias("lengths"), F.max(F.size(F.split("r_host", r"\."))).alias("labels")).first()
     # Distinct path lengths of rules: as many as the longest rule's path has characters at most.
     lengths, labels = shape["lengths"] or [0], shape["labels"] or 1
-    out = with_result(df, host=host_of(F.col(f"`{url}`")), path=path_of(F.col(f"`{url}`")))
+    mine, names = positional(df)
+    out = mine.withColumns({"host": host_of(F.col(names[url])), "path": path_of(F.col(names[url]))})
     head = F.substring("path", 1, max(lengths))
     keys = out.select(F.col("host").alias("k_host"), head.alias("k_head")).filter(F.length("host") > 0).distinct()
     parts = F.split("k_host", r"\.")
@@ -69,4 +70,5 @@ def judge_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str =
         .agg(F.max("r_best").alias("k_best"))
     )
     joined = out.join(best, (F.col("host") == F.col("k_host")) & (head == F.col("k_head")), "left")
-    return joined.select(*[F.col(f"`{c}`") for c in out.columns if c not in ("rule", "verdict")], F.col("k_best.r_rule").alias("rule"), F.coalesce(F.col("k_best.v"), F.lit(default)).alias("verdict"))
+    results = {"host": F.col("host"), "path": F.col("path"), "rule": F.col("k_best.r_rule"), "verdict": F.coalesce(F.col("k_best.v"), F.lit(default))}
+    return joined.select(*[F.col(n).alias(c) for c, n in names.items() if c.lower() not in results], *[v.alias(k) for k, v in results.items()])

@@ -26,15 +26,18 @@ BATCH = 256
 
 
 class Graph:
+    """ids in ascending order, their vectors as given, and the edges; walks go by the vectors in single precision."""
+
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, edges: np.ndarray | None = None, entry: int = 0):
         self.ids, self.vectors, self.edges, self.entry = ids, vectors, edges, entry
+        self.short = vectors.astype(np.float32, copy=False)
 
     @staticmethod
     def build(ids: np.ndarray, vectors: np.ndarray, seed: int = 9) -> Graph:
-        g = Graph(ids, vectors.astype(np.float32))
+        g = Graph(ids, vectors)
         n = len(ids)
-        norm = (g.vectors.astype(np.float64) ** 2).sum(axis=1)
-        g.lifted = np.column_stack([g.vectors, np.sqrt(np.maximum(norm.max() - norm, 0))]).astype(np.float32)
+        norm = (g.short.astype(np.float64) ** 2).sum(axis=1)
+        g.lifted = np.column_stack([g.short, np.sqrt(np.maximum(norm.max() - norm, 0))]).astype(np.float32)
         g.square = (g.lifted**2).sum(axis=1)
         g.edges = np.full((n, DEGREE), -1, np.int32)
         g.entry = int(np.argmin(g.square - 2 * g.lifted @ g.lifted.mean(axis=0)))
@@ -103,7 +106,7 @@ class Graph:
     def _walk(self, q: np.ndarray, beam: int, lifted: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """The nodes nearest to each query, nearest first, and those whose edges were followed; -1: none."""
         b, n = len(q), len(self.ids)
-        v = self.lifted if lifted else self.vectors
+        v = self.lifted if lifted else self.short
         rows = np.arange(b)
         cost = lambda at, ids: (self.square[ids] if lifted else 0) - (2 if lifted else 1) * np.einsum("bkd,bd->bk", v[ids], q[at])
         met = np.zeros((b, n), bool)
@@ -163,14 +166,14 @@ class Graph:
             spread(np.array([u]))
 
     def search(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each query the row numbers of its k nearest found (-1: none) and their inner products."""
+        """For each query the row numbers of its k nearest found (-1: none) and their inner products, ties by id."""
         found, scores = [], []
         q32 = q.astype(np.float32)
         for i in range(0, len(q), BATCH):
             ids = self._walk(q32[i : i + BATCH], max(BEAM, 2 * k), lifted=False)[0]
             s = np.einsum("bkd,bd->bk", self.vectors[np.maximum(ids, 0)].astype(np.float64), q[i : i + BATCH].astype(np.float64))
             s[ids < 0] = -np.inf
-            by = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            by = np.lexsort([ids, -s], axis=1)[:, :k]  # row numbers are in the order of ids
             found.append(np.take_along_axis(ids, by, axis=1))
             scores.append(np.take_along_axis(s, by, axis=1))
         return np.concatenate(found), np.concatenate(scores)
@@ -217,22 +220,28 @@ def _search(k: int):
     return run
 
 
-def usable(df: DataFrame, id_col: str, vector: str) -> DataFrame:
-    """id and v of rows that take part: an id, and a vector of the commonest length, not zero, of finite numbers."""
+def usable(df: DataFrame, id_col: str, vector: str, length: int | None = None) -> DataFrame:
+    """id and v of rows that take part: an id, and a vector of the given length (if one is given), not zero, of finite numbers."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).filter("id is not null and v is not null and size(v) > 0")
     fine = rows.filter("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
-    length = fine.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return fine.filter(F.size("v") == (length["n"] if length else 0)).distinct()
+    return fine if length is None else fine.filter(F.size("v") == length).distinct()
+
+
+def length_of(df: DataFrame, id_col: str, vector: str) -> int:
+    """The commonest length of the vectors that can take part; of equally common ones the greatest."""
+    most = usable(df, id_col, vector).groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    return most["n"] if most else 0
 
 
-def index(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
-    """(graphs, members): one graph for each shard, and the ids of each node's equal vectors (node: the least of them)."""
-    rows = written(usable(df, id_col, vector), "vectors")
+def index(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", shard: int = SHARD, length: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """(graphs, members, shards): one graph for each shard from 0 on, the ids of each node's equal vectors (node: the least of
+    them), and the number of shards."""
+    rows = written(usable(df, id_col, vector, length_of(df, id_col, vector) if length is None else length), "vectors")
     nodes = written(rows.groupBy("v").agg(F.min("id").alias("node")), "vector-nodes")
     shards = max(1, -(-nodes.count() // shard))
     graphs = nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards))).groupBy("shard").applyInArrow(_build, "shard long, graph binary")
     members = rows.join(nodes, "v").select("node", "id")
-    return written(graphs, "graphs"), written(members, "vector-members")
+    return written(graphs, "graphs"), written(members, "vector-members"), shards
 
 
 def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector: str = "embedding", shard: int = SHARD) -> DataFrame:
@@ -242,14 +251,15 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_i
     part, as query or candidate. Equal scores go by the smaller id; equal rows count once. With fewer candidates than k
     all are returned; an empty table gives no rows.
     """
-    graphs, members = index(df, id_col, vector, shard)
-    asked = written(usable(queries, id_col, vector).join(members.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("query_id"), F.col("v").alias("q")), "queries")
+    length = length_of(df, id_col, vector)  # of the index's vectors, and so of the queries that it can answer
+    graphs, members, shards = index(df, id_col, vector, shard, length)
+    asked = usable(queries, id_col, vector, length)
+    asked = written(asked.join(members.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("query_id"), F.col("v").alias("q")), "queries")
     blocks = -(-asked.count() // BLOCK)
-    shards = [r["shard"] for r in graphs.select("shard").collect()]  # a number for each SHARD nodes
-    if not blocks or not shards:
+    if not blocks:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     each = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    sent = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.array(*[F.lit(s).cast("long") for s in shards])))
+    sent = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")))
     found = each.groupBy("shard", "block").cogroup(sent.groupBy("shard", "block")).applyInArrow(_search(k + 1), "query_id long, node long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "node")
     some = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).drop("r")

@@ -32,7 +32,7 @@ def odd(spark):
     df = spark.createDataFrame(rows, DOCS)
     from pyspark.sql import functions as F
 
-    for c in ("label", "size", "kept", "n_words", "row", "path", "ids", "rule", "sim", "score"):
+    for c in ("label", "size", "kept", "n_words", "row", "path", "ids", "rule", "sim", "score", "removed", "Host", "decoded", "wd_row", "ld_id", "c0", "mx_row", "target", "node"):
         df = df.withColumn(c, F.lit("clash"))
     return df
 

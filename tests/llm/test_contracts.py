@@ -71,6 +71,9 @@ def test_op3(spark, sf, docs):
     judged = [i for i in labels if i in out and not out[i].base_failed]
     right = sum(out[i].kept == (labels[i] == 1) for i in judged)
     assert right >= 0.9 * len(judged)
+    # An empty list would reject none of these.
+    bad = [i for i in judged if labels[i] == 0]
+    assert bad and sum(not out[i].kept for i in bad) >= 0.5 * len(bad)
 
 
 def test_op4(spark, sf, docs):

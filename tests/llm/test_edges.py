@@ -33,13 +33,89 @@ def test_language_id_temperature():
     assert language_id.softmax(logits[0] / t)[0] == pytest.approx(0.7, abs=1e-3)
 
 
-def test_long_texts_have_the_features_of_their_pieces(monkeypatch):
-    text = "Öffentliche Gebäude und Straßen, 12 " * 60
+@pytest.mark.parametrize("piece", [1, 2, 7, 100])
+def test_long_texts_have_the_features_of_their_pieces(monkeypatch, piece):
+    """Wherever a long text is cut, also within runs of other characters, nothing is counted twice or lost."""
+    text = "Öffentliche Gebäude und Straßen, 12 -- " * 40 + "\n\n 漢字 "
     whole = language_id.features(text)
-    monkeypatch.setattr(language_id, "PIECE", 1 << 30)
+    monkeypatch.setattr(language_id, "PIECE", piece)
     assert all(np.array_equal(a, b) for a, b in zip(whole, language_id.features(text)))
 
 
+def brute_features(text):
+    """Characters one by one: letters lower-cased, any run of others as one space, n-grams counted by their hash."""
+    run = [" "]
+    for c in text.lower() + " ":
+        c = c if c.isalpha() else " "
+        if c != " " or run[-1] != " ":
+            run.append(c)
+    out = {}
+    for n in language_id.GRAMS:
+        for i in range(len(run) - n + 1):
+            h = n
+            for c in run[i : i + n]:
+                h = (h + ord(c)) * 0x9E3779B97F4A7C15 % 2**64
+            f = int(language_id.mix(np.array([h], np.uint64))[0] % np.uint64(language_id.DIMS))
+            out[f] = out.get(f, 0) + 1
+    return out
+
+
+def test_language_id_by_brute_force(spark):
+    """The leader's weights, the sparse model that tasks get, and the answers, recomputed value by value."""
+    import math
+    import pickle
+
+    rng = np.random.default_rng(4)
+    words = {"xx": ["alpha", "beta", "gamma", "the"], "yy": ["óla", "casa", "mar", "the"], "zz": ["ding", "haus", "über", "the"]}
+    texts = [(k, " ".join(rng.choice(w, 12))) for _ in range(8) for k, w in words.items()]
+    langs = sorted(words)
+    feats = [brute_features(t) for _, t in texts]
+    assert all(dict(zip(*map(np.ndarray.tolist, language_id.features(t)))) == f for (_, t), f in zip(texts, feats))
+    df = {}
+    for f in feats:
+        for k in f:
+            df[k] = df.get(k, 0) + 1
+    idf = np.array([math.log((1 + len(texts)) / (1 + df.get(k, 0))) + 1 for k in range(language_id.DIMS)])
+    m = language_id.Model(langs, idf, np.zeros((language_id.DIMS + 1, 3)))
+    rows = []
+    for (k, _), f in zip(texts, feats):
+        at = np.array(sorted(f))
+        rows.append((at, m.vector(at, np.array([f[i] for i in at.tolist()])), langs.index(k)))
+    alpha, beta, l1, l2 = 2.0, 1.0, 0.3, 0.02
+    z, n = {}, {}
+
+    def weight(i, c):
+        zz, nn = z.get((i, c), 0.0), n.get((i, c), 0.0)
+        return 0.0 if abs(zz) <= l1 else -(zz - math.copysign(l1, zz)) / ((beta + math.sqrt(nn)) / alpha + l2)
+
+    order = np.random.default_rng(3)
+    for _ in range(3):
+        for r in order.permutation(len(rows)):
+            at, v, y = rows[r]
+            x = [*zip(at.tolist(), v.tolist()), (language_id.DIMS, 1.0)]
+            w = {(i, c): weight(i, c) for i, _ in x for c in range(3)}
+            s = [sum(a * w[i, c] for i, a in x) for c in range(3)]
+            e = [math.exp(a - max(s)) for a in s]
+            for i, a in x:
+                for c in range(3):
+                    g = a * (e[c] / sum(e) - (c == y))
+                    was = n.get((i, c), 0.0)
+                    z[i, c] = z.get((i, c), 0.0) + g - (math.sqrt(was + g * g) - math.sqrt(was)) / alpha * w[i, c]
+                    n[i, c] = was + g * g
+    got = language_id.follow_the_leader(rows, 3, alpha, beta, l1, l2)
+    assert all(got[i, c] == pytest.approx(weight(i, c), abs=1e-9) for i, c in z) and np.count_nonzero(got) < 0.9 * len(z)
+    m.weights = got.astype(np.float32)
+    sent = pickle.loads(pickle.dumps(m))
+    assert np.array_equal(sent.weights, m.weights) and len(pickle.dumps(m)) < idf.nbytes + 12 * np.count_nonzero(got) + 10_000
+    for k, t in [*texts, ("zz", "haus ding the")]:
+        f = brute_features(t)
+        v = {i: math.log1p(c) * idf[i] for i, c in f.items()}
+        norm = math.sqrt(sum(a * a for a in v.values()))
+        s = [sum(a / norm * m.weights[i, c] for i, a in v.items()) + m.weights[language_id.DIMS, c] for c in range(3)]
+        e = [math.exp(a - max(s)) for a in s]
+        assert sent.predict(t) == (langs[int(np.argmax(s))], pytest.approx(max(e) / sum(e), abs=1e-6)) and sent.predict(t)[0] == k
+
+
 def test_quality_rules(odd, none, spark):
     labels = spark.createDataFrame([(1, 1), (2, 1), (11, 0), (None, 0), (12, None), (404, 0)], "doc_id long, quality int")
     out = quality_rules.judge(odd, labels).collect()
@@ -142,6 +218,9 @@ def test_sentencepiece(odd, none, spark):
     got = sorted(list(r.ids) for r in sentencepiece_codec.encode(odd, path).collect())
     assert got == sorted(s.encode(r.text or "") for r in odd.select("text").collect())
     back = sentencepiece_codec.decode(sentencepiece_codec.encode(odd, path), path)
+    assert [c for c in back.columns if c.lower() == "decoded"] == ["decoded"]
+    named = spark.createDataFrame([(1, [5], "old")], "doc_id long, ids array<int>, Decoded string")
+    assert sentencepiece_codec.decode(named, path).columns == ["doc_id", "ids", "decoded"]
     assert sorted(r.decoded for r in back.collect()) == sorted((r.text or "").replace("▁", " ") for r in odd.select("text").collect())
     assert sentencepiece_codec.encode(none, path).count() == 0
     assert sentencepiece_codec.decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), path).first().decoded is None
@@ -188,6 +267,43 @@ def test_mixing_small_sources_among_large(spark):
     assert mixing.mixed(small.union(large), block_tokens=1024).filter("source like 'small%'").count() == 34
 
 
+def test_mixing_follows_the_schedule(spark):
+    """Every row's words and first slot, recomputed from the points; a schedule in another order gives other slots."""
+    rng = np.random.default_rng(12)
+    rows = [(i, f"s{rng.integers(5)}", " ".join("w" for _ in range(int(rng.integers(0, 120))))) for i in range(400)]
+    out = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), block_tokens=50).collect()}
+    names = sorted({s for _, s, _ in rows})
+    size = {i: len(t.split()) for i, _, t in rows}
+    source = {i: names.index(s) for i, s, _ in rows}
+    total = [sum(size[i] for i in size if source[i] == k) for k in range(len(names))]
+    targets = mixing.water_fill(total, [(3.0, 1.0, 2.0)[k % 3] for k in range(len(names))], 1.5 * sum(total), 2.0)
+    need = [-(-int(t) // 50) for t in targets]
+    slots = [[] for _ in names]
+    edges = np.cumsum(targets)
+    drawn = int(np.ceil(1.02 * sum(targets) / 50)) + 64
+    for k in range(drawn):
+        at = int(np.searchsorted(edges, np.modf((k + 0.5) * mixing.GOLDEN)[0] * edges[-1], side="right"))
+        slots[min(at, len(names) - 1)].append(k)
+    # The order of a source's stream is that of the rows' hashes.
+    keys = {r.doc_id: (r.bucket, r.m_key) for r in spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("m_key", F.xxhash64(F.lit(17), "doc_id", "text")).withColumn("bucket", F.shiftrightunsigned("m_key", 64 - int(np.ceil(np.log2(400) / 2)))).collect()}
+    for k in range(len(names)):
+        place = 0
+        stop = int(targets[k])
+        used, first = {}, {}
+        order = sorted((i for i in size if source[i] == k and size[i]), key=lambda i: keys[i])
+        for lap in range(2):
+            for i in order:
+                for w in range(place, min(place + size[i], stop)):
+                    b = w // 50
+                    slot = slots[k][b] if b < len(slots[k]) else drawn + b * len(names) + k
+                    used[i] = used.get(i, 0) + 1
+                    first[i] = min(first.get(i, slot), slot)
+                place += size[i]
+        assert len(slots[k]) >= 1 and need[k] > 0
+        for i in (i for i in size if source[i] == k):
+            assert (out[i].taken, out[i].first_slot) == (used.get(i, 0), first.get(i))
+
+
 def test_water_filling():
     assert mixing.water_fill([10, 10, 10], [3, 1, 2], 45, 2) == pytest.approx([20, 25 / 3, 50 / 3])
     assert mixing.water_fill([0, 10], [3, 1], 15, 2) == [0, 15]
@@ -197,7 +313,8 @@ def test_water_filling():
 def test_url_filters(spark):
     rules = url_filters.rules_table(spark, [*Q.URL_RULES, ("block", "org", "/"), ("allow", None, "/"), ("block", "", "/")])
     urls = [None, "", "no scheme", "http://", "HTTP://EXAMPLE.ORG/es/x", "http://a.b.example.org/en/12?q", "http://example.org", "http://notexample.org/es/", "https://x.com/de/#y", "x://y://example.org/es/", "http://ORG/"]
-    df = spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls)], "page_id long, url string, rule string")
+    df = spark.createDataFrame([(i, u, "old", "old", "old") for i, u in enumerate(urls)], "page_id long, url string, rule string, Host string, k_host string")
+    assert url_filters.judge_urls(df, rules).columns == ["page_id", "url", "k_host", "host", "path", "rule", "verdict"]
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.judge_urls(df, rules).collect()}
     assert got[0] == got[1] == got[2] == got[3] == ("", "", None, "allow")
     assert got[4] == ("example.org", "/es/x", "example.org/es/", "block")
@@ -228,8 +345,9 @@ def test_simhash_blocks_are_signs_of_weighted_votes(spark):
     lines = [[f"word{i}" for i in rng.integers(0, 50, n)] for n in (9, 10, 12, 40, 257, 1000)] + [["same"] * 30, ["a", "b", "c"] * 40]
     df = spark.createDataFrame(list(enumerate(lines)), "k int, w array<string>").withColumn("n", F.size("w"))
     k, most = line_dedup.block_plan(90)
-    got = {r.k: list(r.b) for r in df.select("k", line_dedup.simhash_blocks("w", "n", 90).alias("b")).collect()}
-    hashed = df.withColumn("s", F.expr(f"transform(sequence(0, n - {k}), i -> xxhash64(xxhash64(w[i]), xxhash64(w[i + 1]), xxhash64(w[i + 2])))")).collect()
+    got = {r.k: list(r.b) for r in df.withColumn("h", F.expr("transform(w, x -> xxhash64(x))")).select("k", line_dedup.simhash_blocks("h", 90).alias("b")).collect()}
+    pair = lambda i: f"xxhash64(xxhash64(w[{i}]), xxhash64(w[{i} + 1]))"
+    hashed = df.withColumn("s", F.expr(f"transform(sequence(0, n - {k}), i -> xxhash64({pair('i')}, {pair('i + 1')}))")).collect()
     for r in hashed:
         left, want = sorted(set(r.s)), []
         while left and len(want) < most:
@@ -422,6 +540,47 @@ def test_neighbours(spark):
     assert vamana.nearest(few, few.filter("vec_id = 0")).count() == 4
 
 
+def test_neighbours_of_mixed_lengths(spark):
+    """The index's commonest length holds for queries too, even if most queries have another."""
+    rng = np.random.default_rng(14)
+    x = {i: rng.normal(size=3) for i in range(200)}
+    rows = [(i, v[:2].tolist() if i % 20 == 0 and i < 120 else v.tolist()) for i, v in x.items()]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in vamana.nearest(df, df.filter("vec_id % 20 = 0"), shard=70).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(got) == {120, 140, 160, 180}
+    fine = {i: np.array(v) for i, v in rows if len(v) == 3}
+    for q, found in got.items():
+        order = sorted((i for i in fine if i != q), key=lambda i: (-float(fine[i] @ fine[q]), i))[:20]
+        assert [f[1] for f in sorted(found)] == order  # scores are exact in double precision
+        assert all(s == pytest.approx(float(fine[i] @ fine[q]), abs=1e-15) for _, i, s in found)
+
+
+def test_equal_scores_at_the_cut_of_a_shard(spark):
+    """Many vectors score alike: those of the least ids are found, whatever the walk's order."""
+    rows = [(i, [1.0, float(i % 2), float(i)]) for i in range(90)]
+    q = [(1000, [2.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows + q, "vec_id long, embedding array<double>")
+    found = [r.vec_id for r in vamana.nearest(df, df.filter("vec_id = 1000"), k=5, shard=200).orderBy("rank").collect()]
+    assert found == [0, 1, 2, 3, 4]
+
+
+def test_pipeline_stages(spark, odd, none, sf):
+    """Nulls, repeated rows, empty tables and clashing names in every stage."""
+    import corpus_pipeline as P
+
+    for k, f in P.STAGES[:-1]:
+        out = f(spark, odd, sf)
+        assert out.columns == odd.columns, k
+        assert f(spark, none, sf).count() == 0, k
+        n = out.count()
+        assert n <= N if k != "source mixing" else n <= 2 * N
+    ids = sorted((r.doc_id for r in P.STAGES[2][1](spark, odd, sf).collect()), key=str)
+    assert ids.count(8) == 2 and ids.count(None) == 1 and 2 not in ids  # equal ids are one document; rows without an id stay
+    assert P.STAGES[-1][1](spark, odd, sf).count() == N and P.STAGES[-1][1](spark, none, sf).count() == 0
+
+
 def test_digests_of_kept_words(odd):
     out = substring_dedup.remove_repeats(odd).withColumn("d", F.sha2("kept", 256)).collect()
     assert all(r.d == hashlib.sha256(r.kept.encode()).hexdigest() for r in out)

@@ -335,7 +335,7 @@ def clip_by_layer(features: DataFrame, mask: DataFrame, id_col: str, geometry: s
     """
     parts = cut_to_cells(features.select(id_col, geometry), geometry, size).drop("area")
     covers = cut_to_cells(mask.select(F.col(geometry).alias("m_geometry")), "m_geometry", size).drop("area")
-    covers = dissolve(covers, ["row", "col"], "m_geometry")
+    covers = _united(covers, ["row", "col"], "m_geometry")
 
     def both(g: pd.Series, m: pd.Series) -> pd.Series:
         found = [intersection(load_wkb(bytes(x)), load_wkb(bytes(y))) for x, y in zip(g, m)]
@@ -354,8 +354,7 @@ def gathered(parts: DataFrame, keys: list[str], geometry: str = "geometry") -> D
         polygons = [p for raw in pdf[geometry] for p in load_wkb(bytes(raw))]
         return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, geometry: dump_wkb(polygons)}])
 
-    kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields if f.name in keys] + [f"`{geometry}` binary"])
-    return parts.select(*keys, geometry).groupBy(*keys).applyInPandas(run, kinds)
+    return parts.select(*keys, geometry).groupBy(*keys).applyInPandas(run, _kinds(parts, keys, f"`{geometry}` binary"))
 
 
 def cells_in_polygons(polygons: DataFrame, geometry: str, transform: tuple[float, float, float], all_touched: bool = False, tile: int = 256) -> DataFrame:
@@ -411,6 +410,23 @@ def pixel_squares(cells: DataFrame, x0: float, y0: float, res: float) -> DataFra
 # ------------------------------------------------------------------ overlay
 
 
+def _crossings(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, slope: np.ndarray, base: np.ndarray, some: int = 256) -> np.ndarray:
+    """The heights at which edges, sorted by their lower ends, cross: blocks of edges against those that begin below their upper ends."""
+    left, right = np.minimum(x0, x1), np.maximum(x0, x1)
+    found = [np.zeros(0)]
+    for i in range(0, len(y0), some):
+        own = slice(i, i + some)
+        to = int(np.searchsorted(y0, y1[own].max(), side="left"))
+        meet = np.flatnonzero((left[i:to] <= right[own].max()) & (right[i:to] >= left[own].min())) + i
+        for k in range(0, len(meet), 1 << 14):
+            m = meet[k : k + (1 << 14)]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                cross = (base[m][None, :] - base[own][:, None]) / (slope[own][:, None] - slope[m][None, :])
+            ok = np.isfinite(cross) & (cross > np.maximum(y0[own][:, None], y0[m][None, :])) & (cross < np.minimum(y1[own][:, None], y1[m][None, :]))
+            found.append(cross[ok])
+    return np.concatenate(found)
+
+
 def overlay(layers: list[list[Polygon]], keep) -> list[Polygon]:
     """The parts of the plane where keep(which layers cover it) holds, as trapezoids between horizontal lines.
 
@@ -428,17 +444,19 @@ def overlay(layers: list[list[Polygon]], keep) -> list[Polygon]:
             layer_of.append(k)
     if not edges:
         return []
-    e = np.array(edges)
+    order = np.argsort([v[1] for v in edges], kind="stable")
+    e, owner = np.array(edges)[order], [owner[i] for i in order]
     x0, y0, x1, y1 = e.T
     slope = (x1 - x0) / (y1 - y0)
     base = x0 - slope * y0
-    with np.errstate(divide="ignore", invalid="ignore"):
-        cross = (base[None, :] - base[:, None]) / (slope[:, None] - slope[None, :])
-    inside = np.isfinite(cross) & (cross > np.maximum(y0[:, None], y0[None, :])) & (cross < np.minimum(y1[:, None], y1[None, :]))
-    ys = np.unique(np.concatenate([y0, y1, cross[inside]]))
+    ys = np.unique(np.concatenate([y0, y1, _crossings(x0, y0, x1, y1, slope, base)]))
     out: list[Polygon] = []
+    active, entered = np.zeros(0, np.int64), 0
     for lo, hi in zip(ys[:-1], ys[1:]):
-        at = np.flatnonzero((y0 <= lo) & (y1 >= hi))
+        after = int(np.searchsorted(y0, lo, side="right"))
+        active = np.concatenate([active[y1[active] >= hi], np.arange(entered, after)])
+        entered = after
+        at = active
         mid = (lo + hi) / 2
         at = at[np.argsort(base[at] + slope[at] * mid, kind="stable")]
         state, covers, left = np.zeros(len(layer_of), bool), [0] * len(layers), None
@@ -469,54 +487,78 @@ def dissolved(polygons: list[Polygon]) -> list[Polygon]:
     return overlay([polygons], any)
 
 
-def dissolve(features: DataFrame, keys: list[str], geometry: str = "geometry") -> DataFrame:
-    """keys and the union of each group's geometries. A group is one geometry in the end, so it is gathered."""
+def _kinds(df: DataFrame, keys: list[str], *more: str) -> str:
+    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys] + list(more))
+
+
+def _united(features: DataFrame, keys: list[str], geometry: str) -> DataFrame:
+    """keys and the union of each group's geometries; a group is gathered."""
 
     def union(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = dissolved([p for raw in pdf[geometry] if raw is not None for p in load_wkb(bytes(raw))])
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, geometry: dump_wkb(parts) if parts else None}])
+        parts = dissolved([p for raw in pdf[geometry] for p in load_wkb(bytes(raw))])
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, geometry: dump_wkb(parts)}] if parts else [], columns=[*keys, geometry])
+
+    return features.select(*keys, geometry).groupBy(*keys).applyInPandas(union, _kinds(features, keys, f"`{geometry}` binary"))
 
-    kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in features.schema.fields if f.name in keys] + [f"`{geometry}` binary"])
-    return features.select(*keys, geometry).groupBy(*keys).applyInPandas(union, kinds)
+
+def dissolve(features: DataFrame, keys: list[str], geometry: str = "geometry", size: float = 1000.0) -> DataFrame:
+    """keys and the union of each group's geometries; null where a group has none with an area.
+
+    Geometries are cut to grid cells of the given size and united cell by cell; only the parts, which don't overlap any more, are
+    gathered into a group's one geometry.
+    """
+    parts = cut_to_cells(features.select(*keys, geometry), geometry, size).drop("area").withColumnsRenamed({"row": "ds_row", "col": "ds_col"})
+    whole = gathered(_united(parts, [*keys, "ds_row", "ds_col"], geometry), keys, geometry)
+    names = {k: f"ds_{i}" for i, k in enumerate(keys)}
+    joined = features.select(*keys).distinct().join(whole.withColumnsRenamed(names), on=[F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()], how="left")
+    return joined.select(*keys, geometry)
 
 
 def subtract(features: DataFrame, others: DataFrame, id_col: str, geometry: str = "geometry", size: float = 1000.0) -> DataFrame:
-    """features without what any of the others covers; those that vanish go. Both meet in grid cells first.
+    """features without what any of the others covers; those that vanish go, and so do null geometries.
 
-    id_col tells features apart. A feature and what touches its bounds is one group.
+    Both are cut to grid cells of the given size, the others are united cell by cell, and what is left of a feature is gathered. id_col
+    tells features apart; those that meet no other keep their geometry as it is.
     """
-    left = cells_of(features.select(id_col, geometry), geometry, size).select(id_col, "cell_x", "cell_y", F.col("bounds").alias("l_bounds"))
-    right = cells_of(others.select(F.col(geometry).alias("o_geometry")), "o_geometry", size)
-    l, r = F.col("l_bounds"), F.col("bounds")  # noqa: E741
-    meet = (l[0] < r[2]) & (l[2] > r[0]) & (l[1] < r[3]) & (l[3] > r[1])
-    near = left.join(right, ["cell_x", "cell_y"]).filter(meet).select(id_col, "o_geometry").distinct().groupBy(id_col).agg(F.collect_list("o_geometry").alias("near"))
+    own = features.filter(F.col(geometry).isNotNull())
+    parts = cut_to_cells(own.select(id_col, geometry), geometry, size).drop("area")
+    covers = _united(cut_to_cells(others.select(F.col(geometry).alias("m_geometry")), "m_geometry", size).drop("area"), ["row", "col"], "m_geometry")
 
-    def cut(g: pd.Series, near: pd.Series) -> pd.Series:
+    def cut(g: pd.Series, m: pd.Series) -> pd.Series:
         out = []
-        for raw, found in zip(g, near):
-            part = [] if raw is None else difference(load_wkb(bytes(raw)), [p for o in found for p in load_wkb(bytes(o))])
+        for raw, cover in zip(g, m):
+            part = load_wkb(bytes(raw))
+            part = part if cover is None else difference(part, load_wkb(bytes(cover)))
             out.append(dump_wkb(part) if part else None)
         return pd.Series(out, dtype=object)
 
-    joined = features.join(near, id_col, "left")
-    changed = F.when(F.col("near").isNotNull() & F.col(geometry).isNotNull(), F.pandas_udf(cut, "binary")(geometry, F.coalesce("near", F.expr("cast(array() as array<binary>)")))).otherwise(F.col(geometry))
-    return joined.withColumn(geometry, changed).drop("near").filter(F.col(geometry).isNotNull())
+    left = parts.join(covers, ["row", "col"], "left").withColumn("sb_met", F.col("m_geometry").isNotNull()).withColumn(geometry, F.pandas_udf(cut, "binary")(geometry, "m_geometry"))
+    met = left.groupBy(F.col(id_col).alias("sb_id")).agg(F.max("sb_met").alias("sb_met"))
+    whole = gathered(left.filter(F.col(geometry).isNotNull()).select(id_col, geometry), [id_col], geometry).withColumnsRenamed({id_col: "sb_own", geometry: "sb_geometry"})
+    joined = own.join(met, F.col(id_col) == F.col("sb_id"), "left").join(whole, F.col(id_col) == F.col("sb_own"), "left")
+    new = F.when(F.coalesce("sb_met", F.lit(False)), F.col("sb_geometry")).otherwise(F.col(geometry))
+    kept = [new.alias(geometry) if c == geometry else F.col(f"`{c}`") for c in features.columns]
+    return joined.select(*kept).filter(F.col(geometry).isNotNull())
 
 
-def common_to_all(features: DataFrame, layer: str, layers: list[str], geometry: str = "geometry", keys: list[str] | None = None) -> DataFrame:
-    """keys, the geometry that all layers share, and their names joined by commas. A key's features are one group."""
+def common_to_all(features: DataFrame, layer: str, layers: list[str], geometry: str = "geometry", keys: list[str] | None = None, size: float = 1000.0) -> DataFrame:
+    """keys, the geometry that all layers share, and their names joined by commas; keys without such a geometry are left out.
+
+    Layers meet cell by cell of a grid of the given size; the parts that they share are gathered.
+    """
     keys = keys or []
     names = sorted(layers)
+    cell = [*keys, "cm_row", "cm_col"]
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        by = {k: [p for raw in g[geometry] if raw is not None for p in load_wkb(bytes(raw))] for k, g in pdf.groupby(layer)}
+        by = {k: [p for raw in g[geometry] for p in load_wkb(bytes(raw))] for k, g in pdf.groupby(layer)}
         parts = overlay([by[n] for n in names], all) if all(n in by for n in names) else []
-        rows = [{**{k: pdf[k].iloc[0] for k in keys}, geometry: dump_wkb(parts), "layers": ",".join(names)}] if parts else []
-        return pd.DataFrame(rows, columns=[*keys, geometry, "layers"])
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in cell}, geometry: dump_wkb(parts)}] if parts else [], columns=[*cell, geometry])
 
-    kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in features.schema.fields if f.name in keys] + [f"`{geometry}` binary", "layers string"])
     rows = features.filter(F.col(layer).isin(names)).select(*keys, layer, geometry)
-    return rows.groupBy(*keys).applyInPandas(meet, kinds)
+    parts = cut_to_cells(rows, geometry, size).drop("area").withColumnsRenamed({"row": "cm_row", "col": "cm_col"})
+    shared = parts.groupBy(*cell).applyInPandas(meet, _kinds(parts, cell, f"`{geometry}` binary"))
+    return gathered(shared, keys, geometry).withColumn("layers", F.lit(",".join(names)))
 
 
 def outline(cells: set[tuple[int, int]], x0: float = 0.0, y0: float = 0.0, res: float = 1.0) -> list[Polygon]:

@@ -1,16 +1,18 @@
 """Train, validation and test split of index tables: whole polygons, each in one split and one year, capped per class.
 
-Choices within a class depend on each other, so a class is worked through in turn; classes are independent groups.
-The result is reproducible: candidates are sorted before a seeded generator draws.
+A polygon's offer is found by itself: all its pixels of a year, or a connected patch of a large one. Choices within a class
+depend on each other, so a class's offers are worked through in turn, but only as many of them as the cap can use: pixels are
+joined to what is chosen. The result is reproducible: offers are taken in the order of a seeded digest, ties by a seeded generator.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import polygon_key
@@ -42,51 +44,90 @@ def _patch(cells: np.ndarray, start: int, size: int) -> list[int] | None:
     return queue[:size] if len(queue) > 1 or len(cells) == 1 else None
 
 
-def split_class(rows: pd.DataFrame, plan: SplitPlan) -> pd.DataFrame:
-    """rows (class, year, id, polygon, row, col) with split: train, val, test or leftover."""
+def _digest(seed: int, year: str, polygon: str) -> str:
+    return hashlib.md5(f"{seed}|{year}|{polygon}".encode()).hexdigest()
+
+
+def patch_of(pixels: pd.DataFrame, plan: SplitPlan) -> pd.DataFrame:
+    """The pixels that a large polygon offers in a year: a patch around one of them, or none if that one stands alone."""
+    pixels = pixels.sort_values("id", kind="stable").reset_index(drop=True)
+    start = int(_digest(plan.seed, pixels["year"].iloc[0], pixels["polygon"].iloc[0])[:8], 16) % len(pixels)
+    patch = _patch(pixels[["row", "col"]].to_numpy(), start, plan.large)
+    return pixels.iloc[patch if patch is not None else []]
+
+
+def offers_needed(plan: SplitPlan) -> int:
+    """Offers of a year that a class can use up: each that is taken gives a pixel at least, and each that is passed over was taken for another year."""
+    return 2 * (int(plan.cap) + len(SPLITS))
+
+
+def choose(offers: pd.DataFrame, plan: SplitPlan) -> pd.DataFrame:
+    """The offers (class, year, polygon, n, place: their order in a year) that are taken, with their split.
+
+    The split that lacks most is served, from a drawn year's next polygon; a polygon serves one split and one year.
+    """
     rng = np.random.default_rng(plan.seed)
-    rows = rows.sort_values(["year", "polygon", "id"], kind="stable").reset_index(drop=True)
-    size_all = rows.groupby("polygon")["id"].size()  # over all years
-    by = {k: g.index.to_numpy() for k, g in rows.groupby(["year", "polygon"], sort=True)}
-    free: dict[str, set] = {}
-    for year, polygon in by:
-        free.setdefault(year, set()).add(polygon)
     target = {s: plan.cap * p for s, p in zip(SPLITS, plan.shares)}
     got = dict.fromkeys(SPLITS, 0)
-    out = np.full(len(rows), "leftover", dtype=object)
-    while True:  # each turn takes or discards a polygon
+    queues = {y: list(g.sort_values("place").itertuples(index=False))[::-1] for y, g in sorted(offers.groupby("year"))}
+    used: set[str] = set()
+    out = []
+    while True:
         need = {s: target[s] - got[s] for s in SPLITS if target[s] - got[s] > 0}
-        years = sorted(y for y, p in free.items() if p)
+        for q in queues.values():
+            while q and q[-1].polygon in used:
+                q.pop()
+        years = [y for y, q in queues.items() if q]
         if not need or not years:
             break
         most = max(need.values())
         ties = [s for s in SPLITS if need.get(s) == most]
         s = ties[int(rng.integers(len(ties)))]
-        year = years[int(rng.integers(len(years)))]
-        names = sorted(free[year])
-        polygon = names[int(rng.integers(len(names)))]
-        at = by[year, polygon]
-        if size_all[polygon] > plan.large:
-            cells = rows.loc[at, ["row", "col"]].to_numpy()
-            patch = _patch(cells, int(rng.integers(len(cells))), plan.large)
-            if patch is None:
-                free[year].discard(polygon)
-                continue
-            at = at[patch]
-        out[at] = s
-        got[s] += len(at)
-        for p in free.values():  # a polygon serves one split and one year
-            p.discard(polygon)
-    return rows.assign(split=out)
+        offer = queues[years[int(rng.integers(len(years)))]].pop()
+        used.add(offer.polygon)
+        got[s] += offer.n
+        out.append((*offer[:3], s))
+    return pd.DataFrame(out, columns=["class", "year", "polygon", "split"])
+
+
+def split_class(rows: pd.DataFrame, plan: SplitPlan) -> pd.DataFrame:
+    """rows of one class (class, year, id, polygon, row, col) with split: train, val, test or leftover; in memory, as train_val_split."""
+    rows = rows.sort_values(["year", "polygon", "id"], kind="stable").reset_index(drop=True)
+    size_all = rows.groupby("polygon")["id"].size()  # over all years
+    keys = ["class", "year", "polygon"]
+    large = rows["polygon"].map(size_all) > plan.large
+    patches = [patch_of(g, plan) for _, g in rows[large].groupby(keys)]
+    offered = pd.concat([rows[~large], *patches])
+    offers = offered.groupby(keys).size().rename("n").reset_index()
+    offers["place"] = [_digest(plan.seed, y, p) + p for y, p in zip(offers["year"], offers["polygon"])]
+    taken = offered.merge(choose(offers, plan), on=keys)[["year", "id", "split"]]
+    out = rows.merge(taken, on=["year", "id"], how="left")
+    return out.assign(split=out["split"].fillna("leftover"))
 
 
 def train_val_split(index: DataFrame, cells: DataFrame, plan: SplitPlan) -> DataFrame:
     """index (class, year, id) with polygon, row, col and split. cells: id, row, col of each pixel.
 
-    A class's pixels are one group: the cap bounds what is chosen, the choice needs them all.
+    A large polygon's pixels of one year are one group, and so are the offers of a class that its cap can use. An empty
+    table gives no rows; an id that occurs twice in a class's year counts twice.
     """
     rows = index.join(cells.select("id", "row", "col"), "id").withColumn("polygon", polygon_key(F.col("id"))).select("class", "year", "id", "polygon", F.col("row").cast("long"), F.col("col").cast("long"))
-    return rows.groupBy("class").applyInPandas(lambda p: split_class(p, plan), "class string, year string, id string, polygon string, row long, col long, split string")
+    keys = ["class", "year", "polygon"]
+    per = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    sized = per.withColumn("all", F.sum("n").over(Window.partitionBy("class", "polygon")))  # a row for each year
+    large = rows.join(sized.filter(F.col("all") > plan.large).select(*keys), keys, "left_semi")
+    patches = large.groupBy(*keys).applyInPandas(lambda p: patch_of(p, plan), rows.schema)
+    offers = sized.filter(F.col("all") <= plan.large).select(*keys, "n").union(patches.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+    digest = F.concat(F.md5(F.concat_ws("|", F.lit(str(plan.seed)), "year", "polygon")), "polygon")
+    place = F.row_number().over(Window.partitionBy("class", "year").orderBy("place"))
+    few = offers.withColumn("place", digest).withColumn("nth", place).filter(F.col("nth") <= offers_needed(plan)).select(*keys, "n", "place")
+    chosen = few.groupBy("class").applyInPandas(lambda o: choose(o, plan), "class string, year string, polygon string, split string")
+    picked = sized.join(chosen, keys).select(*keys, "all", "split")
+    whole = rows.join(picked, keys, "left")
+    part = patches.select("class", "year", F.col("id").alias("p_id")).distinct()
+    whole = whole.join(part, (whole["class"] == part["class"]) & (whole["year"] == part["year"]) & (whole["id"] == part["p_id"]), "left").drop(part["class"]).drop(part["year"])
+    taken = (F.col("all") <= plan.large) | F.col("p_id").isNotNull()
+    return whole.select("class", "year", "id", "polygon", "row", "col", F.coalesce(F.when(taken, F.col("split")), F.lit("leftover")).alias("split"))
 
 
 def split_summary(split: DataFrame) -> DataFrame:

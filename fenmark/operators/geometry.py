@@ -130,7 +130,9 @@ def _half_plane(r: np.ndarray, axis: int, bound: float, keep_above: bool) -> np.
         if sa >= 0:
             out.append(a)
         if (sa > 0 > sb) or (sa < 0 < sb):
-            out.append(a + (b - a) * (sa / (sa - sb)))
+            cut = a + (b - a) * (sa / (sa - sb))
+            cut[axis] = bound  # exactly, so that parts on both sides of a line fit together
+            out.append(cut)
     return np.array([*out, out[0]]) if out else r[:0]
 
 

@@ -124,8 +124,8 @@ def train_val_split(index: DataFrame, cells: DataFrame, plan: SplitPlan) -> Data
     chosen = few.groupBy("class").applyInPandas(lambda o: choose(o, plan), "class string, year string, polygon string, split string")
     picked = sized.join(chosen, keys).select(*keys, "all", "split")
     whole = rows.join(picked, keys, "left")
-    part = patches.select("class", "year", F.col("id").alias("p_id")).distinct()
-    whole = whole.join(part, (whole["class"] == part["class"]) & (whole["year"] == part["year"]) & (whole["id"] == part["p_id"]), "left").drop(part["class"]).drop(part["year"])
+    part = patches.select(F.col("class").alias("p_class"), F.col("year").alias("p_year"), F.col("id").alias("p_id")).distinct()
+    whole = whole.join(part, (F.col("class") == F.col("p_class")) & (F.col("year") == F.col("p_year")) & (F.col("id") == F.col("p_id")), "left")
     taken = (F.col("all") <= plan.large) | F.col("p_id").isNotNull()
     return whole.select("class", "year", "id", "polygon", "row", "col", F.coalesce(F.when(taken, F.col("split")), F.lit("leftover")).alias("split"))
 

@@ -27,10 +27,10 @@ def decision_category(first: Column, second: Column, limits: dict[str, float] |
 
 
 def class_counts(obs: DataFrame, keys: list[str], cls: str) -> DataFrame:
-    """keys, cls and c; cells with a null class are left out whole."""
-    counted = obs.groupBy(*keys, cls).agg(F.count(F.lit(1)).alias("c"))
+    """keys, cls and sp_c; cells with a null class are left out whole."""
+    counted = obs.groupBy(*keys, cls).agg(F.count(F.lit(1)).alias("sp_c"))
     missing = F.max(F.when(F.col(cls).isNull(), 1).otherwise(0)).over(Window.partitionBy(*keys))
-    return counted.withColumn("missing", missing).filter("missing = 0").drop("missing")
+    return counted.withColumn("sp_missing", missing).filter("sp_missing = 0").drop("sp_missing")
 
 
 def stability_profile(obs: DataFrame, keys: list[str], cls: str = "class", limits: dict[str, float] | None = None, digits: int = 9) -> DataFrame:
@@ -41,14 +41,14 @@ def stability_profile(obs: DataFrame, keys: list[str], cls: str = "class", limit
     """
     by = Window.partitionBy(*keys)
     counted = class_counts(obs, keys, cls)
-    ranked = counted.select(*keys, cls, "c", F.row_number().over(by.orderBy(F.desc("c"), cls)).alias("rn"), F.sum("c").over(by).alias("n"), F.count(F.lit(1)).over(by).alias("k"))
-    p = F.col("c") / F.col("n").cast("double")
+    ranked = counted.select(*keys, cls, "sp_c", F.row_number().over(by.orderBy(F.desc("sp_c"), cls)).alias("sp_rn"), F.sum("sp_c").over(by).alias("sp_n"), F.count(F.lit(1)).over(by).alias("sp_k"))
+    p = F.col("sp_c") / F.col("sp_n").cast("double")
     out = ranked.groupBy(*keys).agg(
-        F.max(F.when(F.col("rn") == 1, F.col(cls))).alias("modal_class"),
-        F.max(F.when(F.col("rn") == 1, p)).alias("modal_frequency"),
-        F.max(F.when(F.col("rn") == 2, F.col(cls))).alias("second_class"),
-        F.coalesce(F.max(F.when(F.col("rn") == 2, p)), F.lit(0.0)).alias("second_frequency"),
-        F.when(F.max("k") == 1, 0.0).otherwise(F.round(-F.sum(p * F.log2(p)) / F.log2(F.nullif(F.max("k"), F.lit(1))), digits)).alias("entropy_normalized"),
+        F.max(F.when(F.col("sp_rn") == 1, F.col(cls))).alias("modal_class"),
+        F.max(F.when(F.col("sp_rn") == 1, p)).alias("modal_frequency"),
+        F.max(F.when(F.col("sp_rn") == 2, F.col(cls))).alias("second_class"),
+        F.coalesce(F.max(F.when(F.col("sp_rn") == 2, p)), F.lit(0.0)).alias("second_frequency"),
+        F.when(F.max("sp_k") == 1, 0.0).otherwise(F.round(-F.sum(p * F.log2(p)) / F.log2(F.nullif(F.max("sp_k"), F.lit(1))), digits)).alias("entropy_normalized"),
     )
     return out.withColumn("decision_category", decision_category(F.col("modal_frequency"), F.col("second_frequency"), limits))
 

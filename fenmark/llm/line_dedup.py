@@ -186,7 +186,8 @@ def _groups_of_lines(df: DataFrame, lines: DataFrame, nodes: DataFrame, pct: int
     # Only rows that occur several times give a line's text several times.
     again = lines.select("ld_id", "ld_row", "ld_at").distinct().groupBy("ld_id", "ld_row").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     found = found.dropDuplicates(["node"]) if again.head(1) else found
-    texts = written(found.withColumn("n", F.size(F.split("f", " "))), "line-texts")
+    found = found.withColumn("w", F.split("f", " "))
+    texts = written(found.select("node", "f", F.size("w").alias("n"), F.expr(_sights("w")).alias("sights")), "line-texts")
 
     groups = components(alike(pairs, texts, pct))
     if not large.head(1):
@@ -195,7 +196,7 @@ def _groups_of_lines(df: DataFrame, lines: DataFrame, nodes: DataFrame, pct: int
     step = math.log(100 / max(1, min(99, pct)))
     class_ = F.floor(F.log(F.col("sketch.n")) / step).cast("int")
     own = large.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # a line's blocks at most
-    sights = texts.join(own, "node").select(F.col("node").alias("s_node"), "keys", F.expr(_sights("split(f, ' ')")).alias("sights"))
+    sights = texts.select("node", "sights").join(own, "node").select(F.col("node").alias("s_node"), "keys", "sights")
     large = large.withColumn("class", class_).join(sights, F.col("node") == F.col("s_node"))
     large = written(large.select("key", "node", "class", F.struct("sketch.n", "sights", "keys").alias("sketch")), "crowds")
     edits = f"cast(({100 - pct} * greatest(a_sketch.n, b_sketch.n)) div 100 as int)"

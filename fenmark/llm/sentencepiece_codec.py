@@ -65,6 +65,8 @@ def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
 class Model:
     """Pieces, scores and kinds of a model file, and its normalisation."""
 
+    fixed: re.Pattern | None = None
+
     def __init__(self, path: str):
         with open(path, "rb") as f:
             raw = f.read()
@@ -86,11 +88,14 @@ class Model:
                 got = dict(_fields(v))
                 charsmap = got.get(2, b"")
                 self.prefix, self.squeeze, self.escape = (bool(got.get(i, 1)) for i in (3, 4, 5))
-        if charsmap or self.squeeze or not self.escape or UNUSED in self.kinds:
-            raise ValueError("only models without character maps, squeezed spaces and unused pieces are handled")
+        if charsmap or not self.escape or UNUSED in self.kinds or self.unigram and USER in self.kinds:
+            raise ValueError("models with character maps, plain spaces, unused pieces, or sums over pieces of the user aren't handled")
         self.unknown = self.kinds.index(UNKNOWN)
         self.byte = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
         self.known = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k in (NORMAL, USER)}
+        #: Pieces of the user are taken as they stand, the longest first; merges don't reach across them.
+        self.user = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == USER}
+        self.fixed = re.compile("(" + "|".join(map(re.escape, sorted(self.user, key=len, reverse=True))) + ")") if self.user else None
         self.longest = max(map(len, self.known))
         self.cut = all(MARK not in p.lstrip(MARK) for p in self.known)
         #: Pieces in the order in which BPE prefers them.
@@ -121,6 +126,13 @@ class Model:
         return " ⁇ ".encode() if self.kinds[i] == UNKNOWN else self.pieces[i].replace(MARK, " ").encode()
 
     def stretches(self, text: str) -> list[str]:
+        """The parts of a text that can be encoded apart."""
+        parts = self._cut(text)
+        return parts if self.fixed is None else [x for p in parts for x in self.fixed.split(p) if x]
+
+    def _cut(self, text: str) -> list[str]:
+        if self.squeeze:
+            text = re.sub("  +", " ", text.strip(" "))
         if not text:
             return []
         if not self.cut:
@@ -199,6 +211,10 @@ class Encoder:
     def relaxed(self, parts: list[str]) -> list[bytes]:
         """The ids of each distinct stretch."""
         m = self.m
+        if m.fixed is not None and any(p in m.user for p in parts):
+            others = [p for p in parts if p not in m.user]
+            own = dict(zip(others, self.relaxed(others))) if others else {}
+            return [own[p] if p in own else np.array([m.user[p]], "<i4").tobytes() for p in parts]
         codes = np.frombuffer(("\0".join(parts) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
         lens = np.fromiter(map(len, parts), np.int64, len(parts))
         first = np.concatenate([[0], np.cumsum(lens + 1)[:-1]])
@@ -319,6 +335,14 @@ class Encoder:
 
 
 def decoded(m: Model, ids: list[int]) -> bytes:
+    """The bytes of ids: without the first space mark, or with squeezed spaces without any before other text."""
+    if m.squeeze:
+        start = 0
+        while start < len(ids) and m.text[ids[start]] == b" ":
+            start += 1
+        ids = ids[start:]
+        out = b"".join([m.text[i] for i in ids])
+        return out[1:] if out[:1] == b" " else out
     out = b"".join([m.text[i] for i in ids])
     return out[1:] if m.prefix and out[:1] == b" " else out
 

@@ -51,7 +51,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     df.write.option("compression", "zstd").parquet(path := fresh_path(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes written tables that nothing will read again; others go when the driver ends."""
+    for t in tables:
+        _remove(t.sparkSession, t.written_at)
 
 
 def with_result(df: DataFrame, **cols) -> DataFrame:
@@ -210,22 +218,28 @@ def components(links: DataFrame) -> DataFrame:
     links costs a partial minimum per task.
     """
     edges = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "links")
-    now, none = None, edges.limit(0).select(F.col("a").alias("node"), F.col("b").alias("label"))
+    if not edges.head(1):
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    now = None
     while edges.head(1):
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels")
+        first = to = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels")
         for _ in range(2):
             via = to.select(F.col("node").alias("via"), F.col("label").alias("far"))
             to = to.join(via, F.col("label") == F.col("via")).select("node", F.col("far").alias("label"))
         to = written(to, "labels")
+        past = [first, edges]
         if now is None:
             now = to
         else:
             old = now.select(F.col("node").alias("n0"), F.col("label").alias("l0"))
+            past.append(now)
             now = written(old.join(to, F.col("l0") == F.col("node"), "left").select(F.col("n0").alias("node"), F.coalesce("label", "l0").alias("label")), "labels")
         a, b = to.select(F.col("node").alias("a"), F.col("label").alias("la")), to.select(F.col("node").alias("b"), F.col("label").alias("lb"))
         edges = written(edges.join(a, "a").join(b, "b").filter("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "links")
-    return none if now is None else now
+        forget(*past, *([to] if to is not now else []))
+    forget(edges)
+    return now
 
 
 def more_components(groups: DataFrame, links: DataFrame) -> DataFrame:

@@ -56,6 +56,23 @@ def patch_of(pixels: pd.DataFrame, plan: SplitPlan) -> pd.DataFrame:
     return pixels.iloc[patch if patch is not None else []]
 
 
+def _patches(pixels: DataFrame, plan: SplitPlan) -> DataFrame:
+    """class, year, polygon and the ids of the pixels that patch_of offers; a polygon's pixels of a year are gathered."""
+
+    def ids_of(year: pd.Series, polygon: pd.Series, ids: pd.Series, rows: pd.Series, cols: pd.Series) -> pd.Series:
+        out = []
+        for y, p, i, r, c in zip(year, polygon, ids, rows, cols):
+            patch = _patch(np.column_stack([r, c]), int(_digest(plan.seed, y, p)[:8], 16) % len(i), plan.large)
+            out.append([i[k] for k in patch or []])
+        return pd.Series(out, dtype=object)
+
+    keys = ["class", "year", "polygon"]
+    own = pixels.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("id", "row", "col"))).alias("px"))
+    # Otherwise a filter on the result would run it a second time.
+    ids = F.pandas_udf(ids_of, "array<string>").asNondeterministic()
+    return own.select(*keys, ids("year", "polygon", "px.id", "px.row", "px.col").alias("ids"))
+
+
 def offers_needed(plan: SplitPlan) -> int:
     """Offers of a year that a class can use up: each that is taken gives a pixel at least, and each that is passed over was taken for another year."""
     return 2 * (int(plan.cap) + len(SPLITS))
@@ -111,20 +128,22 @@ def train_val_split(index: DataFrame, cells: DataFrame, plan: SplitPlan) -> Data
     A large polygon's pixels of one year are one group, and so are the offers of a class that its cap can use. An empty
     table gives no rows; an id that occurs twice in a class's year counts twice.
     """
-    rows = index.join(cells.select("id", "row", "col"), "id").withColumn("polygon", polygon_key(F.col("id"))).select("class", "year", "id", "polygon", F.col("row").cast("long"), F.col("col").cast("long"))
+    # Both sides have a row for each pixel, however small the tables are that they were made from, so neither is ever broadcast.
+    rows = index.hint("merge").join(cells.select("id", "row", "col"), "id").withColumn("polygon", polygon_key(F.col("id"))).select("class", "year", "id", "polygon", F.col("row").cast("long"), F.col("col").cast("long"))
     keys = ["class", "year", "polygon"]
     per = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     sized = per.withColumn("all", F.sum("n").over(Window.partitionBy("class", "polygon")))  # a row for each year
     large = rows.join(sized.filter(F.col("all") > plan.large).select(*keys), keys, "left_semi")
-    patches = large.groupBy(*keys).applyInPandas(lambda p: patch_of(p, plan), rows.schema)
-    offers = sized.filter(F.col("all") <= plan.large).select(*keys, "n").union(patches.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+    offers = sized.filter(F.col("all") <= plan.large).select(*keys, "n").union(_patches(large, plan).select(*keys, F.size("ids").cast("long").alias("n")).filter("n > 0"))
     digest = F.concat(F.md5(F.concat_ws("|", F.lit(str(plan.seed)), "year", "polygon")), "polygon")
     place = F.row_number().over(Window.partitionBy("class", "year").orderBy("place"))
     few = offers.withColumn("place", digest).withColumn("nth", place).filter(F.col("nth") <= offers_needed(plan)).select(*keys, "n", "place")
     chosen = few.groupBy("class").applyInPandas(lambda o: choose(o, plan), "class string, year string, polygon string, split string")
     picked = sized.join(chosen, keys).select(*keys, "all", "split")
     whole = rows.join(picked, keys, "left")
-    part = patches.select(F.col("class").alias("p_class"), F.col("year").alias("p_year"), F.col("id").alias("p_id")).distinct()
+    # A patch depends on its polygon alone, so those that are taken are found again.
+    patches = _patches(large.join(picked.select(*keys), keys, "left_semi"), plan)
+    part = patches.select(F.col("class").alias("p_class"), F.col("year").alias("p_year"), F.explode("ids").alias("p_id")).distinct()
     whole = whole.join(part, (F.col("class") == F.col("p_class")) & (F.col("year") == F.col("p_year")) & (F.col("id") == F.col("p_id")), "left")
     taken = (F.col("all") <= plan.large) | F.col("p_id").isNotNull()
     return whole.select("class", "year", "id", "polygon", "row", "col", F.coalesce(F.when(taken, F.col("split")), F.lit("leftover")).alias("split"))

@@ -488,7 +488,7 @@ def _split(spark: SparkSession, sf: str) -> DataFrame:
     box = _boxes(spark, sf).withColumn("id", F.concat(F.lit("GI_"), F.col("p_partkey").cast("string")))
     pixels = grid.pixelized(box, "id")
     cells = pixels.select(F.col("pixel_id").alias("id"), "row", "col")
-    index = pixels.join(table(spark, sf, "part").select("p_partkey", "p_brand"), "p_partkey").select(F.col("p_brand").alias("class"), (2017 + F.col("p_partkey") % 4).cast("string").alias("year"), F.col("pixel_id").alias("id"))
+    index = pixels.hint("merge").join(table(spark, sf, "part").select("p_partkey", "p_brand"), "p_partkey").select(F.col("p_brand").alias("class"), (2017 + F.col("p_partkey") % 4).cast("string").alias("year"), F.col("pixel_id").alias("id"))
     return split.train_val_split(index, cells, split.SplitPlan(cap=100, shares=(0.6, 0.3, 0.1), large=6))
 
 

@@ -1,5 +1,7 @@
 """Empty tables, nulls, repeated rows and extra columns in the analytics operators."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -164,3 +166,12 @@ def test_big_and_float_differenced_tiff(tmp_path, spark):
 def test_class_lists(spark):
     lines = spark.createDataFrame([("- 1: a: b",), ("  -2 :c  ",), ("-x: d",), ("3: e",), ("- 4:",), ("",), (None,), ("-",)], "value string")
     assert sorted(tuple(r) for r in text.class_list(lines).collect()) == [(1, "a: b"), (2, "c")]
+
+
+def test_split_never_broadcasts_pixels(spark):
+    """A short table may have very many pixels: Spark's guess of their size comes from the table."""
+    ids = spark.range(5).select(F.explode(F.sequence(F.lit(0), F.lit(20))).alias("col"), F.concat_ws("_", F.lit("P"), F.col("id").cast("string"), "col").alias("id"))
+    index = ids.select(F.lit("A").alias("class"), F.lit("2020").alias("year"), "id")
+    out = split.train_val_split(index, ids.select("id", F.lit(1).alias("row"), "col"), split.SplitPlan(cap=10))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[id#\d+L?\], \[id#", plan) and not re.search(r"BroadcastHashJoin \[id#\d+L?\], \[id#", plan)

@@ -175,3 +175,11 @@ def test_split_never_broadcasts_pixels(spark):
     out = split.train_val_split(index, ids.select("id", F.lit(1).alias("row"), "col"), split.SplitPlan(cap=10))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"SortMergeJoin \[id#\d+L?\], \[id#", plan) and not re.search(r"BroadcastHashJoin \[id#\d+L?\], \[id#", plan)
+
+
+def test_split_queries_join_pixels_by_shuffles(spark, sf):
+    from fenmark.plans import registry
+
+    for name in ("train_val_split", "split_invariants"):
+        plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"SortMergeJoin \[p_partkey#\d+L\], \[p_partkey#", plan) and not re.search(r"BroadcastHashJoin \[(id|p_partkey)#", plan)

@@ -1,7 +1,8 @@
 """Polygons as well-known binary: measures, predicates, clipping by rectangles, and reprojection.
 
 Geometry columns stay binary; pandas UDFs work on batches. Joins go through cells of a coarse grid first, so that no
-pair of far features is ever compared.
+pair of far features is ever compared. They are merge joins: Spark guesses sizes from the tables' files, not from the cells
+made of them, and would broadcast millions of rows.
 """
 
 from __future__ import annotations
@@ -272,7 +273,11 @@ def cells_of(features: DataFrame, geometry: str, size: float) -> DataFrame:
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, geometry: str = "geometry", x: str = "x", y: str = "y", size: float = 1000.0) -> DataFrame:
-    """points and the polygons that hold them, met in grid cells and then tested exactly."""
+    """points and the polygons that hold them, met in grid cells and then tested exactly.
+
+    Each different place is tested once against each different geometry; the rows that have them are joined to the pairs. No side is
+    broadcast: from the sizes of the tables Spark can't guess how many cells or pairs are made of them.
+    """
 
     def inside(g: pd.Series, px: pd.Series, py: pd.Series) -> pd.Series:
         out = np.zeros(len(g), bool)
@@ -281,10 +286,16 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, geometry: str = "
             out[i] = holds(load_wkb(bytes(raw)), px.to_numpy()[i], py.to_numpy()[i])
         return pd.Series(out)
 
-    placed = points.withColumns({"cell_x": F.floor(F.col(x) / size).cast("int"), "cell_y": F.floor(F.col(y) / size).cast("int")})
-    met = placed.join(cells_of(polygons, geometry, size), ["cell_x", "cell_y"])
-    near = (F.col(x) >= F.col("bounds")[0]) & (F.col(x) <= F.col("bounds")[2]) & (F.col(y) >= F.col("bounds")[1]) & (F.col(y) <= F.col("bounds")[3])
-    return met.filter(near).filter(F.pandas_udf(inside, "boolean")(geometry, x, y)).drop("cell_x", "cell_y", "bounds")
+    spots = points.select(F.col(x).alias("pp_x"), F.col(y).alias("pp_y")).distinct()
+    placed = spots.withColumns({"cell_x": F.floor(F.col("pp_x") / size).cast("int"), "cell_y": F.floor(F.col("pp_y") / size).cast("int")})
+    shapes = polygons.select(F.col(geometry).alias("pp_shape")).distinct()
+    met = placed.hint("merge").join(cells_of(shapes, "pp_shape", size), ["cell_x", "cell_y"])
+    near = (F.col("pp_x") >= F.col("bounds")[0]) & (F.col("pp_x") <= F.col("bounds")[2]) & (F.col("pp_y") >= F.col("bounds")[1]) & (F.col("pp_y") <= F.col("bounds")[3])
+    pairs = met.filter(near).filter(F.pandas_udf(inside, "boolean")("pp_shape", "pp_x", "pp_y")).select("pp_shape", "pp_x", "pp_y")
+    held = pairs.hint("merge").join(polygons.withColumn("pp_geometry", F.col(geometry)), F.col("pp_shape") == F.col("pp_geometry")).drop("pp_shape", "pp_geometry")
+    at = points.withColumns({"pp_px": F.col(x), "pp_py": F.col(y)})
+    out = at.hint("merge").join(held, (F.col("pp_px") == F.col("pp_x")) & (F.col("pp_py") == F.col("pp_y")))
+    return out.drop("pp_px", "pp_py", "pp_x", "pp_y")
 
 
 def cut_to_cells(features: DataFrame, geometry: str, size: float, whole: bool = False) -> DataFrame:
@@ -325,7 +336,7 @@ def meeting(left: DataFrame, right: DataFrame, geometry: str, other: str, size:
     def share(g: pd.Series, o: pd.Series) -> pd.Series:
         return pd.Series([bool(intersection(load_wkb(bytes(x)), load_wkb(bytes(y)))) for x, y in zip(g, o)])
 
-    pairs = a.join(b, ["cell_x", "cell_y"]).filter(near & first)
+    pairs = a.hint("merge").join(b, ["cell_x", "cell_y"]).filter(near & first)
     return pairs.filter(F.pandas_udf(share, "boolean")(geometry, other)).drop("cell_x", "cell_y", "l_bounds", "r_bounds")
 
 
@@ -343,7 +354,7 @@ def clip_by_layer(features: DataFrame, mask: DataFrame, id_col: str, geometry: s
         found = [intersection(load_wkb(bytes(x)), load_wkb(bytes(y))) for x, y in zip(g, m)]
         return pd.Series([dump_wkb(p) if p else None for p in found], dtype=object)
 
-    met = parts.join(covers, ["row", "col"]).withColumn(geometry, F.pandas_udf(both, "binary")(geometry, "m_geometry")).filter(F.col(geometry).isNotNull())
+    met = parts.hint("merge").join(covers, ["row", "col"]).withColumn(geometry, F.pandas_udf(both, "binary")(geometry, "m_geometry")).filter(F.col(geometry).isNotNull())
     whole = gathered(met.select(id_col, geometry), [id_col], geometry).withColumnsRenamed({id_col: "cl_id", geometry: "cl_geometry"})
     kept = [F.col("cl_geometry").alias(geometry) if c == geometry else F.col(f"`{c}`") for c in features.columns]
     return features.join(whole, F.col(id_col) == F.col("cl_id")).select(*kept)
@@ -512,7 +523,7 @@ def dissolve(features: DataFrame, keys: list[str], geometry: str = "geometry", s
     parts = cut_to_cells(features.select(*keys, geometry), geometry, size).drop("area").withColumnsRenamed({"row": "ds_row", "col": "ds_col"})
     whole = gathered(_united(parts, [*keys, "ds_row", "ds_col"], geometry), keys, geometry)
     names = {k: f"ds_{i}" for i, k in enumerate(keys)}
-    joined = features.select(*keys).distinct().join(whole.withColumnsRenamed(names), on=[F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()], how="left")
+    joined = features.select(*keys).distinct().hint("merge").join(whole.withColumnsRenamed(names), on=[F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()], how="left")
     return joined.select(*keys, geometry)
 
 
@@ -534,10 +545,10 @@ def subtract(features: DataFrame, others: DataFrame, id_col: str, geometry: str
             out.append(dump_wkb(part) if part else None)
         return pd.Series(out, dtype=object)
 
-    left = parts.join(covers, ["row", "col"], "left").withColumn("sb_met", F.col("m_geometry").isNotNull()).withColumn(geometry, F.pandas_udf(cut, "binary")(geometry, "m_geometry"))
+    left = parts.hint("merge").join(covers, ["row", "col"], "left").withColumn("sb_met", F.col("m_geometry").isNotNull()).withColumn(geometry, F.pandas_udf(cut, "binary")(geometry, "m_geometry"))
     met = left.groupBy(F.col(id_col).alias("sb_id")).agg(F.max("sb_met").alias("sb_met"))
     whole = gathered(left.filter(F.col(geometry).isNotNull()).select(id_col, geometry), [id_col], geometry).withColumnsRenamed({id_col: "sb_own", geometry: "sb_geometry"})
-    joined = own.join(met, F.col(id_col) == F.col("sb_id"), "left").join(whole, F.col(id_col) == F.col("sb_own"), "left")
+    joined = own.hint("merge").join(met, F.col(id_col) == F.col("sb_id"), "left").hint("merge").join(whole, F.col(id_col) == F.col("sb_own"), "left")
     new = F.when(F.coalesce("sb_met", F.lit(False)), F.col("sb_geometry")).otherwise(F.col(geometry))
     kept = [new.alias(geometry) if c == geometry else F.col(f"`{c}`") for c in features.columns]
     return joined.select(*kept).filter(F.col(geometry).isNotNull())

@@ -183,3 +183,12 @@ def test_split_queries_join_pixels_by_shuffles(spark, sf):
     for name in ("train_val_split", "split_invariants"):
         plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert re.search(r"SortMergeJoin \[p_partkey#\d+L\], \[p_partkey#", plan) and not re.search(r"BroadcastHashJoin \[(id|p_partkey)#", plan)
+
+
+def test_points_in_polygons_meet_by_shuffles(spark):
+    """Repeated places and geometries count as often as they occur; however small the tables seem, nothing is broadcast."""
+    points = spark.createDataFrame([(1, 1.0, 1.0), (2, 1.0, 1.0), (3, 3.0, 1.0), (4, None, 1.0)], "p int, x double, y double")
+    polygons = spark.createDataFrame([("a", box(0, 0, 2, 2)), ("a2", box(0, 0, 2, 2)), ("none", None), ("b", box(2, 0, 4, 2))], "id string, geometry binary")
+    out = geometry.points_in_polygons(points, polygons, size=1.0)
+    assert sorted((r.p, r.id) for r in out.collect()) == [(1, "a"), (1, "a2"), (2, "a"), (2, "a2"), (3, "b")]
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()

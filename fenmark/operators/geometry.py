@@ -156,6 +156,82 @@ def clip_box(polygons: list[Polygon], box: tuple[float, float, float, float]) ->
 
 def box_polygon(x0: float, y0: float, x1: float, y1: float) -> list[Polygon]:
     return [[np.array([[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]])]]
+def _cut_all(at: np.ndarray, ring: np.ndarray, axis: int, bounds: np.ndarray, keep_above: bool) -> tuple[np.ndarray, np.ndarray]:
+    """_half_plane of many rings, each without its last point, at its own bound: (points, their rings' numbers, in order)."""
+    if not len(ring):
+        return at, ring
+    after = _after(ring)
+    bound = bounds[ring]
+    side = (at[:, axis] - bound) * (1 if keep_above else -1)
+    other = side[after]
+    stays, crosses = side >= 0, ((side > 0) & (other < 0)) | ((side < 0) & (other > 0))
+    n = stays.astype(np.int64) + crosses
+    place = np.cumsum(n) - n
+    out = np.empty((int(n.sum()), 2))
+    out[place[stays]] = at[stays]
+    a, b, sa, sb = at[crosses], at[after][crosses], side[crosses], other[crosses]
+    cut = a + (b - a) * (sa / (sa - sb))[:, None]
+    cut[:, axis] = bound[crosses]  # exactly, so that parts on both sides of a line fit together
+    out[(place + stays)[crosses]] = cut
+    return out, np.repeat(ring, n)
+
+
+def _after(ring: np.ndarray) -> np.ndarray:
+    """The place of each point's successor in its ring."""
+    first = np.flatnonzero(np.r_[True, ring[1:] != ring[:-1]])
+    after = np.arange(1, len(ring) + 1)
+    after[np.r_[first[1:], len(ring)] - 1] = first
+    return after
+
+
+def clip_boxes(raws: list[bytes], boxes: np.ndarray) -> tuple[list[list[Polygon]], np.ndarray]:
+    """clip_box of each geometry with its own rectangle (x0, y0, x1, y1), and the areas that are left. Equal geometries are read once."""
+    known: dict[bytes, int] = {}
+    which = np.array([known.setdefault(raw, len(known)) for raw in raws], np.int64)
+    shapes = [load_wkb(raw) for raw in known]
+    out: list[list[Polygon]] = [[] for _ in raws]
+    area = np.zeros(len(raws))
+    odd = np.array([any(len(r) > 1 and not np.array_equal(r[0], r[-1]) for p in g for r in p) for g in shapes], bool)
+    for i in np.flatnonzero(odd[which]) if len(raws) else []:  # rings that aren't closed
+        out[i] = clip_box(shapes[which[i]], tuple(boxes[i]))
+        area[i] = area_of(out[i])
+    # The rings of all rows, one after another: their row, and whether they are the first of a polygon.
+    rings = [[(r[:-1], j == 0) for p in g for j, r in enumerate(p)] if not o else [] for g, o in zip(shapes, odd)]
+    points = [np.concatenate([r for r, _ in g]) if g else np.zeros((0, 2)) for g in rings]
+    counts, sizes = np.array([len(g) for g in rings], np.int64), np.array([len(g) for g in points], np.int64)
+    if not len(raws) or not sizes.sum():
+        return out, area
+    spread = lambda begin, n: np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    own = spread((np.cumsum(counts) - counts)[which], counts[which])  # each ring's place among those of the different shapes
+    row = np.repeat(np.arange(len(raws)), counts[which])
+    outer = np.array([o for g in rings for _, o in g], bool)[own]
+    ring = np.repeat(np.arange(len(own)), np.array([len(r) for g in rings for r, _ in g], np.int64)[own])
+    at = np.concatenate(points)[spread((np.cumsum(sizes) - sizes)[which], sizes[which])]
+    for axis, k, above in ((0, 0, True), (1, 1, True), (0, 2, False), (1, 3, False)):
+        at, ring = _cut_all(at, ring, axis, boxes[row, k], above)
+    if not len(ring):
+        return out, area
+    first = np.flatnonzero(np.r_[True, ring[1:] != ring[:-1]])
+    ends = np.r_[first[1:], len(ring)]
+    after = _after(ring)
+    d = at - np.repeat(at[first], ends - first, axis=0)
+    left = np.zeros(len(own))
+    left[ring[first]] = np.abs(0.5 * (np.add.reduceat(d[:, 0] * d[after, 1], first) - np.add.reduceat(d[after, 0] * d[:, 1], first)))
+    begin, end = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+    begin[ring[first]], end[ring[first]] = first, ends
+    good = (end - begin > 2) & (left > 0)
+    home = np.maximum.accumulate(np.where(outer, np.arange(len(own)), 0))  # the first ring of each one's polygon
+    good &= good[home]
+    area += np.bincount(row[good], np.where(outer, left, -left)[good], len(raws))
+    for i, is_first, a, b in zip(row[good].tolist(), outer[good].tolist(), begin[good].tolist(), end[good].tolist()):
+        r = np.concatenate([at[a:b], at[a : a + 1]])
+        if is_first:
+            out[i].append([r])
+        else:
+            out[i][-1].append(r)
+    return out, area
+
+
 
 
 # ------------------------------------------------------------------ reprojection
@@ -246,7 +322,11 @@ def st_box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """The rectangle of four bounds."""
 
     def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-        return pd.Series([dump_wkb(box_polygon(*v)) for v in zip(a, b, c, d)], dtype=object)
+        head = np.frombuffer(struct.pack("<BIII", 1, 3, 1, 5), np.uint8)
+        points = np.column_stack([a, b, c, b, c, d, a, d, a, b]).astype("<f8").view(np.uint8)
+        raw = np.concatenate([np.broadcast_to(head, (len(a), len(head))), points], axis=1).tobytes()
+        n = len(head) + 80
+        return pd.Series([raw[i : i + n] for i in range(0, len(raw), n)], dtype=object)
 
     return F.pandas_udf(run, "binary")(*[v.cast("double") for v in (x0, y0, x1, y1)])
 
@@ -299,20 +379,24 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, geometry: str = "
 
 
 def cut_to_cells(features: DataFrame, geometry: str, size: float, whole: bool = False) -> DataFrame:
-    """features cut to the grid cells they touch, with row, col (from the origin), geometry and area; or only whole cells."""
+    """features cut to the grid cells they touch, with row, col (from the origin), geometry and area; or only whole cells.
 
-    def cut(g: pd.Series, cx: pd.Series, cy: pd.Series) -> pd.Series:
-        out = []
-        for raw, i, j in zip(g, cx, cy):
-            part = clip_box(load_wkb(bytes(raw)), (i * size, j * size, (i + 1) * size, (j + 1) * size))
-            out.append(dump_wkb(part) if part else None)
-        return pd.Series(out, dtype=object)
+    Features are dealt out anew first: a short file is one task's, but each of its features may touch many cells.
+    """
 
-    parts = cells_of(features, geometry, size).withColumn(geometry, F.pandas_udf(cut, "binary")(geometry, "cell_x", "cell_y")).filter(F.col(geometry).isNotNull())
-    out = parts.withColumn("area", st_area(F.col(geometry))).filter("area > 0")
-    if whole:
-        out = out.filter(F.col("area") >= size * size * (1 - 1e-9))
-    return out.withColumnsRenamed({"cell_x": "col", "cell_y": "row"}).drop("bounds")
+    def cut(g: pd.Series, cx: pd.Series, cy: pd.Series) -> pd.DataFrame:
+        i, j = cx.to_numpy(np.int64), cy.to_numpy(np.int64)
+        parts, area = clip_boxes([bytes(raw) for raw in g], np.column_stack([i * size, j * size, (i + 1) * size, (j + 1) * size]))
+        least = size * size * (1 - 1e-9)
+        kept = [bool(p) and (a >= least if whole else a > 0) for p, a in zip(parts, area)]
+        return pd.DataFrame({"geometry": pd.Series([dump_wkb(p) if k else None for p, k in zip(parts, kept)], dtype=object), "area": area})
+
+    dealt = features.repartition(int(features.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # Otherwise the filter would run the cut a second time.
+    part = F.pandas_udf(cut, "geometry binary, area double").asNondeterministic()(geometry, "cell_x", "cell_y")
+    parts = cells_of(dealt, geometry, size).withColumn("cc_part", part).filter("cc_part.geometry is not null")
+    out = parts.withColumns({geometry: F.col("cc_part.geometry"), "area": F.col("cc_part.area")})
+    return out.withColumnsRenamed({"cell_x": "col", "cell_y": "row"}).drop("bounds", "cc_part")
 
 
 def clip_features(features: DataFrame, geometry: str, box: tuple[float, float, float, float]) -> DataFrame:

@@ -192,3 +192,13 @@ def test_points_in_polygons_meet_by_shuffles(spark):
     out = geometry.points_in_polygons(points, polygons, size=1.0)
     assert sorted((r.p, r.id) for r in out.collect()) == [(1, "a"), (1, "a2"), (2, "a"), (2, "a2"), (3, "b")]
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_features_are_dealt_out_and_cut_once(spark, whole):
+    """One short file is not one task's work, and no filter runs the cut again."""
+    one = spark.createDataFrame([("a", box(0, 0, 2.5, 2))], "id string, geometry binary").coalesce(1)
+    out = geometry.cut_to_cells(one, "geometry", 1.0, whole)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [cut(") == 1 and "RoundRobinPartitioning" in plan
+    assert sorted((r.row, r.col, r.area) for r in out.collect()) == [(i, j, 1.0 if j < 2 else 0.5) for i in (0, 1) for j in range(2 if whole else 3)]

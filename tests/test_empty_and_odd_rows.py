@@ -202,3 +202,18 @@ def test_features_are_dealt_out_and_cut_once(spark, whole):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython [cut(") == 1 and "RoundRobinPartitioning" in plan
     assert sorted((r.row, r.col, r.area) for r in out.collect()) == [(i, j, 1.0 if j < 2 else 0.5) for i in (0, 1) for j in range(2 if whole else 3)]
+
+
+def test_clipping_many_is_clipping_each():
+    rng = np.random.default_rng(4)
+    raws, boxes = [], []
+    for _ in range(300):
+        rings = lambda: [np.vstack([r, r[:1]]) if rng.random() < 0.95 else r for r in (np.round(rng.uniform(0, 12, (int(rng.integers(1, 8)), 2))) / 2 for _ in range(int(rng.integers(1, 3))))]
+        raw = geometry.dump_wkb([rings() for _ in range(int(rng.integers(1, 3)))])
+        for i, j in rng.integers(0, 5, (3, 2)):
+            raws.append(raw)
+            boxes.append((i, j, i + 2, j + 2))
+    got, area_ = geometry.clip_boxes(raws, np.array(boxes, float))
+    want = [geometry.clip_box(geometry.load_wkb(r), b) for r, b in zip(raws, boxes)]
+    assert [geometry.dump_wkb(g) for g in got] == [geometry.dump_wkb(w) for w in want]
+    assert np.allclose(area_, [geometry.area_of(w) for w in want], atol=1e-9)

@@ -11,8 +11,10 @@ import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 Ring = np.ndarray  # points, the last equal to the first
 Polygon = list[Ring]  # the outer ring, then holes
@@ -154,8 +156,6 @@ def clip_box(polygons: list[Polygon], box: tuple[float, float, float, float]) ->
     return out
 
 
-def box_polygon(x0: float, y0: float, x1: float, y1: float) -> list[Polygon]:
-    return [[np.array([[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]])]]
 def _cut_all(at: np.ndarray, ring: np.ndarray, axis: int, bounds: np.ndarray, keep_above: bool) -> tuple[np.ndarray, np.ndarray]:
     """_half_plane of many rings, each without its last point, at its own bound: (points, their rings' numbers, in order)."""
     if not len(ring):
@@ -232,6 +232,8 @@ def clip_boxes(raws: list[bytes], boxes: np.ndarray) -> tuple[list[list[Polygon]
     return out, area
 
 
+def box_polygon(x0: float, y0: float, x1: float, y1: float) -> list[Polygon]:
+    return [[np.array([[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]])]]
 
 
 # ------------------------------------------------------------------ reprojection
@@ -441,17 +443,49 @@ def clip_by_layer(features: DataFrame, mask: DataFrame, id_col: str, geometry: s
     met = parts.hint("merge").join(covers, ["row", "col"]).withColumn(geometry, F.pandas_udf(both, "binary")(geometry, "m_geometry")).filter(F.col(geometry).isNotNull())
     whole = gathered(met.select(id_col, geometry), [id_col], geometry).withColumnsRenamed({id_col: "cl_id", geometry: "cl_geometry"})
     kept = [F.col("cl_geometry").alias(geometry) if c == geometry else F.col(f"`{c}`") for c in features.columns]
-    return features.join(whole, F.col(id_col) == F.col("cl_id")).select(*kept)
+    return features.hint("merge").join(whole, F.col(id_col) == F.col("cl_id")).select(*kept)
+
+
+def _by_group(parts: DataFrame, keys: list[str], geometry: str, whole) -> DataFrame:
+    """keys and whole(polygons) of each group's geometries; a group for which that is empty goes. A task holds one group and one batch."""
+    schema = parts.select(*keys, geometry).schema
+    kinds = to_arrow_schema(schema)
+
+    def batch(found: list[tuple[tuple, bytes]]) -> pa.RecordBatch:
+        columns = [pa.array([k[i] for k, _ in found], kinds.field(i).type) for i in range(len(keys))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([raw for _, raw in found], kinds.field(len(keys)).type)], names=kinds.names)
+
+    def run(batches):
+        last, own, found = None, [], []
+
+        def close():
+            result = whole([p for raw in own for p in load_wkb(raw)]) if own else []
+            if result:
+                found.append((last, dump_wkb(result)))
+
+        for b in batches:
+            columns = [b.column(i).to_pylist() for i in range(len(keys))]
+            for key, raw in zip(zip(*columns) if keys else [()] * b.num_rows, b.column(len(keys)).to_pylist()):
+                if own and key != last and repr(key) != repr(last):  # a number that is none equals itself here
+                    close()
+                    own = []
+                last = key
+                own.append(raw)
+            if found:
+                yield batch(found)
+                found = []
+        close()
+        if found:
+            yield batch(found)
+
+    dealt = parts.select(*keys, geometry)
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys) if keys else dealt.repartition(1)
+    return dealt.mapInArrow(run, schema)
 
 
 def gathered(parts: DataFrame, keys: list[str], geometry: str = "geometry") -> DataFrame:
     """keys and one multipolygon of each group's parts, which don't overlap."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        polygons = [p for raw in pdf[geometry] for p in load_wkb(bytes(raw))]
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, geometry: dump_wkb(polygons)}])
-
-    return parts.select(*keys, geometry).groupBy(*keys).applyInPandas(run, _kinds(parts, keys, f"`{geometry}` binary"))
+    return _by_group(parts, keys, geometry, lambda polygons: polygons)
 
 
 def cells_in_polygons(polygons: DataFrame, geometry: str, transform: tuple[float, float, float], all_touched: bool = False, tile: int = 256) -> DataFrame:
@@ -590,12 +624,7 @@ def _kinds(df: DataFrame, keys: list[str], *more: str) -> str:
 
 def _united(features: DataFrame, keys: list[str], geometry: str) -> DataFrame:
     """keys and the union of each group's geometries; a group is gathered."""
-
-    def union(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = dissolved([p for raw in pdf[geometry] for p in load_wkb(bytes(raw))])
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, geometry: dump_wkb(parts)}] if parts else [], columns=[*keys, geometry])
-
-    return features.select(*keys, geometry).groupBy(*keys).applyInPandas(union, _kinds(features, keys, f"`{geometry}` binary"))
+    return _by_group(features, keys, geometry, dissolved)
 
 
 def dissolve(features: DataFrame, keys: list[str], geometry: str = "geometry", size: float = 1000.0) -> DataFrame:

@@ -217,3 +217,20 @@ def test_clipping_many_is_clipping_each():
     want = [geometry.clip_box(geometry.load_wkb(r), b) for r, b in zip(raws, boxes)]
     assert [geometry.dump_wkb(g) for g in got] == [geometry.dump_wkb(w) for w in want]
     assert np.allclose(area_, [geometry.area_of(w) for w in want], atol=1e-9)
+
+
+def test_groups_of_polygons_stream_through_batches(spark):
+    """A group may go on from one batch to the next, a batch may hold many groups, and a null key is a key."""
+    rows = [(k, box(i, 0, i + 1.5, 1)) for k in ("a", "b", None, "c") for i in range(5)]
+    df = spark.createDataFrame(rows, "k string, geometry binary")
+    most = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in (2, 3, 100):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+            out = geometry.dissolve(df, ["k"], size=2.0)
+            assert sorted((str(r.k), round(r.a, 9)) for r in out.select("k", geometry.st_area(F.col("geometry")).alias("a")).collect()) == [("None", 5.5), ("a", 5.5), ("b", 5.5), ("c", 5.5)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    # A call to Python for each of very many small groups takes longer than their union.
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "Broadcast" not in plan

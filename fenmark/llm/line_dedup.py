@@ -69,6 +69,22 @@ def simhash_blocks(hashes: str, pct: int) -> Column:
     return F.expr(f"transform(transform(array(sort_array({shingles})), s -> named_struct('s', s, 'd', array_distinct(slice(s, 1, {most + 2})))), x -> slice(if(size(x.d) >= least({most}, size(x.s)), x.d, array_distinct(x.s)), 1, {most}))[0]")
 
 
+def with_blocks(lines: DataFrame, hashes: str, pct: int) -> DataFrame:
+    """lines with blocks: simhash_blocks of the hashes of their words (null: null), in steps that are columns of their own.
+
+    Inside a lambda function nothing is compiled, and each value sorted is an object.
+    """
+    k, most = block_plan(pct)
+    out, shingles = lines, hashes
+    for i in range(k - 1):  # of one word; each turn joins a run with the one a word later, and the last is without one
+        out = out.withColumn(f"wb_{i}", F.expr(f"zip_with({shingles}, slice({shingles}, 2, size({shingles}) - 1), (x, y) -> xxhash64(x, y))"))
+        shingles = f"wb_{i}"
+    out = out.withColumn("wb_all", F.expr(f"sort_array(slice({shingles}, 1, size({shingles}) - {k - 1}))"))
+    out = out.withColumn("wb_least", F.expr(f"array_distinct(slice(wb_all, 1, {most + 2}))"))
+    blocks = F.expr(f"slice(if(size(wb_least) >= least({most}, size(wb_all)), wb_least, array_distinct(wb_all)), 1, {most})")
+    return out.withColumn("blocks", blocks).drop("wb_all", "wb_least", *[f"wb_{i}" for i in range(k - 1)])
+
+
 def _parities(hashes: str, part: int | None = None) -> str:
     """Which of 64 bits an odd number of words has: an edit changes two at most. With a part, only of the words whose hash names it."""
     bit = "shiftleft(1L, cast(x & 63 as int))"
@@ -146,7 +162,7 @@ def _line_table(df: DataFrame, pct: int, id_col: str, text: str) -> tuple[DataFr
     hashed = hashed.withColumn("n", F.size("w"))
     long_ = F.col("n") >= max(block_plan(pct)[0], _least_words(pct))
     hashed = hashed.withColumn("h", F.when(long_, F.expr("transform(w, x -> xxhash64(x))"))).drop("w")
-    keyed = hashed.withColumns({"p": F.when(long_, F.expr(_parities("h"))), "blocks": F.when(long_, simhash_blocks("h", pct))})
+    keyed = with_blocks(hashed.withColumn("p", F.when(long_, F.expr(_parities("h")))), "h", pct)
     keyed = written(keyed.drop("h"), "line-keys")
     # Any of equal lines stands for all: all columns are the first row's.
     nodes = keyed.filter("node is not null").groupBy("node", "check", "n").agg(F.count(F.lit(1)).alias("times"), *[F.first(c).alias(c) for c in ("p", "ld_id", "ld_row", "ln")])
@@ -155,7 +171,8 @@ def _line_table(df: DataFrame, pct: int, id_col: str, text: str) -> tuple[DataFr
 
 def _groups_of_lines(df: DataFrame, lines: DataFrame, nodes: DataFrame, pct: int, id_col: str, text: str) -> DataFrame:
     """(node, label) of the nodes that are linked with others."""
-    bands = lines.filter("blocks is not null").select("node", F.explode("blocks").alias("key"))
+    # Most keys occur once, so nothing is gained by counting them before they are dealt out.
+    bands = lines.filter("blocks is not null").select("node", F.explode("blocks").alias("key")).repartition("key")
     buckets = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
     kept = bands.join(buckets.hint("shuffle_hash"), "key").distinct()
     members = written(kept.join(nodes.select("node", "times", F.struct("n", "p").alias("sketch")), "node"), "members")

@@ -623,3 +623,31 @@ def test_pipeline_stages(spark, odd, none, sf):
 def test_digests_of_kept_words(odd):
     out = substring_dedup.remove_repeats(odd).withColumn("d", F.sha2("kept", 256)).collect()
     assert all(r.d == hashlib.sha256(r.kept.encode()).hexdigest() for r in out)
+
+
+def test_blocks_by_columns_are_those_of_the_expression(spark):
+    """Also where the smallest hashes repeat, and for lines without hashes."""
+    rng = np.random.default_rng(5)
+    lines = [[f"word{i}" for i in rng.integers(0, m, n)] for n in (9, 10, 12, 40, 257) for m in (2, 5, 1000)] + [["same"] * 30, ["a", "b", "c"] * 40, None]
+    df = spark.createDataFrame(list(enumerate(lines)), "k int, w array<string>").withColumn("h", F.expr("transform(w, x -> xxhash64(x))"))
+    for pct in (60, 80, 90):
+        both = line_dedup.with_blocks(df, "h", pct).select("blocks", F.when(F.col("h").isNotNull(), line_dedup.simhash_blocks("h", pct)).alias("want"), "w", "h")
+        assert all(r.blocks == r.want for r in both.collect())
+    plan = line_dedup.with_blocks(df, "h", 90)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("sort_array(") == 1 and "transform(array(sort_array" not in plan
+
+
+def test_keys_of_lines_are_dealt_out_before_they_are_counted(spark):
+    """They are mostly different, so counting them first would only take time."""
+    rows = [(i, f"{' '.join(f'w{j}' for j in range(20))} end{i}") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    write = line_dedup.written
+    line_dedup.written = lambda d, name: (seen.append((name, d._jdf.queryExecution().executedPlan().toString())), write(d, name))[1]
+    try:
+        gone, _ = line_dedup.duplicate_lines(df)
+        assert sorted(r.ld_id for r in gone.collect()) == [1, 2, 3, 4, 5]
+    finally:
+        line_dedup.written = write
+    plan = dict(seen)["members"]
+    assert "REPARTITION_BY_COL" in plan

@@ -120,14 +120,12 @@ def _most(pct: int) -> str:
 
 
 def alike(pairs: DataFrame, texts: DataFrame, pct: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose word sequences are similar enough. texts: node, f (the normal form) and n (its words)."""
-    t = lambda s: texts.select(F.col("node").alias(s), F.col("f").alias(f"{s}_f"), F.col("n").alias(f"{s}_n"))
+    """The pairs (a, b) of nodes whose word sequences are similar enough. texts: node, f (the normal form), n (its words) and c (its characters)."""
+    t = lambda s: texts.select(F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("f", "n", "c")])
     both = pairs.join(t("a"), "a").join(t("b"), "b").filter(f"100 * least(a_n, b_n) >= {pct} * greatest(a_n, b_n)")
-    both = both.withColumns({"a_w": F.split("a_f", " "), "b_w": F.split("b_f", " ")})
-    both = both.withColumns({"a_c": F.expr(_characters("a_w")), "b_c": F.expr(_characters("b_w"))})
     # Words that share a character can only bring lines nearer: those that pass are looked at once more.
     near = both.filter(F.expr(f"levenshtein(a_c, b_c, {_most(pct)}) >= 0"))
-    distinct = F.size(F.array_distinct(F.concat("a_w", "b_w")))
+    distinct = F.size(F.array_distinct(F.concat(F.split("a_f", " "), F.split("b_f", " "))))
     codes = F.size(F.expr("array_distinct(concat(split(a_c, ''), split(b_c, '')))"))
     near = written(near.select("a", "b", "a_n", "b_n", (distinct == codes).alias("sure"), F.expr("if(sure, null, a_f)").alias("a_f"), F.expr("if(sure, null, b_f)").alias("b_f")), "near-lines")
     return near.filter("sure").select("a", "b").union(_exactly_alike(near.filter("not sure"), pct))
@@ -172,7 +170,8 @@ def _line_table(df: DataFrame, pct: int, id_col: str, text: str) -> tuple[DataFr
 def _groups_of_lines(df: DataFrame, lines: DataFrame, nodes: DataFrame, pct: int, id_col: str, text: str) -> DataFrame:
     """(node, label) of the nodes that are linked with others."""
     # Most keys occur once, so nothing is gained by counting them before they are dealt out.
-    bands = lines.filter("blocks is not null").select("node", F.explode("blocks").alias("key")).repartition("key")
+    # The join below leaves out null keys; done before, both its sides and the counts read one exchange.
+    bands = lines.filter("blocks is not null").select("node", F.explode("blocks").alias("key")).filter("key is not null").repartition("key")
     buckets = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
     kept = bands.join(buckets.hint("shuffle_hash"), "key").distinct()
     members = written(kept.join(nodes.select("node", "times", F.struct("n", "p").alias("sketch")), "node"), "members")
@@ -199,12 +198,14 @@ def _groups_of_lines(df: DataFrame, lines: DataFrame, nodes: DataFrame, pct: int
     by_row = places.groupBy("ld_id", "ld_row").agg(F.collect_list(F.struct("node", "ln")).alias("at"))  # a document's own lines
     own = df.select(F.col(id_col).cast("long").alias("d_id"), F.xxhash64(F.col(id_col), F.col(text)).alias("d_row"), F.col(text).alias("d_text"))
     found = own.join(by_row, F.col("d_id").eqNullSafe(F.col("ld_id")) & (F.col("d_row") == F.col("ld_row")))
-    found = found.select(F.split("d_text", "\n").alias("parts"), F.explode("at").alias("x")).select("x.node", normal_form(F.expr("parts[x.ln]")).alias("f"))
+    # A row for each line, without the document's other lines.
+    found = found.select(F.explode(F.expr(r"transform(array(split(d_text, '\n')), s -> transform(at, x -> named_struct('node', x.node, 'line', s[x.ln])))[0]")).alias("x"))
+    found = found.select("x.node", normal_form(F.col("x.line")).alias("f"))
     # Only rows that occur several times give a line's text several times.
     again = lines.select("ld_id", "ld_row", "ld_at").distinct().groupBy("ld_id", "ld_row").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     found = found.dropDuplicates(["node"]) if again.head(1) else found
     found = found.withColumn("w", F.split("f", " "))
-    texts = written(found.select("node", "f", F.size("w").alias("n"), F.expr(_sights("w")).alias("sights")), "line-texts")
+    texts = written(found.select("node", "f", F.size("w").alias("n"), F.expr(_characters("w")).alias("c"), F.expr(_sights("w")).alias("sights")), "line-texts")
 
     groups = components(alike(pairs, texts, pct))
     if not large.head(1):
@@ -226,13 +227,15 @@ def _groups_of_lines(df: DataFrame, lines: DataFrame, nodes: DataFrame, pct: int
         main = labelled.join(often.select("key", F.col("a").alias("node")), ["key", "node"]).select("key", F.col("group").alias("main"))
         labelled = written(labelled.join(main, "key"), "labelled")
         open_ = labelled.filter("group <> main")
-        b = side(labelled, "b", "class", F.col("group").alias("b_group"))
+        b = side(labelled, "b", "class", F.col("group").alias("b_group"), (F.col("group") != F.col("main")).alias("b_open"))
         if whole:
             a = side(open_, "a", F.col("group").alias("a_group"), F.explode(F.array(*[F.col("class") + i for i in (-1, 0, 1)])).alias("class"))
         else:
             drawn = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("group"), "node"))
             a = side(open_.withColumn("drawn", drawn).filter(F.col("drawn") <= PIVOTS), "a", F.col("group").alias("a_group"))
-        rest = a.join(b, ["key", "class"] if whole else "key").filter((F.col("a_group") != F.col("b_group")) & near & once if whole else (F.col("a_group") != F.col("b_group")) & near).select(*ordered).distinct()
+        apart = F.col("a_group") != F.col("b_group")
+        # In the last round two that are both open meet from either side.
+        rest = a.join(b, ["key", "class"] if whole else "key").filter((~F.col("b_open") | (F.col("a") < F.col("b"))) & apart & near & once if whole else apart & near).select(*ordered).distinct()
         more = written(alike(rest, texts, pct), "line-links")
         if more.head(1):
             groups = more_components(groups, more)

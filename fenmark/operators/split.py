@@ -156,8 +156,9 @@ def split_summary(split: DataFrame) -> DataFrame:
 
 def split_faults(split: DataFrame, large: int) -> DataFrame:
     """(fault, n): polygons in several splits or years, and polygons that give more than a patch; n must be 0."""
-    chosen = split.filter("split <> 'leftover'")
-    per = chosen.groupBy("class", "polygon").agg(F.count_distinct("split").alias("s"), F.count_distinct("year").alias("y"), F.count(F.lit(1)).alias("n"))
-    sizes = split.groupBy("class", "polygon").agg(F.count(F.lit(1)).alias("all"))
-    both = per.join(sizes, ["class", "polygon"])
+    # The split's plan is long, and the driver holds it as often as it is read: all counts come from one reading.
+    taken = F.col("split") != "leftover"
+    rows = split.groupBy("class", "polygon", "split", "year").agg(F.count(F.lit(1)).alias("n"))
+    per = rows.groupBy("class", "polygon").agg(F.count_distinct(F.when(taken, F.col("split"))).alias("s"), F.count_distinct(F.when(taken, F.col("year"))).alias("y"), F.sum(F.when(taken, F.col("n"))).alias("n"), F.sum("n").alias("all"))
+    both = per.filter("n > 0 and class is not null and polygon is not null")
     return both.agg(F.count(F.when(F.col("s") > 1, 1)).alias("several_splits"), F.count(F.when(F.col("y") > 1, 1)).alias("several_years"), F.count(F.when((F.col("all") > large) & (F.col("n") > large), 1)).alias("over_patch"))

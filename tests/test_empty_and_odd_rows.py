@@ -219,6 +219,14 @@ def test_clipping_many_is_clipping_each():
     assert np.allclose(area_, [geometry.area_of(w) for w in want], atol=1e-9)
 
 
+def test_faults_of_a_split_are_counted_in_one_reading(spark):
+    rows = [("a", "2017", "p", "train"), ("a", "2018", "p", "val"), ("a", "2017", "q", "train"), ("a", "2017", "q", "leftover"), ("a", "2017", "r", "leftover"), ("b", "2017", "p", None), (None, "2017", "p", "train"), (None, "2017", "p", "val")]
+    rows += [("b", "2017", "s", "test")] * 3 + [("b", "2017", "t", "test")] * 2 + [("b", "2019", "t", "leftover")]
+    out = split.split_faults(spark.createDataFrame(rows, "class string, year string, polygon string, split string"), 2)
+    assert [tuple(r) for r in out.collect()] == [(1, 1, 1)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + out._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") == 1
+
+
 def test_groups_of_polygons_stream_through_batches(spark):
     """A group may go on from one batch to the next, a batch may hold many groups, and a null key is a key."""
     rows = [(k, box(i, 0, i + 1.5, 1)) for k in ("a", "b", None, "c") for i in range(5)]

@@ -184,8 +184,9 @@ def _after(ring: np.ndarray) -> np.ndarray:
     return after
 
 
-def clip_boxes(raws: list[bytes], boxes: np.ndarray) -> tuple[list[list[Polygon]], np.ndarray]:
-    """clip_box of each geometry with its own rectangle (x0, y0, x1, y1), and the areas that are left. Equal geometries are read once."""
+def _cut_rings(raws: list[bytes], boxes: np.ndarray) -> tuple[list[list[Polygon]], np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """What clip_boxes leaves, before it is put together: parts of the rows whose rings aren't closed, areas, points, and for each ring
+    that is left its row, whether it is the first of a polygon, and where its points begin and end. Equal geometries are read once."""
     known: dict[bytes, int] = {}
     which = np.array([known.setdefault(raw, len(known)) for raw in raws], np.int64)
     shapes = [load_wkb(raw) for raw in known]
@@ -199,8 +200,9 @@ def clip_boxes(raws: list[bytes], boxes: np.ndarray) -> tuple[list[list[Polygon]
     rings = [[(r[:-1], j == 0) for p in g for j, r in enumerate(p)] if not o else [] for g, o in zip(shapes, odd)]
     points = [np.concatenate([r for r, _ in g]) if g else np.zeros((0, 2)) for g in rings]
     counts, sizes = np.array([len(g) for g in rings], np.int64), np.array([len(g) for g in points], np.int64)
+    none = np.zeros(0, np.int64)
     if not len(raws) or not sizes.sum():
-        return out, area
+        return out, area, np.zeros((0, 2)), (none, none.astype(bool), none, none)
     spread = lambda begin, n: np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     own = spread((np.cumsum(counts) - counts)[which], counts[which])  # each ring's place among those of the different shapes
     row = np.repeat(np.arange(len(raws)), counts[which])
@@ -210,7 +212,7 @@ def clip_boxes(raws: list[bytes], boxes: np.ndarray) -> tuple[list[list[Polygon]
     for axis, k, above in ((0, 0, True), (1, 1, True), (0, 2, False), (1, 3, False)):
         at, ring = _cut_all(at, ring, axis, boxes[row, k], above)
     if not len(ring):
-        return out, area
+        return out, area, at, (none, none.astype(bool), none, none)
     first = np.flatnonzero(np.r_[True, ring[1:] != ring[:-1]])
     ends = np.r_[first[1:], len(ring)]
     after = _after(ring)
@@ -223,15 +225,46 @@ def clip_boxes(raws: list[bytes], boxes: np.ndarray) -> tuple[list[list[Polygon]
     home = np.maximum.accumulate(np.where(outer, np.arange(len(own)), 0))  # the first ring of each one's polygon
     good &= good[home]
     area += np.bincount(row[good], np.where(outer, left, -left)[good], len(raws))
-    for i, is_first, a, b in zip(row[good].tolist(), outer[good].tolist(), begin[good].tolist(), end[good].tolist()):
+    return out, area, at, (row[good], outer[good], begin[good], end[good])
+
+
+def _put_together(out: list[list[Polygon]], at: np.ndarray, rings: tuple[np.ndarray, ...]) -> None:
+    """Adds rings, closed, to their rows."""
+    for i, is_first, a, b in zip(*[x.tolist() for x in rings]):
         r = np.concatenate([at[a:b], at[a : a + 1]])
         if is_first:
             out[i].append([r])
         else:
             out[i][-1].append(r)
+
+
+def clip_boxes(raws: list[bytes], boxes: np.ndarray) -> tuple[list[list[Polygon]], np.ndarray]:
+    """clip_box of each geometry with its own rectangle (x0, y0, x1, y1), and the areas that are left."""
+    out, area, at, rings = _cut_rings(raws, boxes)
+    _put_together(out, at, rings)
     return out, area
 
 
+def clip_boxes_wkb(raws: list[bytes], boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """dump_wkb of what clip_boxes leaves of each geometry (null: nothing), and the areas. Rows with one ring are written many at a time."""
+    out, area, at, rings = _cut_rings(raws, boxes)
+    row, _, begin, end = rings
+    alone = np.bincount(row, minlength=len(raws))[row] == 1
+    _put_together(out, at, tuple(x[~alone] for x in rings))
+    found = np.empty(len(raws), object)
+    for i in [i for i, p in enumerate(out) if p]:
+        found[i] = dump_wkb(out[i])
+    size = end - begin
+    for n in np.unique(size[alone]).tolist():
+        of = alone & (size == n)
+        head = np.frombuffer(struct.pack("<BIII", 1, 3, 1, n + 1), np.uint8)
+        points = at[begin[of][:, None] + np.r_[0:n, 0]].astype("<f8", copy=False).reshape(-1, 2 * n + 2).view(np.uint8)
+        raw = np.concatenate([np.broadcast_to(head, (len(points), len(head))), points], axis=1).tobytes()
+        k = len(head) + points.shape[1]
+        found[row[of]] = [raw[i : i + k] for i in range(0, len(raw), k)]
+    return found, area
+
+
 def box_polygon(x0: float, y0: float, x1: float, y1: float) -> list[Polygon]:
     return [[np.array([[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]])]]
 
@@ -388,15 +421,16 @@ def cut_to_cells(features: DataFrame, geometry: str, size: float, whole: bool =
 
     def cut(g: pd.Series, cx: pd.Series, cy: pd.Series) -> pd.DataFrame:
         i, j = cx.to_numpy(np.int64), cy.to_numpy(np.int64)
-        parts, area = clip_boxes([bytes(raw) for raw in g], np.column_stack([i * size, j * size, (i + 1) * size, (j + 1) * size]))
-        least = size * size * (1 - 1e-9)
-        kept = [bool(p) and (a >= least if whole else a > 0) for p, a in zip(parts, area)]
-        return pd.DataFrame({"geometry": pd.Series([dump_wkb(p) if k else None for p, k in zip(parts, kept)], dtype=object), "area": area})
+        parts, area = clip_boxes_wkb([bytes(raw) for raw in g], np.column_stack([i * size, j * size, (i + 1) * size, (j + 1) * size]))
+        parts[~(area >= size * size * (1 - 1e-9) if whole else area > 0)] = None
+        return pd.DataFrame({"geometry": pd.Series(parts, dtype=object), "area": area})
 
     dealt = features.repartition(int(features.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # Otherwise the filter would run the cut a second time.
     part = F.pandas_udf(cut, "geometry binary, area double").asNondeterministic()(geometry, "cell_x", "cell_y")
-    parts = cells_of(dealt, geometry, size).withColumn("cc_part", part).filter("cc_part.geometry is not null")
+    # Cells that begin where a feature ends hold no area of it.
+    inside = (F.col("cell_x") * F.lit(float(size)) < F.col("bounds")[2]) & (F.col("cell_y") * F.lit(float(size)) < F.col("bounds")[3])
+    parts = cells_of(dealt, geometry, size).filter(inside).withColumn("cc_part", part).filter("cc_part.geometry is not null")
     out = parts.withColumns({geometry: F.col("cc_part.geometry"), "area": F.col("cc_part.area")})
     return out.withColumnsRenamed({"cell_x": "col", "cell_y": "row"}).drop("bounds", "cc_part")
 

@@ -217,6 +217,20 @@ def test_clipping_many_is_clipping_each():
     want = [geometry.clip_box(geometry.load_wkb(r), b) for r, b in zip(raws, boxes)]
     assert [geometry.dump_wkb(g) for g in got] == [geometry.dump_wkb(w) for w in want]
     assert np.allclose(area_, [geometry.area_of(w) for w in want], atol=1e-9)
+    raw, area_of_raw = geometry.clip_boxes_wkb(raws, np.array(boxes, float))
+    assert list(raw) == [geometry.dump_wkb(w) if w else None for w in want] and np.array_equal(area_of_raw, area_)
+    assert len(geometry.clip_boxes_wkb([], np.zeros((0, 4)))[0]) == 0
+
+
+def test_cut_parts_are_written_many_at_a_time(monkeypatch):
+    """A feature's parts with one ring cost no call each."""
+    calls = []
+    dump, n = geometry.dump_wkb, 500
+    raws, boxes = [box(0, 0, 30.5, 30)] * n, np.array([(i % 25, i // 25, i % 25 + 1, i // 25 + 1) for i in range(n)], float)
+    monkeypatch.setattr(geometry, "dump_wkb", lambda p: calls.append(p) or dump(p))
+    raw, area_ = geometry.clip_boxes_wkb(raws, boxes)
+    assert not calls and area_.tolist() == [1.0] * n
+    assert [geometry.bounds_of(geometry.load_wkb(r)) for r in raw] == [tuple(b) for b in boxes]
 
 
 def test_faults_of_a_split_are_counted_in_one_reading(spark):

@@ -11,9 +11,12 @@ the blocks alone share a join key. There are as many blocks as leave a pair at t
 common one with probability MISS (lines with fewer shingles have a block for each).
 
 A key's bucket of two nodes is a pair. In a larger one all nodes are compared with its most frequent line; then with
-PIVOTS of the nodes that are still outside that line's group; then what is still apart, pair by pair among lines of near
-lengths. Pairs are left out before the edit check only if their lengths or the parities of their words rule the similarity
-out. So no pair with a common key is lost, and the pairs of a connected crowd are not listed.
+PIVOTS of the nodes that are still outside that line's group; then what is still apart, pair by pair among
+lines of near lengths or, in a bucket of more than CROWD, among lines with a rare pair of words in common: an edit changes two word pairs at most, so in any order of word pairs the first that alike lines have in common is
+among the first of either, one more than their edits can change. The order puts word pairs last that a sample of the lines has
+often, so lines that only share a passage don't meet. Pairs are left out before the edit check only if their lengths or
+the parities of their words rule the similarity out. So no pair with a common key is lost, and neither the pairs of a connected
+crowd nor those of lines around one passage are listed.
 The first line of each connected group (by document id, then line number) is kept.
 
 Only DataFrame functions are used. Edits are counted on strings of one character a word; where two words of a pair
@@ -32,9 +35,12 @@ from .common import components, more_components, positional, written
 MISS = 5e-4  # probability that a pair at the limit of similarity has no common block
 SHINGLE = 3  # words, fewer where the similarity allows closer edits
 PIVOTS = 8  # of the nodes of a bucket that its most frequent line has left open
+CROWD = 1024  # lines of a key beyond which its nodes aren't compared with each other
+SAMPLED, OFTEN, KNOWN = 4, 4, 1 << 16  # one line of so many tells which word pairs are frequent, those seen so often there; so many are told apart at most
 SPACE = r"[\x20\x09-\x0D]+"
 PLANES = 1 << 20  # characters that stand for words: those from 0x10000 on
 SIGHTS, SUMS = 4, 2  # numbers in a sketch of a line that hold parities, and that hold four sums of 16 bits
+SKETCH = ["n", *[f"s{i}" for i in range(SIGHTS + SUMS)]]  # its columns
 
 
 def normal_form(line: Column) -> Column:
@@ -85,28 +91,31 @@ def with_blocks(lines: DataFrame, hashes: str, pct: int) -> DataFrame:
     return out.withColumn("blocks", blocks).drop("wb_all", "wb_least", *[f"wb_{i}" for i in range(k - 1)])
 
 
-def _parities(hashes: str, part: int | None = None) -> str:
-    """Which of 64 bits an odd number of words has: an edit changes two at most. With a part, only of the words whose hash names it."""
-    bit = "shiftleft(1L, cast(x & 63 as int))"
-    return f"aggregate({hashes}, 0L, (p, x) -> p ^ {bit if part is None else f'if(shiftrightunsigned(x, 6) & {SIGHTS - 1} = {part}, {bit}, 0L)'})"
+def _parities(hashes: str) -> str:
+    """Which of 64 bits an odd number of words has: an edit changes two at most."""
+    return f"aggregate({hashes}, 0L, (p, x) -> p ^ shiftleft(1L, cast(x & 63 as int)))"
 
 
-def _sights(words: str) -> str:
-    """A sketch of a line: the parities of its words in SIGHTS parts, and for 4 SUMS bits the number of words whose hash has them."""
+def _sights(texts: DataFrame) -> DataFrame:
+    """node and SKETCH of texts (node, f): the number of words, their parities in SIGHTS parts, and for 4 SUMS bits the number of words
+    whose hash has them. A row for each word is dropped as soon as it is counted; inside a lambda function nothing is compiled."""
+    words = texts.select("node", F.explode(F.split("f", " ")).alias("w")).select("node", F.xxhash64("w").alias("x"))
     ones = sum(1 << 16 * i for i in range(4))
-    sums = [f"aggregate(h, 0L, (p, x) -> p + (shiftrightunsigned(x, {10 + i}) & {ones}L))" for i in range(SUMS)]
-    return f"transform(array(transform({words}, x -> xxhash64(x))), h -> array({', '.join([_parities('h', i) for i in range(SIGHTS)] + sums)}))[0]"
+    parities = [F.expr(f"bit_xor(if(shiftrightunsigned(x, 6) & {SIGHTS - 1} = {i}, shiftleft(1L, cast(x & 63 as int)), 0L))") for i in range(SIGHTS)]
+    sums = [F.expr(f"coalesce(try_sum(shiftrightunsigned(x, {10 + i}) & {ones}L), 0L)") for i in range(SUMS)]
+    return words.groupBy("node").agg(*[c.alias(name) for c, name in zip([F.count(F.lit(1)).cast("int"), *parities, *sums], SKETCH)])
 
 
-def _within(a: str, b: str, edits: str) -> Column:
-    """Whether two lines' sketches leave it open that they are so many edits apart: each changes two parities at most, and each sum by one.
+def _may_be_alike(a: str, b: str, pct: int) -> Column:
+    """Whether two lines' lengths and sketches leave it open that they are alike: an edit changes two parities at most, and each sum by one.
 
-    Sums of lines beyond 65,535 words run over and say nothing.
+    Sums of lines beyond 32,767 words run over and say nothing.
     """
-    apart = " + ".join(f"bit_count({a}.sights[{i}] ^ {b}.sights[{i}])" for i in range(SIGHTS))
-    lane = lambda s, k, i: f"(shiftrightunsigned({s}.sights[{SIGHTS + k}], {16 * i}) & 65535L)"
+    edits = f"cast(({100 - pct} * greatest({a}_n, {b}_n)) div 100 as int)"
+    apart = " + ".join(f"bit_count({a}_s{i} ^ {b}_s{i})" for i in range(SIGHTS))
+    lane = lambda s, k, i: f"(shiftrightunsigned({s}_s{SIGHTS + k}, {16 * i}) & 65535L)"
     sums = " and ".join(f"abs({lane(a, k, i)} - {lane(b, k, i)}) <= {edits}" for k in range(SUMS) for i in range(4))
-    return F.expr(f"{apart} <= 2 * {edits} and (greatest({a}.n, {b}.n) > 65535 or ({sums}))")
+    return F.expr(f"100 * least({a}_n, {b}_n) >= {pct} * greatest({a}_n, {b}_n) and {apart} <= 2 * {edits} and (greatest({a}_n, {b}_n) > 32767 or ({sums}))")
 
 
 def _characters(words: str) -> str:
@@ -120,7 +129,10 @@ def _most(pct: int) -> str:
 
 
 def alike(pairs: DataFrame, texts: DataFrame, pct: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose word sequences are similar enough. texts: node, f (the normal form), n (its words) and c (its characters)."""
+    """The pairs (a, b) of nodes whose word sequences are similar enough. texts: node and f (the normal form)."""
+    pairs = written(pairs, "near-pairs")
+    named = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").withColumn("w", F.split("f", " "))
+    texts = written(named.select("node", "f", F.size("w").alias("n"), F.expr(_characters("w")).alias("c")), "line-characters")
     t = lambda s: texts.select(F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("f", "n", "c")])
     both = pairs.join(t("a"), "a").join(t("b"), "b").filter(f"100 * least(a_n, b_n) >= {pct} * greatest(a_n, b_n)")
     # Words that share a character can only bring lines nearer: those that pass are looked at once more.
@@ -172,19 +184,20 @@ def _groups_of_lines(df: DataFrame, lines: DataFrame, nodes: DataFrame, pct: int
     # Most keys occur once, so nothing is gained by counting them before they are dealt out.
     # The join below leaves out null keys; done before, both its sides and the counts read one exchange.
     bands = lines.filter("blocks is not null").select("node", F.explode("blocks").alias("key")).filter("key is not null").repartition("key")
-    buckets = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
+    buckets = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), (F.count(F.lit(1)) > CROWD).alias("many")).filter("lo <> hi").select("key", "many")
     kept = bands.join(buckets.hint("shuffle_hash"), "key").distinct()
     members = written(kept.join(nodes.select("node", "times", F.struct("n", "p").alias("sketch")), "node"), "members")
     longer = F.greatest("a_sketch.n", "b_sketch.n")
     near = 100 * F.least("a_sketch.n", "b_sketch.n") >= pct * longer
     near = near & (F.bit_count(F.col("a_sketch.p").bitwiseXOR(F.col("b_sketch.p"))) <= 2 * F.floor((100 - pct) * longer / 100))
-    # Nodes that could be alike with none of their bucket leave it.
-    other = members.select(F.col("key").alias("b_key"), F.col("node").alias("b"), F.col("sketch").alias("b_sketch"))
-    met = members.withColumn("a_sketch", F.col("sketch")).join(other, (F.col("key") == F.col("b_key")) & (F.col("node") != F.col("b")) & near, "left_semi").drop("a_sketch")
-    met = written(met, "met")
+    # Nodes that could be alike with none of their bucket leave it; in a crowd that would compare all with all.
+    few = members.filter("not many")
+    other = few.select(F.col("key").alias("b_key"), F.col("node").alias("b"), F.col("sketch").alias("b_sketch"))
+    met = few.withColumn("a_sketch", F.col("sketch")).join(other, (F.col("key") == F.col("b_key")) & (F.col("node") != F.col("b")) & near, "left_semi").drop("a_sketch")
+    met = written(met.union(members.filter("many")).drop("many"), "met")
     sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("a"), F.max("node").alias("b"))
     couples = sizes.filter("size = 2").select("a", "b")
-    large = met.join(sizes.filter("size > 2").select("key"), "key", "left_semi")
+    large = met.join(sizes.filter("size > 2").select("key", "size"), "key")
     side = lambda d, s, *more: d.select("key", F.col("node").alias(s), F.col("sketch").alias(f"{s}_sketch"), *more)
     chosen = large.groupBy("key").agg(F.max(F.struct("times", "node", "sketch")).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.sketch").alias("a_sketch"))
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
@@ -204,42 +217,81 @@ def _groups_of_lines(df: DataFrame, lines: DataFrame, nodes: DataFrame, pct: int
     # Only rows that occur several times give a line's text several times.
     again = lines.select("ld_id", "ld_row", "ld_at").distinct().groupBy("ld_id", "ld_row").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     found = found.dropDuplicates(["node"]) if again.head(1) else found
-    found = found.withColumn("w", F.split("f", " "))
-    texts = written(found.select("node", "f", F.size("w").alias("n"), F.expr(_characters("w")).alias("c"), F.expr(_sights("w")).alias("sights")), "line-texts")
-
-    groups = components(alike(pairs, texts, pct))
+    texts = written(found, "line-texts")
+    sights = written(_sights(texts), "line-sights")
+    near = _may_be_alike("a", "b", pct)
+    groups = components(alike(pairs.join(_side(sights, "a"), "a").join(_side(sights, "b"), "b").filter(near).select("a", "b"), texts, pct))
     if not large.head(1):
         return groups
-    # Lines of near lengths are of one class or of two that are next to each other.
+    large = written(large.select("key", "node", "size").join(sights, "node"), "crowds")
+    labelled = _labelled(large, often, groups)
+    open_ = labelled.filter("group <> main")
+    drawn = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("group"), "node"))
+    a = _side(open_.withColumn("drawn", drawn).filter(F.col("drawn") <= PIVOTS), "a", "key", "group")
+    more = written(alike(a.join(_side(labelled, "b", "key", "group"), "key").filter("a_group <> b_group").filter(near).select(*ordered).distinct(), texts, pct), "line-links")
+    if more.head(1):
+        groups = more_components(groups, more)
+        labelled = _labelled(large, often, groups)
+    rest = _near_pairs(labelled.filter(F.col("size") <= CROWD), pct)
+    if (crowded := labelled.filter(F.col("size") > CROWD)).head(1):
+        rest = rest.union(_rare_pairs(crowded, texts, pct)).distinct()
+    more = written(alike(rest, texts, pct), "line-links")
+    return more_components(groups, more) if more.head(1) else groups
+
+
+def _side(lines: DataFrame, s: str, on: str | None = None, *more: str) -> DataFrame:
+    """node as s and SKETCH and more with s before their names, for one side of pairs that meet on a column."""
+    return lines.select(*([on] if on else []), F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in (*SKETCH, *more)])
+
+
+def _labelled(large: DataFrame, often: DataFrame, groups: DataFrame) -> DataFrame:
+    """large (key, node, size, SKETCH) with group, the node's, and main, that of the key's most frequent line (often: key and a)."""
+    named = groups.select(F.col("node").alias("g_node"), "label")
+    labelled = large.join(named, F.col("node") == F.col("g_node"), "left").select("key", "node", "size", *SKETCH, F.coalesce("label", "node").alias("group"))
+    main = labelled.join(often.select("key", F.col("a").alias("node")), ["key", "node"]).select("key", F.col("group").alias("main"))
+    return written(labelled.join(main, "key"), "labelled")
+
+
+def _open_pairs(a: DataFrame, b: DataFrame, on: list[str], pct: int) -> DataFrame:
+    """The pairs of two sides, a with open nodes only, that are of different groups and may be alike. Two that are both open meet from either side."""
+    met = a.join(b, on).filter((~F.col("b_open") | (F.col("a") < F.col("b"))) & (F.col("a_group") != F.col("b_group")) & _may_be_alike("a", "b", pct))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _near_pairs(labelled: DataFrame, pct: int) -> DataFrame:
+    """Pairs (a, b) that may be alike, of nodes of different groups that share a key and of which one is outside the key's main group.
+    labelled: as _labelled gives it. Lines of near lengths are of one class or of two that are next to each other.
+    """
     step = math.log(100 / max(1, min(99, pct)))
-    class_ = F.floor(F.log(F.col("sketch.n")) / step).cast("int")
-    own = large.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # a line's blocks at most
-    sights = texts.select("node", "sights").join(own, "node").select(F.col("node").alias("s_node"), "keys", "sights")
-    large = large.withColumn("class", class_).join(sights, F.col("node") == F.col("s_node"))
-    large = written(large.select("key", "node", "class", F.struct("sketch.n", "sights", "keys").alias("sketch")), "crowds")
-    edits = f"cast(({100 - pct} * greatest(a_sketch.n, b_sketch.n)) div 100 as int)"
-    near = F.expr(f"100 * least(a_sketch.n, b_sketch.n) >= {pct} * greatest(a_sketch.n, b_sketch.n)") & _within("a_sketch", "b_sketch", edits)
-    # A pair that meets in several buckets counts in the first.
-    once = F.expr("key = array_min(array_intersect(a_sketch.keys, b_sketch.keys))")
-    for whole in (False, True):
-        named = groups.select(F.col("node").alias("g_node"), "label")
-        labelled = large.join(named, F.col("node") == F.col("g_node"), "left").select("key", "node", "sketch", "class", F.coalesce("label", "node").alias("group"))
-        main = labelled.join(often.select("key", F.col("a").alias("node")), ["key", "node"]).select("key", F.col("group").alias("main"))
-        labelled = written(labelled.join(main, "key"), "labelled")
-        open_ = labelled.filter("group <> main")
-        b = side(labelled, "b", "class", F.col("group").alias("b_group"), (F.col("group") != F.col("main")).alias("b_open"))
-        if whole:
-            a = side(open_, "a", F.col("group").alias("a_group"), F.explode(F.array(*[F.col("class") + i for i in (-1, 0, 1)])).alias("class"))
-        else:
-            drawn = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("group"), "node"))
-            a = side(open_.withColumn("drawn", drawn).filter(F.col("drawn") <= PIVOTS), "a", F.col("group").alias("a_group"))
-        apart = F.col("a_group") != F.col("b_group")
-        # In the last round two that are both open meet from either side.
-        rest = a.join(b, ["key", "class"] if whole else "key").filter((~F.col("b_open") | (F.col("a") < F.col("b"))) & apart & near & once if whole else apart & near).select(*ordered).distinct()
-        more = written(alike(rest, texts, pct), "line-links")
-        if more.head(1):
-            groups = more_components(groups, more)
-    return groups
+    near = labelled.withColumn("open", F.col("group") != F.col("main")).withColumn("class", F.floor(F.log("n") / step).cast("int"))
+    a = _side(near.filter("open").withColumn("class", F.explode(F.array(*[F.col("class") + i for i in (-1, 0, 1)]))), "a", "key", "group", "class").withColumnRenamed("a_class", "class")
+    b = _side(near, "b", "key", "group", "open", "class").withColumnRenamed("b_class", "class")
+    return _open_pairs(a, b, ["key", "class"], pct)
+
+
+def _rare_pairs(labelled: DataFrame, texts: DataFrame, pct: int) -> DataFrame:
+    """The same for large buckets: all pairs that are alike are among them."""
+    keys = labelled.filter("group <> main").select("key").distinct()
+    crowd = labelled.join(keys, "key", "left_semi").groupBy("node").agg(F.max(F.col("group") != F.col("main")).alias("open"), *[F.first(c).alias(c) for c in ("group", *SKETCH)])
+    crowd = written(crowd, "crowd-lines")
+    # Dealt out by lines before they are words, so that a line's words stay together.
+    k = min(2, block_plan(pct)[0])
+    lines = texts.join(crowd.select(F.col("node").alias("c_node"), "n"), F.col("node") == F.col("c_node")).select("node", "n", "f").repartition("node")
+    spread = lines.withColumn("w", F.split("f", " ")).select("node", "n", "w", F.posexplode("w").alias("at", "x")).filter(f"at <= n - {k}")
+    grams = spread.select("node", "n", F.expr("xxhash64(x, get(w, at + 1))" if k == 2 else "xxhash64(x)").alias("gram"))
+    sample = grams.filter(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(SAMPLED)) == 0)
+    # Any order is right; one that knows fewer frequent word pairs only lets more lines meet.
+    often = sample.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") >= OFTEN).orderBy(F.desc("times"), "gram").limit(KNOWN)
+    ranked = grams.join(F.broadcast(written(often, "frequent")), "gram", "left")
+    # One number says how often a word pair is seen and which it is.
+    ranked = ranked.select("node", "n", F.expr("shiftleft(coalesce(floor(log2(times)), 0L), 57) | shiftrightunsigned(gram, 7)").alias("gram"))
+    order = Window.partitionBy("node").orderBy("gram")
+    ranked = ranked.select("node", "n", "gram", F.row_number().over(order).alias("place"), F.rank().over(order).alias("begin"))
+    # A line of n words and any that it is alike with are so many edits apart at most. What a line has again is something else each time.
+    first = ranked.filter(f"place <= {k} * (({100 - pct} * n) div {max(1, pct)}) + 1").select(F.xxhash64("gram", F.expr("place - begin")).alias("gram"), "node").repartition("gram")
+    met = first.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("gram")
+    first = written(first.join(met.hint("shuffle_hash"), "gram").join(crowd, "node"), "rare")
+    return _open_pairs(_side(first.filter("open"), "a", "gram", "group"), _side(first, "b", "gram", "group", "open"), ["gram"], pct)
 
 
 def duplicate_lines(df: DataFrame, similarity_pct: int = 90, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:

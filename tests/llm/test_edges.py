@@ -651,3 +651,20 @@ def test_keys_of_lines_are_dealt_out_before_they_are_counted(spark):
         line_dedup.written = write
     plan = dict(seen)["members"]
     assert "REPARTITION_BY_COL" in plan
+
+
+def test_lines_around_one_passage_do_not_all_meet(spark, monkeypatch):
+    """Lines that share half their words but aren't alike meet by rare word pairs: all links are found, without the square of their number."""
+    monkeypatch.setattr(line_dedup, "CROWD", 16)
+    rng = np.random.default_rng(31)
+    shared, n = [f"token{i}" for i in rng.integers(0, 400, 40)], 500
+    lines = [[f"own{i}" for i in rng.integers(0, 3000, 20)] + shared + [f"own{i}" for i in rng.integers(0, 3000, 20)] for _ in range(n)]
+    lines += [["so"] * 30 + [f"x{i}"] * 12 + ["and"] * 38 for i in range(10)]
+    lines += [_edited(rng, lines[k], 1 + k % 8) for k in range(0, n, 10)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lines)], "doc_id long, text string")
+    seen, write = {}, line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda d, name: seen.setdefault(name, write(d, name)) if name == "rare" else write(d, name))
+    gone = {r.ld_id for r in line_dedup.duplicate_lines(df)[0].collect()}
+    assert gone == set(range(n + 10, n + 10 + n // 10))
+    meeting = seen["rare"].groupBy("gram").count().agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0]
+    assert 0 < meeting < 20 * n < n * (n - 1) / 8

@@ -8,7 +8,8 @@ shingles. Weights halve from one shingle to the next in the order of their hashe
 decided the blocks before it: so the heaviest one left outvotes all others together, and the block's bits are its hash.
 Edits then change whole blocks instead of scattered bits, and by the pigeonhole principle lines whose edits leave one of
 the blocks alone share a join key. There are as many blocks as leave a pair at the limit of similarity without a
-common one with probability MISS (lines with fewer shingles have a block for each).
+common one with probability MISS (lines with fewer shingles have a block for each). Of a line of few words one more than its
+edits can change are enough: the first shingle that two alike lines have in common is among those of either, so none is missed.
 
 A key's bucket of two nodes is a pair. In a larger one all nodes are compared with its most frequent line; then with
 PIVOTS of the nodes that are still outside that line's group; then what is still apart, pair by pair among
@@ -30,13 +31,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, more_components, positional, written
+from .common import components, forget, more_components, positional, unused_shuffles, written
 
 MISS = 5e-4  # probability that a pair at the limit of similarity has no common block
 SHINGLE = 3  # words, fewer where the similarity allows closer edits
 PIVOTS = 8  # of the nodes of a bucket that its most frequent line has left open
 CROWD = 1024  # lines of a key beyond which its nodes aren't compared with each other
 SAMPLED, OFTEN, KNOWN = 4, 4, 1 << 16  # one line of so many tells which word pairs are frequent, those seen so often there; so many are told apart at most
+FEW = 100_000  # ids of lines that are sent to all executors rather than moving all texts to them
 SPACE = r"[\x20\x09-\x0D]+"
 PLANES = 1 << 20  # characters that stand for words: those from 0x10000 on
 SIGHTS, SUMS = 4, 2  # numbers in a sketch of a line that hold parities, and that hold four sums of 16 bits
@@ -91,6 +93,14 @@ def with_blocks(lines: DataFrame, hashes: str, pct: int) -> DataFrame:
     return out.withColumn("blocks", blocks).drop("wb_all", "wb_least", *[f"wb_{i}" for i in range(k - 1)])
 
 
+def sufficient_blocks(pct: int) -> Column:
+    """The blocks by which lines of n words meet: all, or where that is less, one more than the shingles that the edits of an alike pair change.
+
+    Edits leave no more than that out of either line, so the smallest shingle in common is among the first so many of both.
+    """
+    return F.expr(f"slice(blocks, 1, cast({block_plan(pct)[0]} * (({100 - pct} * n) div {max(1, pct)}) + 1 as int))")
+
+
 def _parities(hashes: str) -> str:
     """Which of 64 bits an odd number of words has: an edit changes two at most."""
     return f"aggregate({hashes}, 0L, (p, x) -> p ^ shiftleft(1L, cast(x & 63 as int)))"
@@ -128,10 +138,16 @@ def _most(pct: int) -> str:
     return f"cast(({100 - pct} * greatest(a_n, b_n)) div 100 as int)"
 
 
+def _texts_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of texts of some nodes (node, each once). All texts are moved only if the nodes are more than FEW."""
+    nodes = written(nodes, "wanted-lines")
+    return texts.join(F.broadcast(nodes) if nodes.count() <= FEW else nodes, "node", "left_semi")
+
+
 def alike(pairs: DataFrame, texts: DataFrame, pct: int) -> DataFrame:
     """The pairs (a, b) of nodes whose word sequences are similar enough. texts: node and f (the normal form)."""
     pairs = written(pairs, "near-pairs")
-    named = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").withColumn("w", F.split("f", " "))
+    named = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts).withColumn("w", F.split("f", " "))
     texts = written(named.select("node", "f", F.size("w").alias("n"), F.expr(_characters("w")).alias("c")), "line-characters")
     t = lambda s: texts.select(F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("f", "n", "c")])
     both = pairs.join(t("a"), "a").join(t("b"), "b").filter(f"100 * least(a_n, b_n) >= {pct} * greatest(a_n, b_n)")
@@ -140,6 +156,7 @@ def alike(pairs: DataFrame, texts: DataFrame, pct: int) -> DataFrame:
     distinct = F.size(F.array_distinct(F.concat(F.split("a_f", " "), F.split("b_f", " "))))
     codes = F.size(F.expr("array_distinct(concat(split(a_c, ''), split(b_c, '')))"))
     near = written(near.select("a", "b", "a_n", "b_n", (distinct == codes).alias("sure"), F.expr("if(sure, null, a_f)").alias("a_f"), F.expr("if(sure, null, b_f)").alias("b_f")), "near-lines")
+    forget(pairs, texts)
     return near.filter("sure").select("a", "b").union(_exactly_alike(near.filter("not sure"), pct))
 
 
@@ -173,7 +190,7 @@ def _line_table(df: DataFrame, pct: int, id_col: str, text: str) -> tuple[DataFr
     long_ = F.col("n") >= max(block_plan(pct)[0], _least_words(pct))
     hashed = hashed.withColumn("h", F.when(long_, F.expr("transform(w, x -> xxhash64(x))"))).drop("w")
     keyed = with_blocks(hashed.withColumn("p", F.when(long_, F.expr(_parities("h")))), "h", pct)
-    keyed = written(keyed.drop("h"), "line-keys")
+    keyed = written(keyed.drop("h").withColumn("blocks", sufficient_blocks(pct)), "line-keys")
     # Any of equal lines stands for all: all columns are the first row's.
     nodes = keyed.filter("node is not null").groupBy("node", "check", "n").agg(F.count(F.lit(1)).alias("times"), *[F.first(c).alias(c) for c in ("p", "ld_id", "ld_row", "ln")])
     return keyed, written(nodes, "line-nodes")
@@ -187,6 +204,7 @@ def _groups_of_lines(df: DataFrame, lines: DataFrame, nodes: DataFrame, pct: int
     buckets = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), (F.count(F.lit(1)) > CROWD).alias("many")).filter("lo <> hi").select("key", "many")
     kept = bands.join(buckets.hint("shuffle_hash"), "key").distinct()
     members = written(kept.join(nodes.select("node", "times", F.struct("n", "p").alias("sketch")), "node"), "members")
+    unused_shuffles(df.sparkSession)  # those of all keys, by far the largest
     longer = F.greatest("a_sketch.n", "b_sketch.n")
     near = 100 * F.least("a_sketch.n", "b_sketch.n") >= pct * longer
     near = near & (F.bit_count(F.col("a_sketch.p").bitwiseXOR(F.col("b_sketch.p"))) <= 2 * F.floor((100 - pct) * longer / 100))
@@ -204,6 +222,7 @@ def _groups_of_lines(df: DataFrame, lines: DataFrame, nodes: DataFrame, pct: int
     often = written(chosen, "pivots")
     star = side(large, "b").join(often, "key").filter("a <> b").filter(near).select(*ordered)
     pairs = written(couples.union(star).distinct(), "line-pairs")
+    forget(members)
 
     # The texts of all lines that may be compared, fetched once.
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
@@ -218,24 +237,28 @@ def _groups_of_lines(df: DataFrame, lines: DataFrame, nodes: DataFrame, pct: int
     again = lines.select("ld_id", "ld_row", "ld_at").distinct().groupBy("ld_id", "ld_row").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     found = found.dropDuplicates(["node"]) if again.head(1) else found
     texts = written(found, "line-texts")
+    unused_shuffles(df.sparkSession)  # whole documents
     sights = written(_sights(texts), "line-sights")
     near = _may_be_alike("a", "b", pct)
     groups = components(alike(pairs.join(_side(sights, "a"), "a").join(_side(sights, "b"), "b").filter(near).select("a", "b"), texts, pct))
     if not large.head(1):
         return groups
-    large = written(large.select("key", "node", "size").join(sights, "node"), "crowds")
-    labelled = _labelled(large, often, groups)
-    open_ = labelled.filter("group <> main")
+    # A key without an open node gives no pair, now or later: groups only grow.
+    every = _labelled(large.select("key", "node", "size"), often, groups)
+    open_ = F.col("group") != F.col("main")
+    labelled = written(every.join(every.filter(open_).select("key").distinct(), "key", "left_semi").join(sights, "node"), "crowds")
+    forget(met, every, sights)
     drawn = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("group"), "node"))
-    a = _side(open_.withColumn("drawn", drawn).filter(F.col("drawn") <= PIVOTS), "a", "key", "group")
+    a = _side(labelled.filter(open_).withColumn("drawn", drawn).filter(F.col("drawn") <= PIVOTS), "a", "key", "group")
     more = written(alike(a.join(_side(labelled, "b", "key", "group"), "key").filter("a_group <> b_group").filter(near).select(*ordered).distinct(), texts, pct), "line-links")
     if more.head(1):
         groups = more_components(groups, more)
-        labelled = _labelled(large, often, groups)
-    rest = _near_pairs(labelled.filter(F.col("size") <= CROWD), pct)
+        labelled = _labelled(labelled.drop("group", "main"), often, groups)
+    links = alike(_near_pairs(labelled.filter(F.col("size") <= CROWD), pct), texts, pct)
     if (crowded := labelled.filter(F.col("size") > CROWD)).head(1):
-        rest = rest.union(_rare_pairs(crowded, texts, pct)).distinct()
-    more = written(alike(rest, texts, pct), "line-links")
+        rare, own = _rare_pairs(crowded, texts, pct)
+        links = links.union(alike(rare, own, pct))
+    more = written(links, "line-links")
     return more_components(groups, more) if more.head(1) else groups
 
 
@@ -245,10 +268,10 @@ def _side(lines: DataFrame, s: str, on: str | None = None, *more: str) -> DataFr
 
 
 def _labelled(large: DataFrame, often: DataFrame, groups: DataFrame) -> DataFrame:
-    """large (key, node, size, SKETCH) with group, the node's, and main, that of the key's most frequent line (often: key and a)."""
+    """large (key, node and more) with group, the node's, and main, that of the key's most frequent line (often: key and a)."""
     named = groups.select(F.col("node").alias("g_node"), "label")
-    labelled = large.join(named, F.col("node") == F.col("g_node"), "left").select("key", "node", "size", *SKETCH, F.coalesce("label", "node").alias("group"))
-    main = labelled.join(often.select("key", F.col("a").alias("node")), ["key", "node"]).select("key", F.col("group").alias("main"))
+    labelled = large.join(named, F.col("node") == F.col("g_node"), "left").select(*large.columns, F.coalesce("label", "node").alias("group"))
+    main = often.join(named, F.col("a") == F.col("g_node"), "left").select("key", F.coalesce("label", "a").alias("main"))
     return written(labelled.join(main, "key"), "labelled")
 
 
@@ -269,14 +292,15 @@ def _near_pairs(labelled: DataFrame, pct: int) -> DataFrame:
     return _open_pairs(a, b, ["key", "class"], pct)
 
 
-def _rare_pairs(labelled: DataFrame, texts: DataFrame, pct: int) -> DataFrame:
-    """The same for large buckets: all pairs that are alike are among them."""
+def _rare_pairs(labelled: DataFrame, texts: DataFrame, pct: int) -> tuple[DataFrame, DataFrame]:
+    """The same for large buckets: all pairs that are alike are among them. And the texts (node, n, f) of these buckets' lines."""
     keys = labelled.filter("group <> main").select("key").distinct()
     crowd = labelled.join(keys, "key", "left_semi").groupBy("node").agg(F.max(F.col("group") != F.col("main")).alias("open"), *[F.first(c).alias(c) for c in ("group", *SKETCH)])
     crowd = written(crowd, "crowd-lines")
+    own = written(_texts_of(crowd.select("node"), texts).select("node", F.size(F.split("f", " ")).alias("n"), "f"), "crowd-texts")
     # Dealt out by lines before they are words, so that a line's words stay together.
     k = min(2, block_plan(pct)[0])
-    lines = texts.join(crowd.select(F.col("node").alias("c_node"), "n"), F.col("node") == F.col("c_node")).select("node", "n", "f").repartition("node")
+    lines = own.repartition("node")
     spread = lines.withColumn("w", F.split("f", " ")).select("node", "n", "w", F.posexplode("w").alias("at", "x")).filter(f"at <= n - {k}")
     grams = spread.select("node", "n", F.expr("xxhash64(x, get(w, at + 1))" if k == 2 else "xxhash64(x)").alias("gram"))
     sample = grams.filter(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(SAMPLED)) == 0)
@@ -291,7 +315,7 @@ def _rare_pairs(labelled: DataFrame, texts: DataFrame, pct: int) -> DataFrame:
     first = ranked.filter(f"place <= {k} * (({100 - pct} * n) div {max(1, pct)}) + 1").select(F.xxhash64("gram", F.expr("place - begin")).alias("gram"), "node").repartition("gram")
     met = first.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("gram")
     first = written(first.join(met.hint("shuffle_hash"), "gram").join(crowd, "node"), "rare")
-    return _open_pairs(_side(first.filter("open"), "a", "gram", "group"), _side(first, "b", "gram", "group", "open"), ["gram"], pct)
+    return _open_pairs(_side(first.filter("open"), "a", "gram", "group"), _side(first, "b", "gram", "group", "open"), ["gram"], pct), own
 
 
 def duplicate_lines(df: DataFrame, similarity_pct: int = 90, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:

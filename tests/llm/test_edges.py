@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -668,3 +669,51 @@ def test_lines_around_one_passage_do_not_all_meet(spark, monkeypatch):
     assert gone == set(range(n + 10, n + 10 + n // 10))
     meeting = seen["rare"].groupBy("gram").count().agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0]
     assert 0 < meeting < 20 * n < n * (n - 1) / 8
+
+
+def test_lines_of_few_words_have_as_many_blocks_as_their_edits_need(spark):
+    """One more than an alike line's edits can change, by which each alike pair still meets: in every place, replaced, left out or put in."""
+    rng = np.random.default_rng(41)
+    lines = []
+    for n in range(10, 30):
+        for edits in range(1, n // 10 + 1):
+            for _ in range(20):
+                w = [f"token{i}" for i in rng.integers(0, 3000, n)]
+                less, at = list(w), int(rng.integers(n))
+                del less[at]
+                lines += [(w, _edited(rng, w, edits)), (w, less), (w, [*w[:at], f"new{at}", *w[at:]])]
+    lines = [(a, b) for a, b in lines if distance(a, b) <= 10 * max(len(a), len(b)) // 100]
+    df = spark.createDataFrame([(i, "\n".join(" ".join(w) for w in p)) for i, p in enumerate(lines)], "doc_id long, text string")
+    got, _ = line_dedup._line_table(df, 90, "doc_id", "text")
+    blocks = {}
+    for r in got.collect():
+        blocks.setdefault(r.ld_id, []).append(set(r.blocks))
+        assert len(r.blocks) <= min(10, 3 * (10 * r.n // 90) + 1)
+    assert len(blocks) == len(lines) > 1000 and all(a & b for a, b in blocks.values())
+
+
+def test_open_keys_of_lines_only_and_no_more_tables_than_needed(spark, monkeypatch):
+    """Keys all of whose lines are of one group are done with; tables that nothing reads again go before the end; few lines don't move all texts."""
+    from pathlib import Path
+
+    rng = np.random.default_rng(43)
+    done = [f"token{i}" for i in rng.integers(0, 3000, 40)]
+    thirds = [[f"part{k}x{i}" for i in range(20)] for k in range(3)]  # alike in words, not in their order
+    lines = [_edited(rng, done, 1) for _ in range(30)] + [[w for part in order for w in part] for order in itertools.permutations(thirds)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lines)], "doc_id long, text string")
+    rows, plans, write, at = {}, {}, line_dedup.written, {}
+
+    def watched(d, name):
+        plans.setdefault(name, d._jdf.queryExecution().executedPlan().toString())
+        out = write(d, name)
+        rows.setdefault(name, out.count())
+        at.setdefault(name, out.written_at)
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", watched)
+    gone = {r.ld_id for r in line_dedup.duplicate_lines(df)[0].collect()}
+    assert gone == set(range(1, 30))
+    assert 0 < rows["crowds"] < rows["met"] / 4
+    assert "BroadcastHashJoin" in plans["line-characters"]
+    left = lambda name: Path(at[name].removeprefix("file:")).exists()
+    assert left("line-keys") and not any(left(x) for x in ("members", "met", "near-pairs", "line-characters", "line-sights"))

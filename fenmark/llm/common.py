@@ -62,11 +62,6 @@ def forget(*tables: DataFrame) -> None:
         _remove(t.sparkSession, t.written_at)
 
 
-def unused_shuffles(spark: SparkSession) -> None:
-    """Lets the shuffle files of ended queries go: Spark removes them once the driver's collector has found that nothing refers to them."""
-    spark._jvm.System.gc()
-
-
 def with_result(df: DataFrame, **cols) -> DataFrame:
     """df with result columns; an input column of the same name, in whatever case, gives way."""
     taken = {k.lower() for k in cols}

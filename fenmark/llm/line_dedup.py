@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, forget, more_components, positional, unused_shuffles, written
+from .common import components, forget, more_components, positional, written
 
 MISS = 5e-4  # probability that a pair at the limit of similarity has no common block
 SHINGLE = 3  # words, fewer where the similarity allows closer edits
@@ -204,7 +204,6 @@ def _groups_of_lines(df: DataFrame, lines: DataFrame, nodes: DataFrame, pct: int
     buckets = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), (F.count(F.lit(1)) > CROWD).alias("many")).filter("lo <> hi").select("key", "many")
     kept = bands.join(buckets.hint("shuffle_hash"), "key").distinct()
     members = written(kept.join(nodes.select("node", "times", F.struct("n", "p").alias("sketch")), "node"), "members")
-    unused_shuffles(df.sparkSession)  # those of all keys, by far the largest
     longer = F.greatest("a_sketch.n", "b_sketch.n")
     near = 100 * F.least("a_sketch.n", "b_sketch.n") >= pct * longer
     near = near & (F.bit_count(F.col("a_sketch.p").bitwiseXOR(F.col("b_sketch.p"))) <= 2 * F.floor((100 - pct) * longer / 100))
@@ -237,7 +236,6 @@ def _groups_of_lines(df: DataFrame, lines: DataFrame, nodes: DataFrame, pct: int
     again = lines.select("ld_id", "ld_row", "ld_at").distinct().groupBy("ld_id", "ld_row").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     found = found.dropDuplicates(["node"]) if again.head(1) else found
     texts = written(found, "line-texts")
-    unused_shuffles(df.sparkSession)  # whole documents
     sights = written(_sights(texts), "line-sights")
     near = _may_be_alike("a", "b", pct)
     groups = components(alike(pairs.join(_side(sights, "a"), "a").join(_side(sights, "b"), "b").filter(near).select("a", "b"), texts, pct))
